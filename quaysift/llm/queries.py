@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .minhash_dedup import op1_minhash_dedup
+from .substring_dedup import op10_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL = {"op6_exact_dedup": OP6_SQL}
