@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP8_SQL, op8_chat_format
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .minhash_dedup import op1_minhash_dedup
 from .substring_dedup import op10_substring_dedup
@@ -17,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL}
