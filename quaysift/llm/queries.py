@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP8_SQL, op8_chat_format
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language_id import op3_language_id
 from .minhash_dedup import op1_minhash_dedup
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
@@ -17,6 +18,7 @@ from .token_counts import op5_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_format": op8_chat_format,
