@@ -11,16 +11,20 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op3_language_id
 from .minhash_dedup import op1_minhash_dedup
+from .packing import op4_best_fit_packing
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op5_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
