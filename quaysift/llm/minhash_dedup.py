@@ -1,21 +1,25 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-A text's set is its distinct word shingles under one 64-bit hash. Its sketch is the k smallest values,
-where k grows with the set so that two sets at the threshold must retain a common value: with
-``c = ceil(t * n)``, any partner of a set of n values shares c of them at least, so one of its
-``n - c + 1`` smallest (in any one order of all values) is among the partner's smallest as well.
-Inverted lists of the retained values therefore yield every pair at the threshold. Values whose lists are
-long are put last in that order, the same for all texts, so that a passage in very many texts stops
-generating pairs while the guarantee holds.
-
-Candidates pass the estimate from the union of two 32-value sketches, and those that remain are verified
-on full sets. Texts with equal sets are one class from the start. Lists first link each member with
-the list's smallest member; after that only members of different components are compared, so a dense
-group costs in the order of its size.
+A text's set is its distinct word shingles under one 64-bit hash, and its sketch the smallest values. Two sets of
+similarity t have their union's smallest value in common with a chance of t, so of the ``RETAINED`` smallest at
+least one is in both sketches but for a chance of ``(1 - t) ** RETAINED`` (6e-9 at 0.85, 1e-7 at 0.8). Inverted
+lists of the retained values therefore bring every linked pair together.
+
+A passage in very many texts makes long lists. Their values are put last in one order for all texts, and a
+text that has such a value retains the first ``n - ceil(t * n) + 1`` values of its n in that order as well: two
+linked sets have at most as many values to themselves, so these must meet in one.
+
+Within a list, two bounds filter pairs. The parity bitmaps of two sets differ in no more bits than the sets
+differ in values, which never loses a link; the similarity estimated from the union of both 32-value sketches
+then has to come near the threshold. A list sends on a spanning forest of the pairs that remain, not all of
+them. These are verified on full sets. Lists in which a pair of the forest failed are
+looked through once more for pairs whose texts are still in different components, and all of these are verified.
+Texts with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +31,24 @@ from pyspark.sql import functions as F
 from .codes import pieces, shingle_sets, words
 from .components import components
 from .repeats import MOST_BITS, PARTS, may_repeat, parts, repeat_filter
-from .shared import attach, only_ids, written
-
-#: Values of the sketch behind the union estimate, and how many of the union's 32 smallest must be common.
-#: At a similarity of 0.8 or more, fewer than that happens in less than one of a million pairs.
-SKETCH, LEAST_COMMON = 32, 13
-#: Lists longer than this are put last in the order of values (or longer, so that these values stay few).
-LONG, LONG_VALUES = 200, 1_000_000
+from .shared import BROADCAST_ROWS, attach, only_ids, written
+
+#: Smallest values by which texts meet.
+RETAINED = 10
+#: Values of the union estimate, and standard deviations by which it may fall short of the threshold.
+SKETCH, SLACK = 32, 6.0
+#: Bits of the parity bitmap.
+PARITY = 1024
+#: Values in more sketches than this come last (or than more, so that these values stay few).
+LONG, LONG_VALUES = 1_000, 1_000_000
+#: Texts of a list that are compared in one task; longer lists are cut into pairs of blocks.
+BLOCK = 4_096
 #: Partners of one text that are verified in one bundle.
 BUNDLE = 200
+_NONE = np.uint32(0xFFFFFFFF)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for b in batches:
         ids = b.column(0)
         for at, data, offsets in pieces(b.column(1)):
@@ -46,44 +56,46 @@ def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[tuple[list, lis
             yield ids.slice(at, len(offsets) - 1), list(shingle_sets(codes, bounds, w))
 
 
-def _needed(n: int, num: int, den: int) -> int:
-    """Common values that a set of ``n`` needs with any partner at a similarity of num / den."""
-    return -(-n * num // den)
-
-
 def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return den * both >= num * (len(x) + len(y) - both)
 
 
 def sketches(docs: DataFrame, w: int, num: int, den: int, last: Broadcast | None = None) -> DataFrame:
-    """``doc_id, n, fp, sketch, retained``: set size, fingerprint of the set, union sketch, retained values."""
+    """``doc_id, n, fp, sketch, parity, retained`` of each text; ``last`` holds the values that come last, sorted."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    def retained(u: np.ndarray, late: np.ndarray) -> np.ndarray:
+        first = u[:RETAINED]
+        if not len(late) or not len(u):
+            return first
+        is_late = late[np.minimum(np.searchsorted(late, u), len(late) - 1)] == u
+        if not is_late[:RETAINED].any():
+            return first
+        k = len(u) + (-len(u) * num // den) + 1
+        return np.union1d(first[~is_late[:RETAINED]], np.concatenate([u[~is_late], u[is_late]])[:k])
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value if last is not None else np.zeros(0, np.uint64)
         for ids, sets in _sets(batches, w):
-            fps, small, kept = [], [], []
+            fps, small, even, kept = [], [], [], []
             for u in sets:
-                k = len(u) - _needed(len(u), num, den) + 1 if len(u) else 0
                 fps.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                small.append((u[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
-                if len(late) and len(u):
-                    is_late = late[np.minimum(np.searchsorted(late, u), len(late) - 1)] == u
-                    u = np.concatenate([u[~is_late], u[is_late]])
-                kept.append(u[:k].view(np.int64))
+                few = np.full(SKETCH, _NONE)
+                few[: min(len(u), SKETCH)] = (u[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+                small.append(few.tobytes())
+                even.append(np.packbits(np.bincount((u & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
+                kept.append(retained(u, late).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(u) for u in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(small, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
-                ["doc_id", "n", "fp", "sketch", "retained"],
+                [ids, pa.array([len(u) for u in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, small, even)), pa.array(kept, pa.list_(pa.int64()))],
+                ["doc_id", "n", "fp", "sketch", "parity", "retained"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {key}, n long, fp binary, sketch binary, retained array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {key}, n long, fp binary, sketch binary, parity binary, retained array<long>")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """``v, doc_id, n``: the retained values that may be in more than one text's sketch."""
+    """``v, doc_id, n, sketch, parity``: the retained values that may be in more than one text's sketch."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -98,45 +110,137 @@ def _postings(reps: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(b.num_rows), b.column("retained").value_lengths().to_numpy(zero_copy_only=False))
             keep = np.flatnonzero(may_repeat(again.value, values.to_numpy(zero_copy_only=False).view(np.uint64), MOST_BITS))
             row = pa.array(at[keep])
-            yield pa.RecordBatch.from_arrays([values.take(pa.array(keep)), b.column("doc_id").take(row), b.column("n").take(row)], ["v", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(keep)), *(b.column(c).take(row) for c in ("doc_id", "n", "sketch", "parity"))], ["v", "doc_id", "n", "sketch", "parity"])
+
+    return reps.select("doc_id", "n", "sketch", "parity", "retained").mapInArrow(post, f"v long, doc_id {key}, n long, sketch binary, parity binary")
+
+
+def _estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common values among the union's k smallest, k) of the sketches in the rows of x and y."""
+    k = np.maximum((x != _NONE).sum(axis=1), (y != _NONE).sum(axis=1))
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+    rank = np.arange(1, both.shape[1]) - np.cumsum(same, axis=1) + same
+    return (same & (rank <= k[:, None])).sum(axis=1), k
+
+
+class _List:
+    """The texts of one list, and the pairs of them that may be linked."""
+
+    def __init__(self, ids: list, n: np.ndarray, sketch: list[bytes], parity: list[bytes], num: int, den: int) -> None:
+        order = np.argsort(n, kind="stable")
+        self.ids = [ids[i] for i in order]
+        self.n = n[order]
+        self.sketch = np.frombuffer(b"".join(sketch), np.uint32).reshape(len(ids), -1)[order]
+        self.parity = np.frombuffer(b"".join(parity), np.uint64).reshape(len(ids), -1)[order]
+        self.num, self.den = num, den
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, js before i): sizes, parity and union estimate allow a link."""
+        num, den, n = self.num, self.den, self.n
+        for i in range(1, len(n)):
+            a = int(np.searchsorted(n, -(-int(n[i]) * num // den)))
+            if a >= i:
+                continue
+            total = n[a:i] + n[i]
+            common = -(-total * num // (num + den))  # least for a link
+            j = a + np.flatnonzero(np.bitwise_count(self.parity[a:i] ^ self.parity[i]).sum(axis=1) <= total - 2 * common)
+            if len(j):
+                got, k = _estimate(self.sketch[j], np.broadcast_to(self.sketch[i], (len(j), SKETCH)))
+                t = num / den
+                # where a set is smaller than its sketch, up to a quarter of the common values rank beyond k
+                enough = np.where(k < SKETCH, 0.5 * t * k - 2, t * k - SLACK * np.sqrt(t * (1 - t) * k))
+                j = j[got >= enough]
+            if len(j):
+                yield i, j
+
+    def forest(self) -> Iterator[tuple]:
+        """Pairs that connect whatever the list's pairs connect."""
+        label = np.arange(len(self.n))
+        for i, js in self.pairs():
+            roots, first = np.unique(label[js], return_index=True)
+            for j in js[first].tolist():
+                yield self.ids[i], self.ids[j]
+            label[np.isin(label, roots)] = label[i]
+
+    def between(self, group: list) -> Iterator[tuple]:
+        """All pairs of different groups (given in the order of sizes)."""
+        for i, js in self.pairs():
+            for j in js.tolist():
+                if group[i] != group[j]:
+                    yield self.ids[i], self.ids[j]
+
+
+def _listed(postings: DataFrame, lists: DataFrame, total: int, num: int, den: int, label: bool) -> DataFrame:
+    """``v, a, b`` with a < b: per list a forest of its pairs, or with ``label`` all its pairs between labels."""
+    key = postings.schema["doc_id"].dataType.simpleString()
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = attach(postings, lists.select("v", "m"), "v", "m", total).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a text goes to each pair of blocks that its own block is part of
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    columns = ["v", "lo", "hi", "doc_id", "n", "sketch", "parity", *(["label"] if label else [])]
+    rows = rows.select(*columns).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi", "doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in columns[3:]}
+        out: tuple[list, list, list] = ([], [], [])
+        now, kind = None, None
+
+        def close() -> None:
+            if len(held["doc_id"]) > 1:
+                n = np.array(held["n"])
+                x = _List(held["doc_id"], n, held["sketch"], held["parity"], num, den)
+                order = np.argsort(n, kind="stable")
+                found = x.between([held["label"][i] for i in order]) if label else x.forest()
+                for a, b in found:
+                    out[0].append(now[0])
+                    out[1].append(min(a, b))
+                    out[2].append(max(a, b))
+            for c in held.values():
+                c.clear()
+
+        def batch() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], kind)], ["v", "a", "b"])
+            for c in out:
+                c.clear()
+            return got
 
-    return reps.select("doc_id", "n", "retained").mapInArrow(post, f"v long, doc_id {key}, n long")
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch shows enough common values."""
-    key = reps.schema["doc_id"].dataType.simpleString()
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = np.sort(np.concatenate([x, y]))
-                same = both[1:] == both[:-1]
-                k = max(len(x), len(y))
-                # the union's k smallest: distinct values in order, counting those that stand twice
-                rank = np.arange(1, len(both)) - np.concatenate([[0], np.cumsum(same)[:-1]])
-                common = int(np.count_nonzero(same & (rank <= k)))
-                keep[i] = common >= (LEAST_COMMON if k >= SKETCH else max(1, k * LEAST_COMMON // SKETCH - 2))
-            keep = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
-
-    return rows.mapInArrow(estimate, f"a {key}, b {key}")
+            if not b.num_rows:
+                continue
+            kind = b.schema.field("doc_id").type
+            v, lo, hi = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "lo", "hi"))
+            new = np.flatnonzero((v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            bounds = [0, *new.tolist(), len(v)]
+            values = {c: b.column(c).to_pylist() for c in held}
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                this = (int(v[s]), int(lo[s]), int(hi[s]))
+                if this != now:
+                    if now is not None:
+                        close()
+                    now = this
+                for c in held:
+                    held[c] += values[c][s:e]
+            if len(out[0]) > 10_000:
+                yield batch()
+        if now is not None:
+            close()
+        if kind is not None and out[0]:
+            yield batch()
+
+    return rows.mapInArrow(compare, f"v long, a {key}, b {key}")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) -> DataFrame:
     """Pairs at the threshold on full sets. A text is compared in bundles of ``BUNDLE`` partners."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    crowded = sizes.filter(F.col("m") > BUNDLE)
+    crowded = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BUNDLE)
     pairs = pairs.join(crowded, "a", "left").withColumn("salt", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BUNDLE)))).drop("m")
     asked = pairs.select("a", "salt", F.col("b").alias("doc_id"), F.lit(False).alias("lead")).unionByName(
         pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(True).alias("lead"))
     )
-    texts = only_ids(docs.select("doc_id", "text"), asked.select("doc_id").distinct(), "doc_id")
+    texts = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"), "doc_id")
     rows = asked.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead")).select("doc_id", "text", "a", "lead")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``shingle_words``-word shingles of the text with A-Z lower-cased and words cut at ASCII white space; a text
     of fewer words is one shingle. ``component_id`` is the smallest id reachable over links, ``kept`` marks
     the row that has it. Texts that are null or have no word link with nothing and are kept. A row with a
-    null id is its own component (null) and kept. Rows that repeat an id are one node. Further columns
-    are not read.
+    null id is its own component (null) and kept. Rows that repeat an id are one node, whose set is one of
+    theirs. Further columns are not read.
     """
     w, (num, den) = shingle_words, threshold
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,49 +282,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = written(sketches(docs, w, num, den), "sketches")
     total = base.count()
     groups = written(base.filter("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    lists = groups.select(F.col("rep").alias("doc_id")).distinct()
-    reps = _one_each(written(base.filter("n > 0").join(lists, "doc_id", "left_semi"), "reps"))
-
-    lengths = _postings(reps).groupBy("v").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > LONG)
-    lengths = written(lengths, "long")
-    long_from = LONG
-    if (lines := lengths.agg(F.sum("m").alias("m")).first()["m"]) and lines > LONG * LONG_VALUES:
-        long_from = lines // LONG_VALUES
-    values = np.sort(lengths.filter(F.col("m") > long_from).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
-    if len(values):  # at most LONG_VALUES values of 8 bytes
-        last = docs.sparkSession.sparkContext.broadcast(values)
-        again = sketches(named, w, num, den, last).select("doc_id", F.col("retained").alias("r2"))
-        reps = _one_each(written(reps.drop("retained").join(again.withColumnRenamed("r2", "retained"), "doc_id"), "reps"))
-
-    postings = written(_postings(reps), "postings")
-    heads = written(postings.groupBy("v").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "heads")
-    n_postings = postings.count()
-    met = attach(postings, heads, "v", "m", n_postings)
-    fit = F.col("na") * num <= F.col("n") * den
-    sizes = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    first = met.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n").distinct()
-    first = first.join(sizes, "a").filter(fit & (F.col("n") * num <= F.col("na") * den)).select("a", "b")
-    first = written(_estimated(first, reps), "near")
-    links = written(_verified(first, named, w, num, den), "links")
+    first_of = groups.select(F.col("rep").alias("doc_id")).distinct()
+    pick = lambda table: _one_each(written(table.filter("doc_id IS NOT NULL AND n > 0").drop("fp").join(first_of, "doc_id", "left_semi"), "reps"))
+    reps = pick(base)
+
+    count_of = lambda rows: rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    counts = written(count_of(_postings(reps).select("v")).filter("m > 1"), "counts")
+    sums = counts.filter(F.col("m") > LONG).agg(F.sum("m").alias("m")).first()["m"] or 0
+    long_from = max(LONG, sums // LONG_VALUES)
+    late = np.sort(counts.filter(F.col("m") > long_from).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
+    if len(late):  # LONG_VALUES values of 8 bytes at most
+        reps = pick(sketches(named, w, num, den, docs.sparkSession.sparkContext.broadcast(late)))
+        counts = written(count_of(_postings(reps).select("v")).filter("m > 1"), "counts")
+    postings = _postings(reps)
+    n_postings = counts.agg(F.sum("m").alias("m")).first()["m"] or 0
+
+    tried = written(_listed(postings, counts, n_postings, num, den, label=False), "tried")
+    pairs = written(tried.select("a", "b").distinct(), "pairs")
+    links = written(_verified(pairs, named, w, num, den), "links")
     labels = components(links)
 
-    # what is left: pairs of a list that aren't in one component yet
-    open_lists = attach(postings, heads.select("v", "m"), "v", "m", n_postings).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    open_lists = written(open_lists.select("v", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "open")
-    mixed = open_lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2")
-    mixed = written(mixed.select("v", "m"), "mixed")
-    rest = written(attach(open_lists, mixed, "v", "m", n_postings).drop("m"), "rest")
-    x, y = (rest.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "label"))) for s in "xy")
-    second = x.join(y, "v").filter(
-        (F.col("label_x") != F.col("label_y"))
-        & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("doc_id_x") < F.col("doc_id_y"))))
-        & (F.col("n_y") * num <= F.col("n_x") * den)
-    )
-    second = second.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    second = written(_estimated(second, reps), "near")
-    more = written(_verified(second, named, w, num, den), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), labels)
+    failed = tried.join(pairs.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("v").distinct()
+    failed = written(counts.join(failed, "v", "left_semi"), "failed")
+    if (open_lists := failed.limit(BROADCAST_ROWS + 1).count()) > 0:
+        few = postings.join(F.broadcast(failed.select("v")) if open_lists <= BROADCAST_ROWS else failed.select("v"), "v", "left_semi")
+        few = few.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        rest = written(_listed(few, failed, n_postings, num, den, label=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+        more = written(_verified(rest, named, w, num, den), "links")
+        if more.limit(1).count():
+            labels = components(links.unionByName(more), labels)
 
     # each row by its set's class, and the class by its representative's component
     nodes = base.select("doc_id", "n", "fp")
