@@ -6,13 +6,14 @@ the occurrences of its anchor, some ``2 / (size - k + 2)`` of all places. Only a
 more than once (``repeats``) leave their task, with the items around them that a common window can reach:
 ``size - k`` to the left and ``size`` to the right.
 
-Occurrences with equal surroundings form a class. All but the first of a class are covered as far as
-the surroundings reach; what the first ones share with earlier ones of other classes is for the caller's
-``solve``, which gets the classes of an anchor in the order of their first occurrence. Classes meet by
-anchor after each task merged its own, and members look their class up by a 128-bit key through ``attach``,
-so a passage that is in very many texts does not gather in a task. An anchor with more than ``CLASSES``
-different surroundings (a passage's edge in very many texts) is not held in memory either: its windows
-are hashed one by one, and their first occurrences found by partial aggregation.
+Occurrences with equal surroundings form a class; a first shuffle brings the classes' 128-bit keys together by
+anchor, after each task merged its own, and finds the first member of each. Two filters of fixed size then
+tell the tasks which places are first members, and which anchors have more than one class. All other members
+are covered as far as their surroundings reach, which needs no shuffle. First members of anchors with several
+classes send their surroundings, and ``solve`` finds what they share with earlier ones. So a passage that is
+in very many texts does not gather in a task. An anchor with more than ``CLASSES`` different surroundings (a
+passage's edge in very many texts) isn't held in memory either: its windows are hashed one by one,
+and their first occurrences found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import mix, pieces
-from .repeats import MOST_BITS, PARTS, may_repeat, parts, repeat_filter
+from .repeats import HELD, MOST_BITS, PARTS, may_repeat, parts, repeat_filter
 from .shared import attach, written
 
 #: Surroundings of one anchor that are compared in memory.
@@ -72,6 +75,24 @@ def _two(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def _where(ids: pa.Array, place: np.ndarray) -> np.ndarray:
+    """A code of each place of a text."""
+    if pa.types.is_integer(ids.type):
+        x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    else:
+        x = np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
+    return mix(mix(x) + place.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    values = ids.to_pylist()
+    number = {repr(v): i for i, v in enumerate(sorted(values, key=lambda v: tuple(v.values()) if isinstance(v, dict) else v))}
+    return np.array([number[repr(v)] for v in values])
+
+
 def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, item_bytes: int) -> DataFrame:
     """``doc_id, lo, hi``: item spans of ``docs(doc_id, text)`` covered by windows that also start earlier.
 
@@ -106,120 +127,152 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
             c = np.minimum(bounds[row + 1] - places, right)
             around = context(places, a, c, left, right)
             tag = np.concatenate([around, a.astype(np.uint16)[:, None].view(np.uint8), c.astype(np.uint16)[:, None].view(np.uint8), h[:, None].view(np.uint8)], axis=1)
-            yield ids, row, h, places - bounds[row], a, c, around, _two(tag)
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, h, place, a, c, around, (k1, k2) in found(batches):
-            if not len(h):
+            yield ids.take(pa.array(row)), h, places - bounds[row], a, c, around, *_two(tag)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each class that the task has, with its first member there and the number of them."""
+        held: list[tuple] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x[0] for x in held])
+            h, place, k1, k2 = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
+            order = np.lexsort((place, _ranks(ids), k2, k1))
+            a, b = k1[order], k2[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            pick, times = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x[pick].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(pick)), pa.array(place[pick]), pa.array(times)], ["h", "k1", "k2", "doc_id", "place", "m"])
+
+        for ids, h, place, _, _, _, k1, k2 in found(batches):
+            held.append((ids, h, place, k1, k2))
+            n += len(h)
+            if n > HELD:
+                yield out()
+                n = 0
+        if n:
+            yield out()
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by class and place, the first of each class with the sum of ``m``."""
+        last: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            # one row a class and piece; rows of a piece are in the order of the input, not of the ids
-            rank = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")[row] if pa.types.is_integer(ids.type) else np.array([sorted(ids.to_pylist()).index(x) for x in ids.to_pylist()])[row]
-            order = np.lexsort((place, rank, k2, k1))
-            new = np.ones(len(order), bool)
-            new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-            pick = order[new]
-            times = np.diff(np.append(np.flatnonzero(new), len(order)))
-            flat = np.ascontiguousarray(around[pick])
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([last, t]).combine_chunks() if last is not None else t
+            h, k1, k2, m = (t.column(c).to_numpy() for c in ("h", "k1", "k2", "m"))
+            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+            t = t.take(pa.array(at)).set_column(5, "m", pa.array(np.add.reduceat(m, at)))
+            last = t.slice(len(at) - 1)
+            yield from t.slice(0, len(at) - 1).combine_chunks().to_batches()
+        if last is not None:
+            yield from last.combine_chunks().to_batches()
+
+    row_type = f"h long, k1 long, k2 long, doc_id {key}, place long, m long"
+    sorted_keys = docs.mapInArrow(keys, row_type).repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "place")
+    classes = written(sorted_keys.mapInArrow(firsts, row_type), "classes")
+
+    def anchor_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield _where(b.column("doc_id"), b.column("place").to_numpy(zero_copy_only=False))
+
+    several = repeat_filter(classes.select("h").mapInArrow(lambda it: parts(anchor_codes(it), MOST_BITS), PARTS), MOST_BITS)
+    leading = repeat_filter(classes.select("doc_id", "place").mapInArrow(lambda it: parts(places_of(it), MOST_BITS, 2), PARTS), MOST_BITS)
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of members that are certainly not the first of their class."""
+        for ids, _, place, a, c, _, _, _ in found(batches):
+            i = np.flatnonzero(~may_repeat(leading.value, _where(ids, place), MOST_BITS))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array((place - a)[i]), pa.array((place + c)[i])], ["doc_id", "lo", "hi"])
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All others, with their surroundings where the anchor may have several classes."""
+        for ids, h, place, a, c, around, k1, k2 in found(batches):
+            i = np.flatnonzero(may_repeat(leading.value, _where(ids, place), MOST_BITS))
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(i), [None, pa.py_buffer(np.ascontiguousarray(around[i]).tobytes())]).cast(pa.binary())
+            flat = pc.if_else(pa.array(may_repeat(several.value, h[i], MOST_BITS)), flat, pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[pick].view(np.int64)), pa.array(k1[pick].view(np.int64)), pa.array(k2[pick].view(np.int64)), ids.take(pa.array(row[pick])), pa.array(place[pick]),
-                    pa.array(a[pick].astype(np.int16)), pa.array(c[pick].astype(np.int16)), pa.array(times.astype(np.int64)),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(pick), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
-                ],
-                ["h", "k1", "k2", "doc_id", "place", "a", "c", "m", "around"],
-            )
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, h, place, a, c, _, (k1, k2) in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), ids.take(pa.array(row)), pa.array(place), pa.array(a.astype(np.int16)), pa.array(c.astype(np.int16))], ["k1", "k2", "doc_id", "place", "a", "c"])
+                [*(pa.array(x[i].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(i)), pa.array(place[i]), pa.array(a[i].astype(np.int16)), pa.array(c[i].astype(np.int16)), flat],
+                ["h", "k1", "k2", "doc_id", "place", "a", "c", "around"],
+            )
 
     def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by anchor, class and place: classes with members (kind 1), spans (0), windows to be counted (2)."""
-        out: dict[str, list] = {}
-        held: list[list] = []  # classes of the anchor: [doc, place, a, c, around, k1, k2, m]
-        now = None
-        wide = False  # whether the anchor has more classes than are compared in memory
-        types = [pa.int8(), pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int64()]
-        names = ["kind", "k1", "k2", "doc_id", "lo", "hi", "m"]
-
-        def clear() -> None:
-            out.update({n: [] for n in names})
+        """Rows sorted by anchor, class and place: covered spans (kind 0), and windows to be counted (1)."""
+        names = ["kind", "k1", "k2", "doc_id", "lo", "hi"]
+        out: dict[str, list] = {n: [] for n in names}
+        held: list[tuple] = []  # first members of the anchor's classes: (doc, place, a, c, around)
+        now, wide = None, False  # wide: the anchor has more classes than are compared in memory
+        kind_of_id = None
 
         def put(*values) -> None:
             for n, v in zip(names, values, strict=True):
                 out[n].append(v)
 
-        def windows(rows: list[list]) -> None:
-            x = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), width)
-            a, c = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        def windows() -> None:
+            x = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), width)
+            a, c = np.array([r[2] for r in held]), np.array([r[3] for r in held])
             for o in range(left + 1):  # the window that starts o items before the anchor
                 ok = np.flatnonzero((a >= o) & (c >= size - o))
-                cut = x[ok, (left - o) * item_bytes : (left - o + size) * item_bytes]
-                w1, w2 = _two(cut)
+                w1, w2 = _two(x[ok, (left - o) * item_bytes : (left - o + size) * item_bytes])
                 for i, u, v in zip(ok.tolist(), w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True):
-                    put(2, u, v, rows[i][0], rows[i][1] - o, rows[i][1] - o + size, 1)
+                    put(1, u, v, held[i][0], held[i][1] - o, held[i][1] - o + size)
+            held.clear()
 
         def close() -> None:
             if wide:
-                windows(held)
+                windows()
             elif len(held) > 1:
-                held.sort(key=lambda r: (r[0], r[1]))
+                held.sort(key=lambda r: (tuple(r[0].values()) if isinstance(r[0], dict) else r[0], r[1]))
                 for r, reach in zip(held, solve([(r[4], r[2], r[3]) for r in held]), strict=True):
                     if reach is not None:
-                        put(0, None, None, r[0], r[1] - reach[0], r[1] + reach[1], None)
+                        put(0, None, None, r[0], r[1] - reach[0], r[1] + reach[1])
             held.clear()
 
-        def settle(r: list) -> None:
-            if r[7] > 1:
-                put(1, r[5], r[6], r[0], r[1], None, r[7])
-
         def batch() -> pa.RecordBatch:
-            types[3] = kind_of_id
-            return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
+            types = [pa.int8(), pa.int64(), pa.int64(), kind_of_id, pa.int64(), pa.int64()]
+            got = pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names)
+            for c in out.values():
+                c.clear()
+            return got
 
-        clear()
-        kind_of_id = None
+        this = None
         for b in batches:
             kind_of_id = b.schema.field("doc_id").type
-            for h, k1, k2, doc, place, a, c, m, around in zip(*(b.column(n).to_pylist() for n in ("h", "k1", "k2", "doc_id", "place", "a", "c", "m", "around")), strict=True):
+            for h, k1, k2, doc, place, a, c, around in zip(*(b.column(n).to_pylist() for n in ("h", "k1", "k2", "doc_id", "place", "a", "c", "around")), strict=True):
                 if h != now:
-                    if held:
-                        settle(held[-1])
                     close()
-                    now, wide = h, False
-                elif held and held[-1][5] == k1 and held[-1][6] == k2:
-                    held[-1][7] += m
+                    now, wide, this = h, False, None
+                if this == (k1, k2):  # the filter let a later member through
+                    put(0, None, None, doc, place - a, place + c)
                     continue
-                elif held:
-                    settle(held[-1])
+                this = (k1, k2)
+                if around is not None:
                     if len(held) >= CLASSES:
-                        windows(held)
-                        held.clear()
                         wide = True
-                held.append([doc, place, a, c, around, k1, k2, m])
+                        windows()
+                    held.append((doc, place, a, c, around))
             if len(out["kind"]) > 5000:
                 yield batch()
-                clear()
-        if held:
-            settle(held[-1])
         close()
         if kind_of_id is not None and out["kind"]:
             yield batch()
 
-    met = docs.mapInArrow(classes, f"h long, k1 long, k2 long, doc_id {key}, place long, a short, c short, m long, around binary")
+    met = docs.mapInArrow(leaders, f"h long, k1 long, k2 long, doc_id {key}, place long, a short, c short, around binary")
     met = met.repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "place")
-    told = written(met.mapInArrow(by_anchor, f"kind byte, k1 long, k2 long, doc_id {key}, lo long, hi long, m long"), "told")
-
-    spans = told.filter("kind = 0").select("doc_id", "lo", "hi")
-    first = told.filter("kind = 1").select(F.struct("k1", "k2").alias("k"), "m", F.col("doc_id").alias("doc"), F.col("lo").alias("at"))
-    rows = docs.mapInArrow(members, f"k1 long, k2 long, doc_id {key}, place long, a short, c short")
-    total = first.agg(F.sum("m").alias("m")).first()["m"] or 0
-    later = attach(rows.select(F.struct("k1", "k2").alias("k"), "doc_id", "place", "a", "c"), first, "k", "m", total).filter("doc_id <> doc OR place <> at")
-    later = later.select("doc_id", (F.col("place") - F.col("a")).alias("lo"), (F.col("place") + F.col("c")).alias("hi"))
-    windows_of = told.filter("kind = 2").select(F.struct("k1", "k2").alias("k"), "doc_id", "lo", "hi")
-    seen = written(windows_of.groupBy("k").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "windows")
-    twice = attach(windows_of, seen, "k", "m", total).filter("doc_id <> first.doc_id OR lo <> first.lo").select("doc_id", "lo", "hi")
-    return spans.unionByName(later).unionByName(twice)
+    told = written(met.mapInArrow(by_anchor, f"kind byte, k1 long, k2 long, doc_id {key}, lo long, hi long"), "told")
+
+    spans = told.filter("kind = 0").select("doc_id", "lo", "hi").unionByName(docs.mapInArrow(later, f"doc_id {key}, lo long, hi long"))
+    windows_of = told.filter("kind = 1").select(F.struct("k1", "k2").alias("k"), "doc_id", "lo", "hi")
+    if (n_windows := windows_of.count()) > 0:
+        seen = written(windows_of.groupBy("k").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "windows")
+        twice = attach(windows_of, seen, "k", "m", n_windows).filter("doc_id <> first.doc_id OR lo <> first.lo").select("doc_id", "lo", "hi")
+        spans = spans.unionByName(twice)
+    return spans
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Each task keeps two sparse bit sets over ``2**bits`` slots, one of slots seen and one of slots seen
 again, and sends both as short lists by block of slots; blocks merge by OR, where a slot seen in two
 parts counts as seen again. So some 2 bytes a code are shuffled, and no row. The merged filter has
-``2**bits / 8`` bytes (32 MB at the largest setting) whatever the input, so it may be broadcast. It
+``2**bits / 8`` bytes (16 MB at the largest setting) whatever the input, so it may be broadcast. It
 has no false negatives; with more codes than slots it lets more through, and callers stay exact.
 """
 
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from .codes import mix
+
 BLOCK_BITS = 16
-MOST_BITS = 28
+MOST_BITS = 27
 PARTS = "block int, seen binary, again binary"
 #: Codes that a task holds before it sends its lists on.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def bits_for(n: int) -> int:
@@ -28,8 +30,14 @@ def bits_for(n: int) -> int:
     return min(MOST_BITS, max(BLOCK_BITS, (16 * max(n, 1)).bit_length()))
 
 
-def _parts(codes: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    slots, times = np.unique(np.concatenate(codes) >> np.uint64(64 - bits), return_counts=True)
+def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of codes, mixed once more: codes may have been chosen for being small."""
+    return mix(codes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)
+
+
+def _parts(codes: list[np.ndarray], bits: int, times_all: int = 1) -> pa.RecordBatch:
+    slots, times = np.unique(_slots(np.concatenate(codes), bits), return_counts=True)
+    times = times * times_all
     block = (slots >> np.uint64(BLOCK_BITS)).astype(np.int32)
     low = (slots & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16)
     ids, at = np.unique(block, return_index=True)
@@ -41,8 +49,11 @@ def _parts(codes: list[np.ndarray], bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen, pa.binary()), pa.array(again, pa.binary())], ["block", "seen", "again"])
 
 
-def parts(codes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """A task's share of the filter, for a ``mapInArrow`` with schema ``PARTS``."""
+def parts(codes: Iterator[np.ndarray], bits: int, times: int = 1) -> Iterator[pa.RecordBatch]:
+    """A task's share of the filter, for a ``mapInArrow`` with schema ``PARTS``.
+
+    With ``times`` 2 each code counts twice, so the filter is of codes seen at all.
+    """
     held: list[np.ndarray] = []
     n = 0
     for x in codes:
@@ -50,10 +61,10 @@ def parts(codes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
             held.append(x)
             n += len(x)
         if n >= HELD:
-            yield _parts(held, bits)
+            yield _parts(held, bits, times)
             held, n = [], 0
     if held:
-        yield _parts(held, bits)
+        yield _parts(held, bits, times)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,5 +101,5 @@ def repeat_filter(part_rows: DataFrame, bits: int) -> Broadcast:
 
 def may_repeat(table: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
     """Whether each code may occur more than once; false is certain."""
-    slots = codes >> np.uint64(64 - bits)
+    slots = _slots(codes, bits)
     return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
