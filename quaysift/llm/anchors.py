@@ -23,12 +23,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import mix, pieces
-from .repeats import HELD, MOST_BITS, PARTS, may_repeat, parts, repeat_filter
+from .repeats import HELD, MOST_BITS, PARTS, id_codes, may_repeat, parts, repeat_filter
 from .shared import attach, written
 
 #: Surroundings of one anchor that are compared in memory.
@@ -77,11 +76,7 @@ def _two(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _where(ids: pa.Array, place: np.ndarray) -> np.ndarray:
     """A code of each place of a text."""
-    if pa.types.is_integer(ids.type):
-        x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    else:
-        x = np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
-    return mix(mix(x) + place.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(id_codes(ids) + place.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:

@@ -12,8 +12,9 @@ linked sets have at most as many values to themselves, so these must meet in one
 Within a list, two bounds filter pairs. The parity bitmaps of two sets differ in no more bits than the sets
 differ in values, which never loses a link; the similarity estimated from the union of both 32-value sketches
 then has to come near the threshold. A list sends on a spanning forest of the pairs that remain, not all of
-them. These are verified on full sets. Lists in which a pair of the forest failed are
-looked through once more for pairs whose texts are still in different components, and all of these are verified.
+them. These are verified on full sets. Lists in which a pair of the forest failed are looked through twice more
+for pairs whose texts are still in different components: the closest few of each two components are verified
+first, which joins most of what belongs together, and then all that remain.
 Texts with equal sets are one class from the start.
 """
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .codes import pieces, shingle_sets, words
 from .components import components
-from .repeats import MOST_BITS, PARTS, may_repeat, parts, repeat_filter
-from .shared import BROADCAST_ROWS, attach, only_ids, written
+from .repeats import MOST_BITS, PARTS, may_repeat, only_ids, parts, repeat_filter
+from .shared import BROADCAST_ROWS, attach, written
 
 #: Smallest values by which texts meet.
 RETAINED = 10
@@ -43,6 +44,8 @@ PARITY = 1024
 LONG, LONG_VALUES = 1_000, 1_000_000
 #: Texts of a list that are compared in one task; longer lists are cut into pairs of blocks.
 BLOCK = 4_096
+#: Pairs of each two components of a list that are verified before all others.
+CLOSEST = 4
 #: Partners of one text that are verified in one bundle.
 BUNDLE = 200
 _NONE = np.uint32(0xFFFFFFFF)
@@ -135,8 +138,8 @@ class _List:
         self.parity = np.frombuffer(b"".join(parity), np.uint64).reshape(len(ids), -1)[order]
         self.num, self.den = num, den
 
-    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(i, js before i): sizes, parity and union estimate allow a link."""
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(i, js before i, bits in which they differ): sizes, parity and union estimate allow a link."""
         num, den, n = self.num, self.den, self.n
         for i in range(1, len(n)):
             a = int(np.searchsorted(n, -(-int(n[i]) * num // den)))
@@ -144,7 +147,8 @@ class _List:
                 continue
             total = n[a:i] + n[i]
             common = -(-total * num // (num + den))  # least for a link
-            j = a + np.flatnonzero(np.bitwise_count(self.parity[a:i] ^ self.parity[i]).sum(axis=1) <= total - 2 * common)
+            apart = np.bitwise_count(self.parity[a:i] ^ self.parity[i]).sum(axis=1, dtype=np.int64)
+            j = a + np.flatnonzero(apart <= total - 2 * common)
             if len(j):
                 got, k = _estimate(self.sketch[j], np.broadcast_to(self.sketch[i], (len(j), SKETCH)))
                 t = num / den
@@ -152,27 +156,48 @@ class _List:
                 enough = np.where(k < SKETCH, 0.5 * t * k - 2, t * k - SLACK * np.sqrt(t * (1 - t) * k))
                 j = j[got >= enough]
             if len(j):
-                yield i, j
+                yield i, j, apart[j - a]
 
     def forest(self) -> Iterator[tuple]:
-        """Pairs that connect whatever the list's pairs connect."""
+        """Pairs that connect whatever the list's pairs connect, of the closest ones."""
         label = np.arange(len(self.n))
-        for i, js in self.pairs():
+        for i, js, apart in self.pairs():
+            js = js[np.argsort(apart, kind="stable")]
             roots, first = np.unique(label[js], return_index=True)
             for j in js[first].tolist():
                 yield self.ids[i], self.ids[j]
             label[np.isin(label, roots)] = label[i]
 
-    def between(self, group: list) -> Iterator[tuple]:
-        """All pairs of different groups (given in the order of sizes)."""
-        for i, js in self.pairs():
-            for j in js.tolist():
-                if group[i] != group[j]:
-                    yield self.ids[i], self.ids[j]
-
-
-def _listed(postings: DataFrame, lists: DataFrame, total: int, num: int, den: int, label: bool) -> DataFrame:
-    """``v, a, b`` with a < b: per list a forest of its pairs, or with ``label`` all its pairs between labels."""
+    def between(self, group: list, most: int | None) -> Iterator[tuple]:
+        """Pairs of different groups (given in the order of sizes): the ``most`` closest of each two groups, or all."""
+        number = {g: k for k, g in enumerate(sorted(set(group)))}
+        g = np.array([number[x] for x in group])
+        held = np.zeros((0, 4), np.int64)  # i, j, bits, the two groups
+
+        def closest(x: np.ndarray) -> np.ndarray:
+            if most is None or not len(x):
+                return x
+            x = x[np.lexsort((x[:, 1], x[:, 0], x[:, 2], x[:, 3]))]
+            at = np.flatnonzero(np.concatenate([[True], x[1:, 3] != x[:-1, 3]]))
+            rank = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
+            return x[rank < most]
+
+        new: list[np.ndarray] = []
+        n = 0
+        for i, js, apart in self.pairs():
+            ok = g[js] != g[i]
+            js, apart = js[ok], apart[ok]
+            two = np.minimum(g[js], g[i]) * len(number) + np.maximum(g[js], g[i])
+            new.append(np.column_stack([np.full(len(js), i), js, apart, two]))
+            n += len(js)
+            if n > 1 << 18:
+                held, new, n = closest(np.concatenate([held, *new])), [], 0
+        for i, j in closest(np.concatenate([held, *new]))[:, :2].tolist():
+            yield self.ids[i], self.ids[j]
+
+
+def _listed(postings: DataFrame, lists: DataFrame, total: int, num: int, den: int, label: bool, most: int | None = None) -> DataFrame:
+    """``v, a, b`` with a < b: per list a forest of its pairs, or with ``label`` its pairs between labels, the ``most`` closest of each two."""
     key = postings.schema["doc_id"].dataType.simpleString()
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = attach(postings, lists.select("v", "m"), "v", "m", total).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -192,7 +217,7 @@ def _listed(postings: DataFrame, lists: DataFrame, total: int, num: int, den: in
                 n = np.array(held["n"])
                 x = _List(held["doc_id"], n, held["sketch"], held["parity"], num, den)
                 order = np.argsort(n, kind="stable")
-                found = x.between([held["label"][i] for i in order]) if label else x.forest()
+                found = x.between([held["label"][i] for i in order], most) if label else x.forest()
                 for a, b in found:
                     out[0].append(now[0])
                     out[1].append(min(a, b))
@@ -240,7 +265,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) ->
     asked = pairs.select("a", "salt", F.col("b").alias("doc_id"), F.lit(False).alias("lead")).unionByName(
         pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(True).alias("lead"))
     )
-    texts = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"), "doc_id")
+    texts = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"))
     rows = asked.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead")).select("doc_id", "text", "a", "lead")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,13 +329,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     failed = tried.join(pairs.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("v").distinct()
     failed = written(counts.join(failed, "v", "left_semi"), "failed")
-    if (open_lists := failed.limit(BROADCAST_ROWS + 1).count()) > 0:
+    open_lists = failed.limit(BROADCAST_ROWS + 1).count()
+    for most in [CLOSEST, None] if open_lists else []:
         few = postings.join(F.broadcast(failed.select("v")) if open_lists <= BROADCAST_ROWS else failed.select("v"), "v", "left_semi")
         few = few.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        rest = written(_listed(few, failed, n_postings, num, den, label=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+        rest = _listed(few, failed, n_postings, num, den, label=True, most=most).select("a", "b").distinct()
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
         more = written(_verified(rest, named, w, num, den), "links")
+        pairs = pairs.unionByName(rest)
         if more.limit(1).count():
-            labels = components(links.unionByName(more), labels)
+            links = links.unionByName(more)
+            labels = components(links, labels)
 
     # each row by its set's class, and the class by its representative's component
     nodes = base.select("doc_id", "n", "fp")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -103,3 +104,26 @@ def may_repeat(table: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
     """Whether each code may occur more than once; false is certain."""
     slots = _slots(codes, bits)
     return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def id_codes(ids: pa.Array) -> np.ndarray:
+    """A code of each id."""
+    if pa.types.is_integer(ids.type):
+        return mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose ``key`` (not null) is among the ``ids``, but for few others that the filter lets through: rows that surely aren't asked for need not shuffle."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield id_codes(b.column(0))
+
+    asked = repeat_filter(ids.select(key).mapInArrow(lambda it: parts(seen(it), MOST_BITS, 2), PARTS), MOST_BITS)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(key)), MOST_BITS)))
+
+    return rows.mapInArrow(pick, rows.schema)

@@ -55,12 +55,6 @@ def attach(members: DataFrame, groups: DataFrame, key: str, size: str, total: in
     return hot.unionByName(rest)
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is among the distinct ``ids``: by broadcast while these are few, else by a shuffle."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys aren't in ``gone``: by broadcast while these are few, else by a shuffle. Null keys stay."""
     gone = written(gone.select(*keys).distinct(), "gone")
