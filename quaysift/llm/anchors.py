@@ -27,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import mix, pieces
-from .repeats import HELD, MOST_BITS, PARTS, id_codes, may_repeat, parts, repeat_filter
+from .repeats import MOST_BITS, PARTS, id_codes, may_repeat, parts, repeat_filter
 from .shared import attach, written
 
 #: Surroundings of one anchor that are compared in memory.
-CLASSES = 4096
+CLASSES = 1 << 16
+#: Places that a task holds before it merges their classes.
+PLACES = 1 << 18
+#: Bits of the filter of anchors that may repeat: the most numerous codes.
+ANCHOR_BITS = 28
 _LOW = np.uint64((1 << 28) - 1)
 
 #: (data, row offsets) -> (item bounds of the rows, code of each run of k items, item -> context row of bytes)
@@ -98,6 +102,7 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
     key = docs.schema["doc_id"].dataType.simpleString()
     left, right = size - k, size
     width = (left + right) * item_bytes
+    most = CLASSES
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
@@ -111,11 +116,11 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
         for _, _, h, _, _ in anchors(batches):
             yield h
 
-    again = repeat_filter(docs.mapInArrow(lambda it: parts(codes_of(it), MOST_BITS), PARTS), MOST_BITS)
+    again = repeat_filter(docs.mapInArrow(lambda it: parts(codes_of(it), ANCHOR_BITS), PARTS), ANCHOR_BITS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for ids, bounds, h, places, context in anchors(batches):
-            keep = may_repeat(again.value, h, MOST_BITS)
+            keep = may_repeat(again.value, h, ANCHOR_BITS)
             h, places = h[keep], places[keep]
             row = np.searchsorted(bounds, places, "right") - 1
             a = np.minimum(places - bounds[row], left)
@@ -142,7 +147,7 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
         for ids, h, place, _, _, _, k1, k2 in found(batches):
             held.append((ids, h, place, k1, k2))
             n += len(h)
-            if n > HELD:
+            if n > PLACES:
                 yield out()
                 n = 0
         if n:
@@ -247,7 +252,7 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
                     continue
                 this = (k1, k2)
                 if around is not None:
-                    if len(held) >= CLASSES:
+                    if len(held) >= most:
                         wide = True
                         windows()
                     held.append((doc, place, a, c, around))
