@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import q_admission, q_content, q_inspect, q_log  # noqa: E402, F401
+from . import q_admission, q_content, q_inspect, q_log, q_stream  # noqa: E402, F401
