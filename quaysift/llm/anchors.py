@@ -93,7 +93,7 @@ def _ranks(ids: pa.Array) -> np.ndarray:
 
 
 def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, item_bytes: int) -> DataFrame:
-    """``doc_id, lo, hi``: item spans of ``docs(doc_id, text)`` covered by windows that also start earlier.
+    """``doc_id, lo, hi``: item spans of ``docs(doc_id, text)`` covered by windows that also start earlier. Tasks merge what they have.
 
     Earlier is in a smaller id, or in the same text before. Spans of a text may overlap. Rows whose id is
     null take no part. Of rows that repeat an id, windows count as those of one text.
@@ -188,7 +188,8 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
         """Spans of members that are certainly not the first of their class."""
         for ids, _, place, a, c, _, _, _ in found(batches):
             i = np.flatnonzero(~may_repeat(leading.value, _where(ids, place), MOST_BITS))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array((place - a)[i]), pa.array((place + c)[i])], ["doc_id", "lo", "hi"])
+            if len(i):
+                yield _merged(ids.take(pa.array(i)), (place - a)[i], (place + c)[i])
 
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All others, with their surroundings where the anchor may have several classes."""
@@ -266,7 +267,14 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
     met = met.repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "place")
     told = written(met.mapInArrow(by_anchor, f"kind byte, k1 long, k2 long, doc_id {key}, lo long, hi long"), "told")
 
-    spans = told.filter("kind = 0").select("doc_id", "lo", "hi").unionByName(docs.mapInArrow(later, f"doc_id {key}, lo long, hi long"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _merged(b.column(0), *(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi")))
+
+    span_type = f"doc_id {key}, lo long, hi long"
+    # sources of spans are united after their Python step: chained steps would need two workers a task
+    spans = told.filter("kind = 0").select("doc_id", "lo", "hi").mapInArrow(merge, span_type).unionByName(docs.mapInArrow(later, span_type))
     windows_of = told.filter("kind = 1").select(F.struct("k1", "k2").alias("k"), "doc_id", "lo", "hi")
     if (n_windows := windows_of.count()) > 0:
         seen = written(windows_of.groupBy("k").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "windows")
@@ -275,31 +283,23 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
     return spans
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """``doc_id, los, his``: the maximal spans of each text, from pieces that may overlap.
-
-    Each task merges what it has before the shuffle, so a text meets its spans, a bounded share of its length.
-    """
+def _merged(ids: pa.Array, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """The maximal spans of a batch, per text."""
+    codes = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((lo, codes))
+    codes, lo, hi = codes[order], lo[order], hi[order]
+    base = codes * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + base)
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo + base)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(lo)) - 1
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(order[at])), pa.array(lo[at]), pa.array(reach[end] - base[end])], ["doc_id", "lo", "hi"])
 
-    key = spans.schema["doc_id"].dataType.simpleString()
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            b = pa.Table.from_batches([b]).sort_by([("doc_id", "ascending"), ("lo", "ascending")]).combine_chunks().to_batches()[0]
-            codes = b.column("doc_id").dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lo, hi = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
-            base = codes * (int(hi.max()) + 2)
-            reach = np.maximum.accumulate(hi + base)
-            new = np.ones(len(lo), bool)
-            new[1:] = (lo + base)[1:] > reach[:-1]
-            at = np.flatnonzero(new)
-            end = np.append(at[1:], len(lo)) - 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(lo[at]), pa.array(reach[end] - base[end])], ["doc_id", "lo", "hi"])
-
-    some = spans.select("doc_id", "lo", "hi").mapInArrow(local, f"doc_id {key}, lo long, hi long")
-    return some.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+def by_text(spans: DataFrame) -> DataFrame:
+    """``doc_id, spans``: the pieces of each text in order, which may overlap (``joined_spans`` joins them)."""
+    return spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
 def joined_spans(rows: list[dict] | None) -> list[tuple[int, int]]:

@@ -23,7 +23,7 @@ BLOCK_BITS = 16
 MOST_BITS = 27
 PARTS = "block int, seen binary, again binary"
 #: Codes that a task holds before it sends its lists on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def bits_for(n: int) -> int:

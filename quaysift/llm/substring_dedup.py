@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import covered, joined_spans, merged
+from .anchors import by_text, covered, joined_spans
 from .codes import runs, words
 
 #: Words of an anchor.
@@ -122,7 +122,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(reach)
         return out
 
-    spans = merged(covered(docs, coder, solve, ANCHOR, size, CODE))
+    spans = by_text(covered(docs, coder, solve, ANCHOR, size, CODE))
     rows = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     key = docs.schema["doc_id"].dataType.simpleString()
 

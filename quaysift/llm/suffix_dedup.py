@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import covered, joined_spans, merged
+from .anchors import by_text, covered, joined_spans
 from .codes import grams, sums
 
 #: Bytes of an anchor. Longer anchors are more of the places and less often shared by chance.
@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     reach[i] = (ell, r) if x is None else (max(x[0], ell), max(x[1], r))
         return reach
 
-    spans = merged(covered(docs, coder, solve, ANCHOR, size, 1))
+    spans = by_text(covered(docs, coder, solve, ANCHOR, size, 1))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(spans, "doc_id", "left")
     key = docs.schema["doc_id"].dataType.simpleString()
 
