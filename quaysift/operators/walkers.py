@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
 
 from .. import lookups
 
@@ -23,7 +22,8 @@ MOST_CHUNKS, MOST_BLOCKS = 4096, 1_000_000
 def explode_bytes(files: DataFrame, walk: Callable[[bytes], Iterator[tuple]], schema: str, key: str = "file_id", content: str = "content") -> DataFrame:
     """``key`` and a row for each tuple that ``walk`` yields of a row's content. Null content counts as empty."""
     kind = files.schema[key].dataType.simpleString()
-    fields = [f.name for f in _parse_datatype_string(schema).fields]
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -34,9 +34,7 @@ def explode_bytes(files: DataFrame, walk: Callable[[bytes], Iterator[tuple]], sc
                     keys.append(k)
                     rows.append(row)
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-            types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-            kinds = [types[f.dataType.simpleString()] for f in _parse_datatype_string(schema).fields]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], [key, *fields])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array(list(c), types[t]) for c, (_, t) in zip(columns, fields, strict=True))], [key, *(n for n, _ in fields)])
 
     return files.select(key, F.col(content).cast("binary")).mapInArrow(job, f"{key} {kind}, {schema}")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import lookups
 from ..functions import checks as C
 from ..operators import admission as A
-from .registry import query
+from .base import query
 from .views import aliases, duck, duck_values, registry, table
 
 REQ = f"WITH r AS ({duck('v_requests')})"

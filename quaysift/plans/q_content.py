@@ -10,7 +10,7 @@ from ..operators import integrity as I
 from ..operators import markup as K
 from ..operators import matching as M
 from .q_admission import FILES
-from .registry import query
+from .base import query
 from .views import duck, table
 
 HITS = f"""{FILES}, hits AS (SELECT file_id, 0 AS ordinal, 'has_und' AS rule_id FROM f WHERE contains(content, ' und ') UNION ALL SELECT file_id, 1, 'has_que' FROM f WHERE contains(content, ' que ')

@@ -9,7 +9,7 @@ from ..operators import archive as R
 from ..operators import image as G
 from ..operators import media as D
 from .q_admission import CATEGORY, DETECTED, FILES, REG, admitted, detected
-from .registry import query
+from .base import query
 from .views import duck, duck_values, registry, table
 
 ENTRIES = f"WITH e AS ({duck('v_entries')})"

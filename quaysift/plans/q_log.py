@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as U
 from .q_admission import ADMIT, CATEGORY, admitted
 from .q_content import HMAC, KEY
-from .registry import query
+from .base import query
 from .views import duck, table
 
 LOG = f"WITH s AS ({duck('v_scan_log')})"

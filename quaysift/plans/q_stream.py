@@ -13,7 +13,7 @@ from ..operators import admission as A
 from ..streaming import streams as S
 from .q_admission import ADMIT, CATEGORY
 from .q_log import COUNTERS, LOG
-from .registry import query
+from .base import query
 from .views import VIEWS, aliases, registry, table
 
 _own: list[str] = []
