@@ -25,8 +25,10 @@ FIT_DOCS = 4_000
 WINDOW, STEP = 64, 48
 #: zstandard's level; bytes of the dictionary of ordinary text.
 LEVEL, ORDINARY = 6, 16_384
+#: Bytes of ordinary text before each window. Both dictionaries hold them, so even a short window is compressed and not stored.
+LEAD = 64
 #: A stem is in this share of the toxic texts at least, and so many times less often in ordinary ones.
-SHARE, TIMES = 0.03, 30
+SHARE, TIMES = 0.03, 4
 STEM = range(3, 13)
 #: Savings in bytes that windows are counted by.
 SAVED = (1, 2, 3, 4, 6)
@@ -69,7 +71,7 @@ class Scorer:
         if self._made is None:
             made = []
             size = len(self.toxic) + len(self.ordinary)
-            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=size, min_match=4, hash_log=17, chain_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW + LEAD, dict_size=size, min_match=4, hash_log=17, chain_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
             # the stems stand first, so that all else is as far away in either dictionary
             for content in (self.ordinary, self.toxic + self.ordinary):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -83,7 +85,8 @@ class Scorer:
         plain, ordinary, toxic = _plain(text), *self._compressors()
         if not plain:
             return np.zeros(len(SAVED) + 2)
-        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in (plain[i : i + WINDOW] for i in range(0, max(1, len(plain) - (WINDOW - STEP)), STEP))])
+        lead = self.ordinary[-LEAD:]
+        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in (lead + plain[i : i + WINDOW] for i in range(0, max(1, len(plain) - (WINDOW - STEP)), STEP))])
         counts = np.array([np.count_nonzero(saved >= s) for s in SAVED], float)
         return np.concatenate([[max(saved.max(), 0)], np.log1p(counts), [counts[1] / len(saved)]])
 
