@@ -266,7 +266,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) ->
         pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(True).alias("lead"))
     )
     texts = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"))
-    rows = asked.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead")).select("doc_id", "text", "a", "lead")
+    # a merge join whatever the sizes: texts are large beside the pairs
+    rows = asked.hint("merge").join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead")).select("doc_id", "text", "a", "lead")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: np.ndarray | None = None
@@ -329,14 +330,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     failed = tried.join(pairs.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("v").distinct()
     failed = written(counts.join(failed, "v", "left_semi"), "failed")
-    open_lists = failed.limit(BROADCAST_ROWS + 1).count()
-    for most in [CLOSEST, None] if open_lists else []:
+    for most in [CLOSEST, None]:
+        open_lists = failed.limit(BROADCAST_ROWS + 1).count()
+        if not open_lists:
+            break
         few = postings.join(F.broadcast(failed.select("v")) if open_lists <= BROADCAST_ROWS else failed.select("v"), "v", "left_semi")
         few = few.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        rest = _listed(few, failed, n_postings, num, den, label=True, most=most).select("a", "b").distinct()
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        tried = written(_listed(few, failed, n_postings, num, den, label=True, most=most), "tried")
+        rest = written(tried.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
         more = written(_verified(rest, named, w, num, den), "links")
         pairs = pairs.unionByName(rest)
+        failed = written(failed.join(tried.select("v").distinct(), "v", "left_semi"), "failed")  # the others are done
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = components(links, labels)
