@@ -103,7 +103,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             step = np.arange(-left, right)
             out = codes[np.clip(places[:, None] + step, 0, max(len(codes) - 1, 0))]
             out[(step < -a[:, None]) | (step >= c[:, None])] = 0
-            return np.ascontiguousarray(out.view(np.uint8).reshape(len(places), left + right, 8)[:, :, :CODE]).reshape(len(places), -1)
+            return np.ascontiguousarray(out.view(np.uint8).reshape(len(places), left + right, 8)[:, :, :CODE]).reshape(len(places), (left + right) * CODE)
 
         return bounds, runs(codes, ANCHOR), context
 
