@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Characters that count as evidence at most when a score is made of cross-entropies.
 EVIDENCE = 200
 #: Bytes of text that are cut at once.
-PIECE = 8 << 20
+PIECE = 2 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 _OPEN, _SHUT = 1, 2
 
