@@ -28,9 +28,9 @@ _loaded: dict = {}
 
 def tokenizer_path(name: str, folder: str = TOKENIZERS) -> str:
     """The place of a public tokenizer's file, as the folder's own index gives it."""
-    try:
+    if importlib.util.find_spec("public_tokenizers") is not None:
         import public_tokenizers as index
-    except ImportError:
+    else:
         spec = importlib.util.spec_from_file_location("public_tokenizers", f"{folder}/__init__.py")
         index = importlib.util.module_from_spec(spec)
         sys.modules["public_tokenizers"] = index
