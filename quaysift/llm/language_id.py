@@ -56,6 +56,9 @@ class Model:
     def __init__(self, languages: list[str], words: list[list[str]], times: list[np.ndarray]) -> None:
         self.languages = languages
         n = len(languages)
+        self.limits = np.full(n, np.inf)
+        if not n:  # nothing was learned
+            return
         tables = [self._count(w, t) for w, t in zip(words, times, strict=True)]
         alphabet = len({c for some in words for w in some for c in w}) + 2
         self.base = 1.0 / alphabet
@@ -78,7 +81,6 @@ class Model:
             self.probs.append(prob.astype(np.float32))
             self.contexts.append(ctx)
             self.weights.append(weight)
-        self.limits = np.full(n, np.inf)
 
     @staticmethod
     def _count(words: list[str], times: np.ndarray) -> list[dict | None]:
@@ -199,6 +201,8 @@ def fit(docs: DataFrame) -> Model:
     words = words.sort_values(["lang", "word"])
     by = {k: x for k, x in words.groupby("lang")}
     languages = [k for k in languages if k in by]
+    if not languages:  # labelled texts without a letter
+        return Model([], [], [])
     model = Model(languages, [by[k]["word"].tolist() for k in languages], [by[k]["n"].to_numpy(float) for k in languages])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
