@@ -12,6 +12,7 @@ from quaysift.operators import archive as R
 from quaysift.operators import image as G
 from quaysift.operators import markup as K
 from quaysift.operators import walkers as X
+from quaysift.plans import q_bytes
 
 
 def png(*chunks, tail=b""):
@@ -87,6 +88,18 @@ def test_jpeg(spark):
     assert {r["file_id"]: (r["width"], r["height"]) for r in X.jpeg_dimensions(f).collect()} == {"a": (9, 7), "huffman": (9, 7)}
 
 
+def test_jpeg_whole_text():
+    """A document of any length stands in the comments whole."""
+    for body in (b"", b"ab", b"a" * 1001, bytes(range(256)) * 800):
+        made, rows = q_bytes._jpeg(7, body), list(X.jpeg_walk(q_bytes._jpeg(7, body)))
+        at, found = 2, b""
+        for _, marker, length, _, _ in rows[:-1]:
+            assert marker == 0xFE
+            found += made[at + 4 : at + 2 + length]
+            at += 2 + length
+        assert found == body and len(rows) == max(1, -(-len(body) // 65_533)) + 1 and rows[-1][3:] == (7, min(len(body), 1000))
+
+
 def test_zip(spark):
     whole = zipped(("a.txt", b"x" * 100), ("b/c.txt", b"y" * 5000))
     local = bytearray(whole)
