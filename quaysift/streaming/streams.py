@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import heapq
 import hmac
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +50,41 @@ def running_metrics(log: DataFrame) -> DataFrame:
     return U.scan_metrics(log)
 
 
+#: Rows of a key that are sorted in memory, and rows of an output chunk.
+RUN, OUT = 100_000, 10_000
+
+
+def in_order(rows: Iterator[pd.DataFrame], by: list[str], run: int = RUN) -> Iterator[dict]:
+    """All rows of a key's chunks in the order of ``by``, whatever the chunks' size: sorted runs in a file each, merged."""
+
+    def kept(chunks: list[pd.DataFrame]):
+        at = tempfile.TemporaryFile()
+        records = pd.concat(chunks).sort_values(by).to_dict("records")
+        for i in range(0, len(records), 1000):
+            pickle.dump(records[i : i + 1000], at)
+        at.seek(0)
+        return at
+
+    def read(at) -> Iterator[dict]:
+        with at:
+            while True:
+                try:
+                    part = pickle.load(at)
+                except EOFError:
+                    return
+                yield from part
+
+    runs, held, n = [], [], 0
+    for pdf in rows:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= run:
+            runs.append(kept(held))
+            held, n = [], 0
+    last = pd.concat(held).sort_values(by).to_dict("records") if held else []
+    yield from heapq.merge(*(read(at) for at in runs), last, key=itemgetter(*by))
+
+
 AUDIT_OUT = "duration_ms long, log_date string, plaintext_sha256 string, prev string, reason string, seq long, ts string, user_id long, verdict string, sig string"
 
 
@@ -60,9 +99,10 @@ class AuditProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seq, sig = self.tail.get() if self.tail.exists() else (0, U.GENESIS)
-        for pdf in rows:
+        ordered = in_order(rows, ["ts", "plaintext_sha256"])
+        while part := list(islice(ordered, OUT)):
             out = []
-            for r in pdf.sort_values(["ts", "plaintext_sha256"]).to_dict("records"):
+            for r in part:
                 r = {c: r[c] for c in U.CANONICAL if c not in ("prev", "seq")} | {"log_date": key[0], "seq": int(seq), "prev": sig}
                 r["duration_ms"], r["user_id"] = int(r["duration_ms"]), int(r["user_id"])
                 r["sig"] = sig = hmac.digest(self.key, U.canonical_text(r).encode(), "sha256").hex()
@@ -99,16 +139,17 @@ class BudgetProcessor(StatefulProcessor):
         heap = [(int(e), int(s)) for e, s in zip(ends, sizes, strict=True)]
         heapq.heapify(heap)
         held = sum(s for _, s in heap)
-        for pdf in rows:
+        ordered = in_order(rows, ["start_ms", "request_id"])
+        while part := list(islice(ordered, OUT)):
             out = []
-            for r in pdf.sort_values(["start_ms", "request_id"]).itertuples(index=False):
-                while heap and heap[0][0] <= r.start_ms:
+            for r in part:
+                while heap and heap[0][0] <= r["start_ms"]:
                     held -= heapq.heappop(heap)[1]
-                fits = held + r.bytes <= self.budget
+                fits = held + r["bytes"] <= self.budget
                 if fits:
-                    held += int(r.bytes)
-                    heapq.heappush(heap, (int(r.end_ms), int(r.bytes)))
-                out.append((key[0], r.request_id, fits))
+                    held += int(r["bytes"])
+                    heapq.heappush(heap, (int(r["end_ms"]), int(r["bytes"])))
+                out.append((key[0], r["request_id"], fits))
             yield pd.DataFrame(out, columns=["host", "request_id", "admitted"])
         self.ends.update(([e for e, _ in heap], [s for _, s in heap]))
 

@@ -57,6 +57,38 @@ def test_audit_stream(spark, sf, tmp_path):
     assert U.first_breaks(out, KEY).filter("first_break IS NOT NULL").count() == 0
 
 
+def test_streams_in_small_chunks(spark, sf, tmp_path):
+    """Chunks of a key that are smaller than its rows don't change the order."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    req, rows = q_log.load_requests(spark, sf), U.audit_rows(table(spark, sf, "v_scan_log")).drop("seq")
+    req.coalesce(1).sortWithinPartitions(F.desc("start_ms")).write.parquet(f"{tmp_path}/req")
+    rows.coalesce(1).sortWithinPartitions(F.desc("ts")).write.parquet(f"{tmp_path}/rows")
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        S.write_stream(S.budget_stream(spark.readStream.schema(req.schema).parquet(f"{tmp_path}/req")), f"{tmp_path}/b", f"{tmp_path}/cb").awaitTermination()
+        S.write_stream(S.audit_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows"), KEY), f"{tmp_path}/a", f"{tmp_path}/ca").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/b").collect()} == {tuple(r) for r in U.budget_replay(req).collect()}
+    numbered = rows.withColumn("seq", F.expr("row_number() OVER (PARTITION BY log_date ORDER BY ts, plaintext_sha256) - 1").cast("long"))
+    columns = ["log_date", "seq", "prev", "sig"]
+    want = {tuple(r) for r in U.build_chain(numbered, KEY).select(columns).collect()}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/a").select(columns).collect()} == want
+
+
+def test_sorted_runs():
+    import pandas as pd
+
+    r = random.Random(5)
+    rows = [{"a": r.randrange(9), "b": i} for i in range(2500)]
+    r.shuffle(rows)
+    chunks = [pd.DataFrame(rows[i : i + 70]) for i in range(0, len(rows), 70)]
+    for run in (1, 500, 10_000):
+        assert list(S.in_order(iter(chunks), ["a", "b"], run)) == sorted(rows, key=lambda x: (x["a"], x["b"]))
+    assert list(S.in_order(iter([]), ["a", "b"])) == []
+
+
 def test_hmac(spark):
     import hashlib
     import hmac
