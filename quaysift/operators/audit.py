@@ -23,6 +23,32 @@ def compose_verdict(stages: list[Column]) -> Column:
     return F.coalesce(*stages, F.struct(F.lit("clean").alias("verdict"), F.lit(None).cast("string").alias("reason")))
 
 
+#: Stages of a scan in order: those before the content is inspected end it at once, an infected stream goes on as a rejection.
+BEFORE = ("invalid_request", "unseal", "metadata_mac", "busy", "decryption", "stream_virus", "deadline")
+INSIDE = ("empty", "mime_detection", "disallowed", "mismatch", "av", "rules", "archive", "category")
+
+
+def stage(when: Column, verdict: str, reason: str | Column | None) -> Column:
+    """A nullable ``struct(verdict, reason)``."""
+    return F.when(when, F.struct(F.lit(verdict).alias("verdict"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason")))
+
+
+def scan_verdict(stages: dict[str, Column], elapsed_ms: Column | None = None, output: Column | None = None) -> Column:
+    """``struct(verdict, reason)`` of a whole scan, of nullable columns by the names in ``BEFORE`` and ``INSIDE``; a stage that isn't there passes.
+
+    An archive's stage must be set, as clean, where the archive passes, for archives have no other category outcome. After
+    inspection a scan past its deadline (``elapsed_ms``) is an error unless it is rejected, whatever came before; then ``output`` is
+    the nullable reason why a sanitized result couldn't be written.
+    """
+    if unknown := set(stages) - {*BEFORE, *INSIDE}:
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    first = [stages[n] for n in BEFORE if n in stages]
+    v = compose_verdict([stages[n] for n in INSIDE if n in stages])
+    late = [] if elapsed_ms is None else [stage(past_deadline(v["verdict"], elapsed_ms), "error", "scan_deadline_exceeded")]
+    unwritten = [] if output is None else [stage(output.isNotNull() & (v["verdict"] == "sanitized"), "error", output)]
+    return F.coalesce(*first, *late, *unwritten, v)
+
+
 def outcome_to_verdict(code: Column, reason: Column) -> Column:
     """``struct(verdict, reason)`` of a category's outcome code; a clean one drops its reason."""
     own = F.nullif(reason, F.lit(""))

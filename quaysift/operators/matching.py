@@ -38,6 +38,11 @@ def match_rules(files: DataFrame, rules: list[Rule], key: str = "file_id", conte
     return files.select(key, F.explode(hits).alias("hit")).select(key, "hit.ordinal", "hit.rule_id")
 
 
+def first_rule(content: Column, rules: list[Rule]) -> Column:
+    """The first valid rule in order that occurs, or null: ``first_match`` as a column, for streams."""
+    return F.coalesce(*(F.when(_occurs(content, r), F.lit(r[1])) for r in sorted(valid_rules(rules)[0])), F.lit(None).cast("string"))
+
+
 def first_match(matches: DataFrame, key: str = "file_id") -> DataFrame:
     """One rule a row, the first in order, and how many matched."""
     return matches.groupBy(key).agg(F.min_by("rule_id", "ordinal").alias("rule_id"), F.count(F.lit(1)).alias("n_rules"))

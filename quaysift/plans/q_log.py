@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lookups
 from ..operators import audit as U
+from ..operators import matching as M
+from . import q_inspect  # noqa: F401
 from .q_admission import ADMIT, CATEGORY, admitted
 from .q_content import HMAC, KEY
-from .base import query
+from .base import QUERIES, SQL, query
 from .views import duck, table
 
 LOG = f"WITH s AS ({duck('v_scan_log')})"
@@ -24,13 +27,51 @@ def log(spark, sf_dir):
 @query("ver_1_compose_verdict", f"{ADMIT} SELECT file_id, CASE WHEN file_id % 37 = 0 THEN 'error' WHEN content = '' THEN 'clean' WHEN reason IS NOT NULL THEN 'rejected' WHEN contains(content, ' und ') THEN 'rejected' ELSE 'clean' END AS verdict, CASE WHEN file_id % 37 = 0 THEN 'invalid_request' WHEN content = '' THEN 'empty_file' WHEN reason IS NOT NULL THEN reason WHEN contains(content, ' und ') THEN 'yara_match' END AS reason, {CATEGORY} AS category FROM ver")
 def ver_1(spark, sf_dir):
     """Requests, then empty files, admission and rules."""
-    x = admitted(spark, sf_dir)
-    stage = lambda when, v, r: F.when(when, F.struct(F.lit(v).alias("verdict"), r.cast("string").alias("reason")))
-    stages = [
-        stage(F.col("file_id") % 37 == 0, "error", F.lit("invalid_request")), stage(F.octet_length("content") == 0, "clean", F.lit("empty_file")),
-        stage(F.col("reason").isNotNull(), "rejected", F.col("reason")), stage(F.col("content").contains(" und "), "rejected", F.lit("yara_match")),
-    ]
-    return x.select("file_id", "category", U.compose_verdict(stages).alias("v")).select("file_id", "v.*", "category")
+    x = admitted(spark, sf_dir).withColumn("rule_id", M.first_rule(F.col("content"), [r for r in lookups.RULES if r[1] == "has_und"]))
+    invalid = {"invalid_request": U.stage(F.col("file_id") % 37 == 0, "error", "invalid_request")}
+    return x.select("file_id", U.scan_verdict(invalid | inspected()).alias("v"), "category").select("file_id", "v.*", "category")
+
+
+def inspected():
+    """The stages that admission and rules decide."""
+    refused = F.col("reason")
+    return {
+        "empty": U.stage(F.octet_length("content") == 0, "clean", "empty_file"),
+        "disallowed": U.stage(refused == "disallowed_mime_type", "rejected", refused),
+        "mismatch": U.stage(refused == "mime_extension_mismatch", "rejected", refused),
+        "rules": U.stage(F.col("rule_id").isNotNull(), "rejected", "yara_match"),
+    }
+
+
+SCAN = f"""{ADMIT}, i AS (SELECT v.*, {CATEGORY} AS category, rule_id, a.verdict AS av, a.reason AS ar, g.verdict AS gv, g.reason AS gr, file_id % 61 * 10000 AS ms FROM ver v LEFT JOIN ({SQL['mat_2_first_match']}) m USING (file_id)
+  LEFT JOIN ({SQL['arc_11_archive_verdict']}) a ON archive_id = file_id LEFT JOIN ({SQL['img_7_image_policy']}) g USING (file_id)),
+j AS (SELECT *, CASE WHEN content = '' THEN ['clean', 'empty_file'] WHEN file_id % 67 = 0 THEN ['error', 'mime_detection_failed'] WHEN reason IS NOT NULL THEN ['rejected', reason] WHEN file_id % 71 = 0 THEN ['rejected', 'av_too_large']
+  WHEN rule_id IS NOT NULL THEN ['rejected', 'yara_match'] WHEN category = 'ARCHIVE' THEN [coalesce(av, 'clean'), ar] WHEN category = 'RASTER' THEN [coalesce(gv, 'clean'), CASE WHEN gv <> 'clean' THEN gr END]
+  WHEN category = 'TEXT' AND file_id % 3 = 1 THEN ['sanitized', NULL] WHEN category = 'TEXT' AND file_id % 3 = 2 THEN ['rejected', 'sanitizer_rejected'] ELSE ['clean', NULL] END AS v FROM i),
+k AS (SELECT *, CASE WHEN file_id % 37 = 0 THEN ['error', 'invalid_request'] WHEN file_id % 41 = 0 THEN ['error', 'unseal_failed'] WHEN file_id % 43 = 0 THEN ['error', 'metadata_mac_invalid'] WHEN file_id % 47 = 0 THEN ['error', 'scanner_busy']
+  WHEN file_id % 53 = 0 THEN ['error', 'decryption_failed'] WHEN file_id % 59 = 0 THEN ['rejected', 'virus_detected'] WHEN ms - 20000 > 540000 THEN ['error', 'scan_deadline_exceeded'] WHEN ms > 540000 AND v[1] <> 'rejected' THEN ['error', 'scan_deadline_exceeded']
+  WHEN v[1] = 'sanitized' AND file_id % 5 = 0 THEN ['error', 'reencryption_failed'] ELSE v END AS w FROM j)
+SELECT file_id, w[1] AS verdict, w[2] AS reason, category FROM k"""
+
+
+@query("ver_5_scan_verdict", SCAN)
+def ver_5(spark, sf_dir):
+    """The whole order: all rules, archives and images of the same number, and requests, scanner and clock by number."""
+    i, ms = F.col("file_id"), F.col("file_id") % 61 * 10_000
+    archives = QUERIES["arc_11_archive_verdict"](spark, sf_dir).select(F.col("archive_id").alias("file_id"), F.struct("verdict", "reason").alias("archive"))
+    images = QUERIES["img_7_image_policy"](spark, sf_dir).select("file_id", F.struct("verdict", "reason").alias("image"))
+    x = admitted(spark, sf_dir).join(QUERIES["mat_2_first_match"](spark, sf_dir), "file_id", "left").join(archives, "file_id", "left").join(images, "file_id", "left")
+    code = F.when(F.col("image.verdict") == "rejected", 2).when(F.col("image.verdict") == "sanitized", 1).when(F.col("image.verdict") == "error", 3).otherwise(0)
+    raster, text = F.col("category") == "RASTER", F.col("category") == "TEXT"
+    stages = inspected() | {
+        "invalid_request": U.stage(i % 37 == 0, "error", "invalid_request"), "unseal": U.stage(i % 41 == 0, "error", "unseal_failed"), "metadata_mac": U.stage(i % 43 == 0, "error", "metadata_mac_invalid"),
+        "busy": U.stage(i % 47 == 0, "error", "scanner_busy"), "decryption": U.stage(i % 53 == 0, "error", "decryption_failed"), "stream_virus": U.stage(i % 59 == 0, "rejected", "virus_detected"),
+        "deadline": U.stage(U.past_deadline(F.lit(None).cast("string"), ms - 20_000), "error", "scan_deadline_exceeded"), "mime_detection": U.stage(i % 67 == 0, "error", "mime_detection_failed"), "av": U.stage(i % 71 == 0, "rejected", "av_too_large"),
+        "archive": F.when(F.col("category") == "ARCHIVE", F.coalesce("archive", U.compose_verdict([]))),
+        "category": F.when(raster, U.outcome_to_verdict(code, F.col("image.reason"))).when(text, U.outcome_to_verdict(i % 3, F.lit(None).cast("string"))),
+    }
+    output = F.when((F.col("category") == "TEXT") & (i % 3 == 1) & (i % 5 == 0), "reencryption_failed")
+    return x.select("file_id", U.scan_verdict(stages, ms, output).alias("v"), "category").select("file_id", "v.*", "category")
 
 
 @query("ver_2_outcome", f"{LOG} SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'sanitized' WHEN 2 THEN 'rejected' ELSE 'error' END AS verdict, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN nullif(reason, '') WHEN 2 THEN coalesce(nullif(reason, ''), 'sanitizer_rejected') ELSE coalesce(nullif(reason, ''), 'sanitizer_error') END AS reason FROM s")

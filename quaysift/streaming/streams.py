@@ -19,17 +19,20 @@ from pyspark.sql.streaming.query import StreamingQuery
 from .. import lookups
 from ..operators import admission as A
 from ..operators import audit as U
+from ..operators import matching as M
 
 
-def scan_stream(files: DataFrame, exact: DataFrame, prefix: DataFrame, classes: DataFrame) -> DataFrame:
-    """``file_id, verdict, reason, category`` of a stream of ``files(file_id, ext, mime, content)``: stateless, with broadcast lookups."""
+def scan_stream(files: DataFrame, exact: DataFrame, prefix: DataFrame, classes: DataFrame, rules: list[M.Rule] | None = None) -> DataFrame:
+    """``file_id, verdict, reason, category`` of a stream of ``files(file_id, ext, mime, content)``: stateless, with broadcast lookups and, if given, rules."""
     x = A.categorize(A.admit(files, exact, prefix, classes), classes)
     refused = A.admission_verdict()[1]
-    stages = [
-        F.when(F.octet_length("content") == 0, F.struct(F.lit("clean").alias("verdict"), F.lit("empty_file").alias("reason"))),
-        F.when(refused.isNotNull(), F.struct(F.lit("rejected").alias("verdict"), refused.alias("reason"))),
-    ]
-    return x.select("file_id", U.compose_verdict(stages).alias("v"), "category").select("file_id", "v.*", "category")
+    stages = {
+        "empty": U.stage(F.octet_length("content") == 0, "clean", "empty_file"),
+        "disallowed": U.stage(refused == "disallowed_mime_type", "rejected", refused),
+        "mismatch": U.stage(refused == "mime_extension_mismatch", "rejected", refused),
+        "rules": U.stage(M.first_rule(F.col("content"), rules or []).isNotNull(), "rejected", "yara_match"),
+    }
+    return x.select("file_id", U.scan_verdict(stages).alias("v"), "category").select("file_id", "v.*", "category")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:

@@ -18,6 +18,45 @@ def test_deadline(spark):
     assert [r[0] for r in df.select(U.past_deadline(F.col("v"), F.col("ms"))).collect()] == [p for _, _, p in cases]
 
 
+def test_whole_order(spark):
+    """Every stage alone and with all later ones, late or not, written or not."""
+    names = [*U.BEFORE, *U.INSIDE]
+    rejects = {"stream_virus", "disallowed", "mismatch", "av", "rules"}
+    verdict = {n: "rejected" if n in rejects else "clean" if n in ("empty", "archive") else "sanitized" if n == "category" else "error" for n in names}
+    rows = [(k, more, ms, out) for k in range(len(names) + 1) for more in (False, True) for ms in (540_000, 540_001) for out in (None, "reencryption_failed")]
+
+    def want(k, more, ms, out):
+        set_ = [n for j, n in enumerate(names) if j == k or (more and j > k)]
+        first = set_[0] if set_ else None
+        if first in U.BEFORE:
+            return verdict[first], first
+        v = (verdict[first], first) if first else ("clean", None)
+        if v[0] != "rejected" and ms > 540_000:
+            return "error", "scan_deadline_exceeded"
+        return ("error", out) if out and v[0] == "sanitized" else v
+
+    df = spark.createDataFrame(rows, "k int, more boolean, ms long, out string")
+    stages = {n: U.stage((F.col("k") == j) | (F.col("more") & (F.col("k") < j)), verdict[n], n) for j, n in enumerate(names)}
+    got = df.select("*", U.scan_verdict(dict(reversed(stages.items())), F.col("ms"), F.col("out")).alias("v")).collect()
+    assert [tuple(r["v"]) for r in got] == [want(*r[:4]) for r in got]
+
+
+def test_stream_rules(spark, sf):
+    """With rules, the stream's verdicts know each of them."""
+    from quaysift import lookups
+    from quaysift.operators import admission as A
+    from quaysift.operators import matching as M
+    from quaysift.plans.q_admission import detected
+    from quaysift.plans.views import aliases, registry
+
+    reg, files = registry(spark), detected(spark, sf)
+    got = S.scan_stream(files, A.mime_to_exts(reg, aliases(spark)), A.prefix_to_exts(reg), A.scan_class_exts(reg), lookups.RULES)
+    bare = S.scan_stream(files, A.mime_to_exts(reg, aliases(spark)), A.prefix_to_exts(reg), A.scan_class_exts(reg))
+    hit = M.first_match(M.match_rules(files, lookups.RULES))
+    want = bare.filter("verdict = 'clean' AND reason IS NULL").join(hit, "file_id").count()
+    assert want > 0 and got.filter("verdict = 'rejected' AND reason = 'yara_match'").count() == want
+
+
 def test_chain_tampering(spark, sf):
     chain = U.build_chain(U.audit_rows(table(spark, sf, "v_scan_log")), KEY)
     assert U.first_breaks(chain, KEY).filter("first_break IS NOT NULL").count() == 0
