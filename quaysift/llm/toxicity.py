@@ -1,20 +1,23 @@
 """Toxicity by compression distance: windows compress with a dictionary of toxic text and with one of ordinary text.
 
-Both zstandard dictionaries are trained on labelled texts. Ordinary text gives what all texts have in common,
-and toxic text adds the word stems that a clear share of toxic texts hold and ordinary texts hardly ever do.
-A window that gets shorter with the toxic dictionary holds something of these stems. Per text, the counts of
-windows by bytes saved go through a logistic function calibrated on labelled texts.
+The zstandard dictionaries are trained on labelled texts. Ordinary text gives what all texts have in common. Toxic text
+gives two dictionaries that stand before it: one is trained on what surrounds the word stems that tell toxic texts, the
+other lists these stems. A stem tells if its counts in toxic and ordinary texts differ beyond chance. A window that gets
+shorter with a toxic dictionary holds something of it. Per text, the counts of windows by bytes saved with either go
+through a logistic function calibrated on labelled texts.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
@@ -23,15 +26,21 @@ from .language_id import held_out
 FIT_DOCS = 4_000
 #: Bytes of a window, and from one window's start to the next's.
 WINDOW, STEP = 64, 48
-#: zstandard's level; bytes of the dictionary of ordinary text.
-LEVEL, ORDINARY = 6, 16_384
+#: zstandard's level; bytes of the dictionaries trained on ordinary text and around stems; bytes on either side of a stem.
+LEVEL, ORDINARY, TOXIC, AROUND = 6, 16_384, 4096, 8
+#: Windows of a label that a dictionary is trained on (expected number), chosen by a hash from whole texts; bytes of an ordinary one.
+WINDOWS, PART = 32_000, 256
 #: Bytes of ordinary text before each window. Both dictionaries hold them, so even a short window is compressed and not stored.
 LEAD = 64
-#: A stem is in this share of the toxic texts at least, and so many times less often in ordinary ones.
-SHARE, TIMES = 0.03, 4
+#: A stem is in so many toxic texts at least, so many times less often in ordinary ones, and its log-likelihood ratio is this (a chance of 8e-6).
+LEAST, TIMES, RATIO = 5, 4, 20
 STEM = range(3, 13)
+#: Where a stem may begin: after a space, and at each letter of scripts that set none (Thai, Lao, Burmese, Khmer, Chinese, Japanese).
+UNSPACED = rb"\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|[\xe3-\xe9].."
+STARTS = re.compile(rb"(?<= )[^ ]|" + UNSPACED, re.DOTALL)
 #: Savings in bytes that windows are counted by.
 SAVED = (1, 2, 3, 4, 6)
+FEATURES = 2 * (len(SAVED) + 2)
 
 
 def _plain(text: str | None) -> bytes:
@@ -41,27 +50,51 @@ def _plain(text: str | None) -> bytes:
 
 
 def _prefixes(text: bytes) -> set[bytes]:
-    return {w[:k] for w in text.split() for k in STEM if len(w) >= k}
+    out: set[bytes] = set()
+    for m in STARTS.finditer(text):
+        word = text[m.start() : m.start() + STEM[-1]].split(b" ")[0]
+        out.update(word[:k] for k in STEM if len(word) >= k)
+    return out
 
 
-def _stems(toxic: dict[bytes, int], n_toxic: int, ordinary: dict[bytes, int], n_ordinary: int) -> list[bytes]:
-    """Word beginnings that tell toxic texts, each as long as most of the words that begin so."""
-    telling = {p: n for p, n in toxic.items() if n >= max(5, SHARE * n_toxic) and n / n_toxic > TIMES * (ordinary.get(p, 0) + 1) / max(n_ordinary, 1)}
+def _tells(n_toxic: int, n_ordinary: int) -> Column:
+    """Whether a stem in ``n`` toxic texts and ``other`` ordinary ones tells toxic texts: more often, and not by chance."""
+    n, other, share = F.col("n"), F.col("other"), n_toxic / max(n_toxic + n_ordinary, 1)
+    ratio = 2 * (n * F.log(n / ((n + other) * share)) + F.when(other > 0, other * F.log(other / ((n + other) * (1 - share)))).otherwise(0))
+    often = n / max(n_toxic, 1) > TIMES * (other + 1) / max(n_ordinary, 1)
+    return (n >= LEAST) & often & (ratio >= RATIO)
+
+
+def _stems(telling: dict[bytes, int]) -> list[bytes]:
+    """Of word beginnings that tell toxic texts, each as long as most of the words that begin so."""
     out: list[bytes] = []
     for p in sorted(telling, key=lambda p: (len(p), p)):
-        while longer := [q for q in telling if len(q) == len(p) + 1 and q.startswith(p) and telling[q] >= 0.8 * telling[p]]:
+        while longer := [q for q in (p + bytes([c]) for c in range(256)) if telling.get(q, 0) >= 0.8 * telling[p]]:
             p = max(longer, key=lambda q: (telling[q], q))
         if not any(p.startswith(s) for s in out):
             out.append(p)
     return sorted(out, key=lambda p: (telling[p], p))
 
 
+def _around(stems: list[bytes]) -> re.Pattern[bytes]:
+    """Where stems stand."""
+    unspaced = re.compile(UNSPACED, re.DOTALL)
+    return re.compile(b"|".join((b"" if unspaced.match(s) else b"(?<= )") + re.escape(s) for s in sorted(stems, key=lambda s: (-len(s), s))) or rb"(?!)", re.DOTALL)
+
+
+def _trained(size: int, windows: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, windows).as_bytes()
+    except zstandard.ZstdError:  # too few texts to train on
+        return b"".join(windows)[:size]
+
+
 class Scorer:
-    """The two dictionaries and the calibration."""
+    """The dictionaries and the calibration."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.toxic, self.ordinary = toxic, ordinary
-        self.weights, self.centre, self.scale = np.zeros(len(SAVED) + 3), np.zeros(len(SAVED) + 2), np.ones(len(SAVED) + 2)
+    def __init__(self, stems: bytes, trained: bytes, ordinary: bytes) -> None:
+        self.toxic, self.ordinary = (stems, trained), ordinary
+        self.weights, self.centre, self.scale = np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES)
         self._made: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -70,10 +103,10 @@ class Scorer:
     def _compressors(self) -> tuple:
         if self._made is None:
             made = []
-            size = len(self.toxic) + len(self.ordinary)
+            size = max(map(len, self.toxic)) + len(self.ordinary)
             how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW + LEAD, dict_size=size, min_match=4, hash_log=17, chain_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
-            # the stems stand first, so that all else is as far away in either dictionary
-            for content in (self.ordinary, self.toxic + self.ordinary):
+            # what is toxic stands first, so that all else is as far away in each dictionary
+            for content in (self.ordinary, *(t + self.ordinary for t in self.toxic)):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=how)
                 made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
@@ -81,14 +114,19 @@ class Scorer:
         return self._made
 
     def features(self, text: str | None) -> np.ndarray:
-        """Most bytes saved in a window, windows by bytes saved (logarithms), share of windows with savings."""
-        plain, ordinary, toxic = _plain(text), *self._compressors()
+        """For either toxic dictionary: most bytes saved in a window, windows by bytes saved (logarithms), share of windows with savings."""
+        plain, ordinary, *toxic = _plain(text), *self._compressors()
         if not plain:
-            return np.zeros(len(SAVED) + 2)
+            return np.zeros(FEATURES)
         lead = self.ordinary[-LEAD:]
-        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in (lead + plain[i : i + WINDOW] for i in range(0, max(1, len(plain) - (WINDOW - STEP)), STEP))])
-        counts = np.array([np.count_nonzero(saved >= s) for s in SAVED], float)
-        return np.concatenate([[max(saved.max(), 0)], np.log1p(counts), [counts[1] / len(saved)]])
+        windows = [lead + plain[i : i + WINDOW] for i in range(0, max(1, len(plain) - (WINDOW - STEP)), STEP)]
+        plainly = np.array([len(ordinary(w)) for w in windows])
+        out: list[float] = []
+        for compress in toxic:
+            saved = plainly - np.array([len(compress(w)) for w in windows])
+            counts = np.array([np.count_nonzero(saved >= s) for s in SAVED], float)
+            out += [max(saved.max(), 0), *np.log1p(counts), counts[1] / len(saved)]
+        return np.array(out, float)
 
     def calibrate(self, features: np.ndarray, labels: np.ndarray) -> None:
         """Logistic regression (ridge, Newton's method) on labelled texts."""
@@ -110,7 +148,7 @@ class Scorer:
 
 
 def _features(held: Broadcast, texts: pa.Array) -> np.ndarray:
-    return np.array([held.value.features(t.as_py()) for t in texts]).reshape(len(texts), len(SAVED) + 2)
+    return np.array([held.value.features(t.as_py()) for t in texts]).reshape(len(texts), FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -136,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
                 for p in _prefixes(plain):
                     seen[toxic, p] = seen.get((toxic, p), 0) + 1
                 if not toxic:
-                    sample.append(plain[:8192])
+                    sample.extend(w for i in range(0, len(plain), PART) if zlib.crc32(w := plain[i : i + PART]) < share * 2**32)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([seen[k] for k in keys], pa.int64())], ["toxic", "part", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.nulls(2, pa.binary()), pa.array(number, pa.int64())], ["toxic", "part", "n"])
@@ -145,18 +183,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     from .shared import written
 
     texts = written(texts, "labelled")
+    # of all windows of ordinary texts
+    share = min(1.0, WINDOWS * PART / max(texts.filter("toxic = 0").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, 1))
     parts = written(texts.mapInArrow(count, "toxic int, part binary, n long").groupBy("toxic", "part").agg(F.sum("n").alias("n")), "parts")
     number = {r["toxic"]: r["n"] for r in parts.filter("part IS NULL").collect()}
     n1, n0 = number.get(1, 0), number.get(0, 0)
-    seen1 = {bytes(r["part"]): r["n"] for r in parts.filter(f"toxic = 1 AND part IS NOT NULL AND n >= {max(5, SHARE * n1)}").collect()}
-    seen0 = {bytes(r["part"]): r["n"] for r in parts.filter("toxic = 0").join(F.broadcast(parts.filter(f"toxic = 1 AND n >= {max(5, SHARE * n1)}").select("part")), "part", "left_semi").collect()}
-    windows = [bytes(r["part"])[i : i + 256] for r in parts.filter("toxic = 2").orderBy(F.xxhash64("part"), "part").limit(1500).collect() for i in range(0, len(r["part"]), 256)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY, windows).as_bytes()
-    except zstandard.ZstdError:  # too few texts to train on
-        ordinary = b"".join(windows)[:ORDINARY]
-    stems = _stems(seen1, max(n1, 1), seen0, n0)
-    scorer = Scorer(b" " + b" ".join(stems) + b" " if stems else b"", ordinary)
+    others = parts.filter("toxic = 0").select("part", F.col("n").alias("other"))
+    told = parts.filter(f"toxic = 1 AND part IS NOT NULL AND n >= {LEAST}").join(others, "part", "left").withColumn("other", F.coalesce("other", F.lit(0))).filter(_tells(n1, n0))
+    stems = _stems({bytes(r["part"]): r["n"] for r in told.select("part", "n").collect()})
+    where = _around(stems)
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = (_plain(t) for t in b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([p[max(0, m.start() - 1 - AROUND) : m.end() + AROUND] for p in plain for m in where.finditer(p)], pa.binary())], ["part"])
+
+    chosen_by_hash = [F.xxhash64("part"), F.col("part")]
+    near = texts.filter("toxic = 1").select("text").mapInArrow(surroundings, "part binary").orderBy(*chosen_by_hash).limit(WINDOWS).collect()
+    windows = [bytes(r["part"]) for r in parts.filter("toxic = 2").select("part").orderBy(*chosen_by_hash).collect()]
+    scorer = Scorer(b" " + b" ".join(stems) + b" " if stems else b"", _trained(TOXIC, [bytes(r["part"]) for r in near]), _trained(ORDINARY, windows))
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

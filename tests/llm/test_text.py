@@ -69,6 +69,25 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, none).filter("score BETWEEN 0 AND 1").count() == 4
 
 
+def test_wide_toxic_vocabulary(spark):
+    """Toxic words that are each in 2 % of the toxic texts, with spaces between words and without."""
+    r = random.Random(4)
+    for gap, letters in ((" ", "bdfgklmnprstvz"), ("", [chr(c) for c in range(0x4E00, 0x4F00)])):
+        word = lambda n: "".join(r.choice(letters) + (r.choice("aeiou") if gap else "") for _ in range(n))  # noqa: B023, E731
+        common, toxic = [word(4) for _ in range(300)], [word(5) for _ in range(100)]
+        rows = []
+        for i in range(2000):
+            words = [r.choice(common) for _ in range(60)]
+            for k in range(2 * (i < 400)):
+                words[r.randrange(60)] = toxic[(2 * i + k) % 100]
+            rows.append((i, gap.join(words), int(i < 400)))
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        scorer = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+        got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(df, scorer).collect()}
+        assert sum(got[i] for i in range(400)) > 360 and sum(got[i] for i in range(400, 2000)) < 40
+        assert any(w.encode()[:8] in scorer.toxic[1] for w in toxic)
+
+
 def test_chat(spark, sf):
     assert rows_of(chat_format.op8_chat_format(spark, sf).toPandas()) == rows_of(duck(chat_format.OP8_SQL, sf))
     log = [
