@@ -18,10 +18,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of equal texts."""
-    found = exact_dedup.exact_dedup(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text"))
-    gone = found.filter(~F.col("kept")).select("doc_id.*")
-    return without(docs.withColumn("text_hash", F.xxhash64("text")), gone, ["doc_id", "text_hash"]).drop("text_hash")
+    """One document, of the smallest id, of each group of equal texts; null ids come last, and of rows that repeat id and text one stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"))  # fields that are null equal each other
+    found = written(exact_dedup.exact_dedup(docs.select(key.alias("doc_id"), "text")).select("doc_id", "kept", "group_size"), "copies")
+    left = without(docs.withColumn("_key", key), found.filter(~F.col("kept")).select(F.col("doc_id").alias("_key")), ["_key"])
+    again = written(found.filter("kept AND group_size > 1").groupBy(F.col("doc_id").alias("_key")).count().filter("count > 1").select("_key"), "again")
+    rows = without(left, again, ["_key"]).unionByName(left.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rows.drop("_key")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

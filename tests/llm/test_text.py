@@ -142,6 +142,16 @@ def test_packing(spark, monkeypatch, seed):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_copies_with_equal_or_null_ids(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (None, "a b"), (None, "c"), (None, "c"), (3, "d"), (None, "d"), (4, "e"), (4, "f"), (5, None), (5, None)]
+    got = p.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert got.columns == ["doc_id", "text"]
+    left = sorted(((r["doc_id"] or 0, (r["text"] or "").replace("  ", " ")) for r in got.collect()))
+    assert left == [(0, "c"), (1, "a b"), (3, "d"), (4, "e"), (4, "f"), (5, "")]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
