@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ TAR = "entry_idx int, path string, uncomp_size long, typeflag string, checksum_o
 def tar_walk(body: bytes) -> Iterator[tuple]:
     """A row a header up to the first empty block; a wrong checksum ends the walk with its row."""
     p = i = 0
-    while p + 512 <= len(body) and i <= 4 * lookups.MAX_ENTRIES:
+    while p + 512 <= len(body):
         h = body[p : p + 512]
         if not any(h):
             return
@@ -108,6 +109,7 @@ def tar_walk(body: bytes) -> Iterator[tuple]:
             size = int.from_bytes(h[125:136], "big") if h[124] & 0x80 else int(h[124:136].strip(b" \0") or b"0", 8)
         except ValueError:
             said, size = -1, 0
+        size = max(size, 0)
         name, prefix = h[:100].split(b"\0")[0], h[345:500].split(b"\0")[0] if h[257:262] == b"ustar" else b""
         path = (prefix + b"/" + name if prefix else name).decode("utf-8", "replace")
         kind = chr(h[156]) if h[156] else "0"
@@ -196,7 +198,7 @@ def jpeg_walk(body: bytes) -> Iterator[tuple]:
     if body[:2] != b"\xff\xd8":
         return
     p = 2
-    for i in range(MOST_CHUNKS):
+    for i in count():
         while p < len(body) and body[p] == 0xFF:
             p += 1
         if p + 3 > len(body) or body[p - 1] != 0xFF:
