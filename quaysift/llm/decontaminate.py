@@ -3,8 +3,8 @@
 The test side is cut into windows of consecutive words. One pass over the texts counts the windows' terms;
 each window then looks its rarest term up. A second pass stores the postings of those rare terms: term,
 text, position and the words around it, so the index is as large as the rarest terms are frequent. Windows
-meet the postings of their rarest term, shift them by the term's offset, and intersect with the other terms'
-places, the next rarest first, until all words of the window stand where they should.
+meet the postings of their rarest term, shift them by the term's offset, and are compared with the words around
+each place. Postings of the other terms are neither stored nor intersected.
 """
 
 from __future__ import annotations
