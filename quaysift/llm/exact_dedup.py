@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield b.append_column("maybe", pa.array(may_repeat(again.value, codes(b.column("digest")), bits)))
 
     key = digests.schema["doc_id"].dataType.simpleString()
-    tested = digests.mapInArrow(second, f"doc_id {key}, digest binary, maybe boolean")
+    tested = written(digests.mapInArrow(second, f"doc_id {key}, digest binary, maybe boolean"), "tested", again)
     passed = tested.filter(~F.col("maybe")).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = tested.filter("maybe").select("doc_id", "digest")
     groups = written(maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")

@@ -215,6 +215,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[ok, at] / chars[ok])], ["at", "h"])
 
     heights = picked.filter("use = 'calibrate'").select("lang", "text").mapInArrow(own, "at int, h double").toPandas()
+    held.destroy()
     for at, x in heights.groupby("at"):
         model.limits[at] = np.quantile(x["h"], QUANTILE) + MARGIN
     return model

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 FREQUENT = 1 << 16
 #: Pre-tokens that a task reports as frequent among its own texts.
 REPORTED = 1 << 13
-#: Entries of a worker's cache of missed pre-tokens before it starts anew.
-CACHED = 1 << 20
-#: Bytes of text that are cut at once.
-PIECE = 8 << 20
+#: Entries of a worker's cache of missed pre-tokens before it starts anew (some 20 MB).
+CACHED = 1 << 17
+#: Bytes of text that are cut at once; a longer text is a piece of its own.
+PIECE = 1 << 20
 TOKENIZERS = "/opt/tokenizers"
 _loaded: dict = {}
 
