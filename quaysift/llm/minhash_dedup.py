@@ -5,23 +5,23 @@ similarity t have their union's smallest value in common with a chance of t, so
 least one is in both sketches but for a chance of ``(1 - t) ** RETAINED`` (6e-9 at 0.85, 1e-7 at 0.8). Inverted
 lists of the retained values therefore bring every linked pair together.
 
-A passage in very many texts makes long lists. Their values are put last in one order for all texts, and a
-text that has such a value retains the first ``n - ceil(t * n) + 1`` values of its n in that order as well: two
-linked sets have at most as many values to themselves, so these must meet in one.
-
-Within a list, two bounds filter pairs. The parity bitmaps of two sets differ in no more bits than the sets
+Two bounds filter the pairs of a list. The parity bitmaps of two sets differ in no more bits than the sets
 differ in values, which never loses a link; the similarity estimated from the union of both 32-value sketches
-then has to come near the threshold. A list sends on a spanning forest of the pairs that remain, not all of
-them. These are verified on full sets. Lists in which a pair of the forest failed are looked through twice more
-for pairs whose texts are still in different components: the closest few of each two components are verified
-first, which joins most of what belongs together, and then all that remain.
-Texts with equal sets are one class from the start.
+then has to come near the threshold. Pairs that pass are verified on full sets: the closest partner of each text
+first, and of the others those whose texts are still in different components.
+
+A list is not searched for all its pairs at once. First all its texts meet one of them, its leader, which joins most
+of what belongs together; leaders change as long as that halves what is open. Only pairs between
+components are open then. Lists with very many of these (a passage in many texts) give up their values: texts that
+hold such a value retain others instead, as many as leave the same chance of a miss. What is still open is
+compared in blocks. Lists with the same texts are one list, and texts with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .codes import pieces, shingle_sets, words
 from .components import components
-from .repeats import MOST_BITS, PARTS, may_repeat, only_ids, parts, repeat_filter
-from .shared import BROADCAST_ROWS, attach, written
+from .repeats import MOST_BITS, PARTS, may_repeat, only_ids, parts, repeat_filter, without_ids
+from .shared import attach, written
 
 #: Smallest values by which texts meet.
 RETAINED = 10
@@ -40,9 +40,9 @@ RETAINED = 10
 SKETCH, SLACK = 32, 6.0
 #: Bits of the parity bitmap.
 PARITY = 1024
-#: Values in more sketches than this come last (or than more, so that these values stay few).
+#: A list with as many open pairs as one of so many texts that have no link is given up (or of more, so that the values given up stay few).
 LONG, LONG_VALUES = 1_000, 1_000_000
-#: Texts of a list that are compared in one task; longer lists are cut into pairs of blocks.
+#: Texts of a list that are held in one task, which others then stream past.
 BLOCK = 4_096
 #: Pairs of each two components of a list that are verified before all others.
 CLOSEST = 4
@@ -64,22 +64,11 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def sketches(docs: DataFrame, w: int, num: int, den: int, last: Broadcast | None = None) -> DataFrame:
-    """``doc_id, n, fp, sketch, parity, retained`` of each text; ``last`` holds the values that come last, sorted."""
+def sketches(docs: DataFrame, w: int) -> DataFrame:
+    """``doc_id, n, fp, sketch, parity, retained`` of each text."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def retained(u: np.ndarray, late: np.ndarray) -> np.ndarray:
-        first = u[:RETAINED]
-        if not len(late) or not len(u):
-            return first
-        is_late = late[np.minimum(np.searchsorted(late, u), len(late) - 1)] == u
-        if not is_late[:RETAINED].any():
-            return first
-        k = len(u) + (-len(u) * num // den) + 1
-        return np.union1d(first[~is_late[:RETAINED]], np.concatenate([u[~is_late], u[is_late]])[:k])
-
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = last.value if last is not None else np.zeros(0, np.uint64)
         for ids, sets in _sets(batches, w):
             fps, small, even, kept = [], [], [], []
             for u in sets:
@@ -88,7 +77,7 @@ def sketches(docs: DataFrame, w: int, num: int, den: int, last: Broadcast | None
                 few[: min(len(u), SKETCH)] = (u[:SKETCH] >> np.uint64(32)).astype(np.uint32)
                 small.append(few.tobytes())
                 even.append(np.packbits(np.bincount((u & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
-                kept.append(retained(u, late).view(np.int64))
+                kept.append(u[:RETAINED].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(u) for u in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, small, even)), pa.array(kept, pa.list_(pa.int64()))],
                 ["doc_id", "n", "fp", "sketch", "parity", "retained"],
@@ -97,8 +86,39 @@ def sketches(docs: DataFrame, w: int, num: int, den: int, last: Broadcast | None
     return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {key}, n long, fp binary, sketch binary, parity binary, retained array<long>")
 
 
+def retained_but(u: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray | None:
+    """What a set retains when the values of ``late`` are given up; None if it has none of them.
+
+    Of two linked sets, the other values agree by a smaller share t' the fewer they are, and so many more of them
+    are retained that ``(1 - t') ** k`` stays the chance of a miss. The first ``n - ceil(t * n) + 1`` values in one
+    order for all texts (given-up ones last) are enough in any case: linked sets have fewer to themselves.
+    """
+    is_late = late[np.minimum(np.searchsorted(late, u), len(late) - 1)] == u if len(late) else np.zeros(len(u), bool)
+    if not is_late.any():
+        return None
+    t = num / den
+    k = len(u) + (-len(u) * num // den) + 1
+    apart = (1 - t) / (t * max(1 - is_late.mean(), 1e-9))  # 1 - t'
+    if apart < 1:
+        k = min(k, max(RETAINED, int(np.ceil(RETAINED * np.log(1 - t) / np.log(apart)))) if t < 1 else 1)
+    return np.concatenate([u[~is_late], u[is_late]])[:k]
+
+
+def _instead(docs: DataFrame, w: int, num: int, den: int, late: Broadcast) -> DataFrame:
+    """``doc_id, vs``: what texts with a given-up value retain."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, w):
+            kept = [retained_but(u, late.value, num, den) for u in sets]
+            at = [i for i, x in enumerate(kept) if x is not None]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([kept[i].view(np.int64) for i in at], pa.list_(pa.int64()))], ["doc_id", "vs"])
+
+    return docs.select("doc_id", "text").mapInArrow(job, f"doc_id {key}, vs array<long>")
+
+
 def _postings(reps: DataFrame) -> DataFrame:
-    """``v, doc_id, n, sketch, parity``: the retained values that may be in more than one text's sketch."""
+    """``doc_id, vs``: of each text the retained values that others have too; texts without such a value have no partner."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
@@ -112,10 +132,11 @@ def _postings(reps: DataFrame) -> DataFrame:
             values = b.column("retained").flatten()
             at = np.repeat(np.arange(b.num_rows), b.column("retained").value_lengths().to_numpy(zero_copy_only=False))
             keep = np.flatnonzero(may_repeat(again.value, values.to_numpy(zero_copy_only=False).view(np.uint64), MOST_BITS))
-            row = pa.array(at[keep])
-            yield pa.RecordBatch.from_arrays([values.take(pa.array(keep)), *(b.column(c).take(row) for c in ("doc_id", "n", "sketch", "parity"))], ["v", "doc_id", "n", "sketch", "parity"])
+            rows, first = np.unique(at[keep], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)), pa.int32()), values.take(pa.array(keep)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), lists], ["doc_id", "vs"])
 
-    return reps.select("doc_id", "n", "sketch", "parity", "retained").mapInArrow(post, f"v long, doc_id {key}, n long, sketch binary, parity binary")
+    return written(reps.select("doc_id", "retained").mapInArrow(post, f"doc_id {key}, vs array<long>"), "postings", again)
 
 
 def _estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,134 +148,179 @@ def _estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (same & (rank <= k[:, None])).sum(axis=1), k
 
 
-class _List:
-    """The texts of one list, and the pairs of them that may be linked."""
+class _Texts:
+    """Sizes, sketches and parity bitmaps of some texts."""
 
-    def __init__(self, ids: list, n: np.ndarray, sketch: list[bytes], parity: list[bytes], num: int, den: int) -> None:
-        order = np.argsort(n, kind="stable")
-        self.ids = [ids[i] for i in order]
-        self.n = n[order]
-        self.sketch = np.frombuffer(b"".join(sketch), np.uint32).reshape(len(ids), -1)[order]
-        self.parity = np.frombuffer(b"".join(parity), np.uint64).reshape(len(ids), -1)[order]
-        self.num, self.den = num, den
+    def __init__(self, n: np.ndarray, sketch: pa.Array, parity: pa.Array) -> None:
+        self.n = n.astype(np.int64)
+        self.sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint32).reshape(len(n), SKETCH)
+        self.parity = np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape(len(n), PARITY // 64)
 
-    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(i, js before i, bits in which they differ): sizes, parity and union estimate allow a link."""
-        num, den, n = self.num, self.den, self.n
-        for i in range(1, len(n)):
-            a = int(np.searchsorted(n, -(-int(n[i]) * num // den)))
-            if a >= i:
-                continue
-            total = n[a:i] + n[i]
-            common = -(-total * num // (num + den))  # least for a link
-            apart = np.bitwise_count(self.parity[a:i] ^ self.parity[i]).sum(axis=1, dtype=np.int64)
-            j = a + np.flatnonzero(apart <= total - 2 * common)
-            if len(j):
-                got, k = _estimate(self.sketch[j], np.broadcast_to(self.sketch[i], (len(j), SKETCH)))
-                t = num / den
-                # where a set is smaller than its sketch, up to a quarter of the common values rank beyond k
-                enough = np.where(k < SKETCH, 0.5 * t * k - 2, t * k - SLACK * np.sqrt(t * (1 - t) * k))
-                j = j[got >= enough]
-            if len(j):
-                yield i, j, apart[j - a]
-
-    def forest(self) -> Iterator[tuple]:
-        """Pairs that connect whatever the list's pairs connect, of the closest ones."""
-        label = np.arange(len(self.n))
-        for i, js, apart in self.pairs():
-            js = js[np.argsort(apart, kind="stable")]
-            roots, first = np.unique(label[js], return_index=True)
-            for j in js[first].tolist():
-                yield self.ids[i], self.ids[j]
-            label[np.isin(label, roots)] = label[i]
-
-    def between(self, group: list, most: int | None) -> Iterator[tuple]:
-        """Pairs of different groups (given in the order of sizes): the ``most`` closest of each two groups, or all."""
-        number = {g: k for k, g in enumerate(sorted(set(group)))}
-        g = np.array([number[x] for x in group])
-        held = np.zeros((0, 4), np.int64)  # i, j, bits, the two groups
-
-        def closest(x: np.ndarray) -> np.ndarray:
-            if most is None or not len(x):
-                return x
-            x = x[np.lexsort((x[:, 1], x[:, 0], x[:, 2], x[:, 3]))]
-            at = np.flatnonzero(np.concatenate([[True], x[1:, 3] != x[:-1, 3]]))
-            rank = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
-            return x[rank < most]
-
-        new: list[np.ndarray] = []
-        n = 0
-        for i, js, apart in self.pairs():
-            ok = g[js] != g[i]
-            js, apart = js[ok], apart[ok]
-            two = np.minimum(g[js], g[i]) * len(number) + np.maximum(g[js], g[i])
-            new.append(np.column_stack([np.full(len(js), i), js, apart, two]))
-            n += len(js)
-            if n > 1 << 18:
-                held, new, n = closest(np.concatenate([held, *new])), [], 0
-        for i, j in closest(np.concatenate([held, *new]))[:, :2].tolist():
-            yield self.ids[i], self.ids[j]
-
-
-def _listed(postings: DataFrame, lists: DataFrame, total: int, num: int, den: int, label: bool, most: int | None = None) -> DataFrame:
-    """``v, a, b`` with a < b: per list a forest of its pairs, or with ``label`` its pairs between labels, the ``most`` closest of each two."""
-    key = postings.schema["doc_id"].dataType.simpleString()
+
+def _near(x: _Texts, i: np.ndarray, y: _Texts, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the pairs i, j sizes, parity and union estimate allow to be linked, bits in which those differ)."""
+    total = x.n[i] + y.n[j]
+    common = -(-total * num // (num + den))  # least for a link
+    ok = np.flatnonzero(common <= np.minimum(x.n[i], y.n[j]))
+    apart = np.bitwise_count(x.parity[i[ok]] ^ y.parity[j[ok]]).sum(axis=1, dtype=np.int64)
+    fit = apart <= (total - 2 * common)[ok]
+    ok, apart = ok[fit], apart[fit]
+    got, k = _estimate(x.sketch[i[ok]], y.sketch[j[ok]])
+    t = num / den
+    # where a set is smaller than its sketch, up to a quarter of the common values rank beyond k
+    enough = got >= np.where(k < SKETCH, 0.5 * t * k - 2, t * k - SLACK * np.sqrt(t * (1 - t) * k))
+    return ok[enough], apart[enough]
+
+
+def _passed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, apart``: the pairs that the filters let pass. Many pairs may have the same ``a``."""
+    key = reps.schema["doc_id"].dataType.simpleString()
+    pairs = written(pairs, "pairs")
+    leads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    marks, asked = only_ids(reps.select("doc_id", "n", "sketch", "parity"), written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked"))
+    side = lambda c: marks.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch", "parity")))
+    leads = written(leads.hint("merge").join(side("a"), "a"), "leads")
+    rows = attach(pairs.hint("merge").join(side("b"), "b"), leads, "a", "size", pairs.count())
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (_Texts(b.column(f"n_{c}").to_numpy(), b.column(f"sketch_{c}"), b.column(f"parity_{c}")) for c in "ab")
+            every = np.arange(b.num_rows)
+            ok, apart = _near(x, every, y, every, num, den)
+            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(apart)], ["a", "b", "apart"])
+
+    return written(rows.mapInArrow(job, f"a {key}, b {key}, apart long"), "passed", asked)
+
+
+def _lists(postings: DataFrame, labels: DataFrame | None, turn: int, met: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, v, label`` of all postings, ``v, m, open, lead, lead_label, top, code`` of lists with open pairs).
+
+    ``open`` counts pairs of different labels, ``lead`` is the leader of this turn, ``top`` the label that most have.
+    In turn 0 the smallest id leads; where it has ``met`` all others, its pairs aren't open any more.
+    """
+    rows = postings.withColumn("label", F.col("doc_id"))
+    if labels is not None:
+        rows = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rows = rows.select("doc_id", F.explode("vs").alias("v"), "label")
+    xors = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (0, 1)]
+    smallest = F.min(F.struct("doc_id", "label"))
+    if turn == 0:  # all labels differ
+        m = F.col("m")
+        found = rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"), smallest.alias("lead"), *xors).filter(m > 1)
+        found = found.withColumns({"open": m.cast("double") * (m - 1) / 2, "top": F.col("lead.label")})
+    else:
+        c, m = F.col("c"), F.col("m").cast("double")
+        drawn = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label"))
+        found = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"), smallest.alias("smallest"), drawn.alias("lead"), *xors)
+        found = found.groupBy("v").agg(
+            F.sum(c).alias("m"), F.sum(c.cast("double") * c).alias("square"), F.max(F.struct("c", "label")).alias("top"), F.min(F.struct("smallest", "c")).alias("first"),
+            F.min("lead").alias("lead"), *(F.bit_xor(f"x{s}").alias(f"x{s}") for s in (0, 1)),
+        )
+        open_ = (m * m - F.col("square")) / 2 - (m - F.col("first.c") if met else 0)
+        found = found.withColumns({"open": open_, "top": F.col("top.label")}).filter("open > 0")
+    code = F.struct("m", "x0", "x1").alias("code")
+    return rows, written(found.select("v", "m", "open", F.col("lead.doc_id").alias("lead"), F.col("lead.label").alias("lead_label"), "top", code), "lists")
+
+
+def _once(lists: DataFrame) -> DataFrame:
+    """One of the lists with the same texts."""
+    return written(lists.groupBy("code").agg(F.min(F.struct("v", "m", "lead", "lead_label", "top")).alias("x")).select("x.*"), "once")
+
+
+def _with_leader(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``a, b``: each leader with the texts of its lists that have another label."""
+    lists = _once(lists)
+    total = lists.agg(F.sum("m").alias("m")).first()["m"] or 0
+    met = attach(rows, lists, "v", "m", total)
+    return met.filter((F.col("label") != F.col("lead_label")) & (F.col("doc_id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _between(rows: DataFrame, lists: DataFrame, reps: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """``a, b, apart``: pairs of different labels that the filters let pass, ``most`` of each two labels of a block (the closest), or all.
+
+    Texts of a list live in blocks. Those that don't have its ``top`` label visit all blocks, so texts that
+    already belong together are not compared.
+    """
+    key = reps.schema["doc_id"].dataType.simpleString()
+    lists = _once(lists)
+    total = lists.agg(F.sum("m").alias("m")).first()["m"] or 0
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = attach(postings, lists.select("v", "m"), "v", "m", total).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a text goes to each pair of blocks that its own block is part of
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    columns = ["v", "lo", "hi", "doc_id", "n", "sketch", "parity", *(["label"] if label else [])]
-    rows = rows.select(*columns).repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi", "doc_id")
+    met = written(attach(rows, lists.select("v", "m", "top"), "v", "m", total).select("doc_id", "v", "label", (F.col("label") == F.col("top")).alias("of_top"), blocks.alias("blocks")), "met")
+    marks, asked = only_ids(reps.select("doc_id", "n", "sketch", "parity"), written(met.select("doc_id").distinct(), "asked"))
+    met = met.hint("merge").join(marks, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("block", F.explode(F.when(F.col("of_top"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    columns = ["v", "block", "visits", "doc_id", "label", "of_top", "n", "sketch", "parity"]
+    met = met.withColumn("visits", F.col("block") != F.col("own")).select(*columns).repartition("v", "block").sortWithinPartitions("v", "block", "visits")
+    names = columns[3:]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in columns[3:]}
-        out: tuple[list, list, list] = ([], [], [])
-        now, kind = None, None
+        home: list[pa.RecordBatch] = []
+        now = None
+        out: list[pa.RecordBatch] = []
+
+        def meet(guests: pa.Table, at_home: bool) -> None:
+            """Pairs of guests and texts at home."""
+            h = pa.Table.from_batches(home).combine_chunks()
+            x, y = (_Texts(t.column("n").to_numpy(), t.column("sketch"), t.column("parity")) for t in (guests, h))
+            g, top = guests.column("doc_id"), guests.column("of_top").to_numpy(zero_copy_only=False)
+            coded = pa.chunked_array([*guests.column("label").chunks, *h.column("label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            lx, ly = coded[: len(guests)], coded[len(guests) :]
+            order = np.argsort(y.n, kind="stable")
+            sizes = y.n[order]
+            found: list[np.ndarray] = []
+            for i in np.flatnonzero(~top).tolist():
+                j = order[np.searchsorted(sizes, -(-int(x.n[i]) * num // den)) : np.searchsorted(sizes, int(x.n[i]) * den // num, "right")]
+                j = j[ly[j] != lx[i]]
+                if at_home:  # of two texts at home that both go to all blocks, one looks for the other
+                    j = j[top[j] | (j < i)]
+                if len(j):
+                    ok, apart = _near(x, np.full(len(j), i), y, j, num, den)
+                    if len(ok):
+                        found.append(np.column_stack([np.full(len(ok), i), j[ok], apart]))
+            if not found:
+                return
+            pairs = np.concatenate(found)
+            if most is not None:
+                two = lx[pairs[:, 0]] * (len(coded) + 1) + ly[pairs[:, 1]]
+                pairs, two = (z[np.lexsort((pairs[:, 2], two))] for z in (pairs, two))
+                at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
+                pairs = pairs[np.arange(len(two)) - np.repeat(at, np.diff(np.append(at, len(two)))) < most]
+            ids = [c.combine_chunks().take(pa.array(pairs[:, k])) for k, c in enumerate((g, h.column("doc_id")))]
+            out.append(pa.RecordBatch.from_arrays([*ids, pa.array(pairs[:, 2])], ["a", "b", "apart"]))
 
         def close() -> None:
-            if len(held["doc_id"]) > 1:
-                n = np.array(held["n"])
-                x = _List(held["doc_id"], n, held["sketch"], held["parity"], num, den)
-                order = np.argsort(n, kind="stable")
-                found = x.between([held["label"][i] for i in order], most) if label else x.forest()
-                for a, b in found:
-                    out[0].append(now[0])
-                    out[1].append(min(a, b))
-                    out[2].append(max(a, b))
-            for c in held.values():
-                c.clear()
-
-        def batch() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], kind)], ["v", "a", "b"])
-            for c in out:
-                c.clear()
-            return got
+            if home:
+                meet(pa.Table.from_batches(home).combine_chunks(), True)
+            home.clear()
 
+        open_ = False  # texts at home have not met each other yet
         for b in batches:
             if not b.num_rows:
                 continue
-            kind = b.schema.field("doc_id").type
-            v, lo, hi = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "lo", "hi"))
-            new = np.flatnonzero((v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            bounds = [0, *new.tolist(), len(v)]
-            values = {c: b.column(c).to_pylist() for c in held}
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                this = (int(v[s]), int(lo[s]), int(hi[s]))
-                if this != now:
-                    if now is not None:
+            v, block, visits = (b.column(c).to_numpy(zero_copy_only=False) for c in columns[:3])
+            cut = np.flatnonzero((v[1:] != v[:-1]) | (block[1:] != block[:-1]) | (visits[1:] != visits[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(v)], strict=True):
+                some = b.select(names).slice(s, e - s)
+                if (v[s], block[s]) != now:
+                    if open_:
                         close()
-                    now = this
-                for c in held:
-                    held[c] += values[c][s:e]
-            if len(out[0]) > 10_000:
-                yield batch()
-        if now is not None:
+                    home.clear()
+                    now, open_ = (v[s], block[s]), True
+                if not visits[s]:
+                    home.append(some)
+                elif home:
+                    if open_:
+                        meet(pa.Table.from_batches(home).combine_chunks(), True)
+                        open_ = False
+                    meet(pa.Table.from_batches([some]), False)
+            yield from out
+            out.clear()
+        if open_:
             close()
-        if kind is not None and out[0]:
-            yield batch()
+        yield from out
 
-    return rows.mapInArrow(compare, f"v long, a {key}, b {key}")
+    found = met.mapInArrow(compare, f"a {key}, b {key}, apart long")
+    return written(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "passed", asked)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) -> DataFrame:
@@ -265,7 +331,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) ->
     asked = pairs.select("a", "salt", F.col("b").alias("doc_id"), F.lit(False).alias("lead")).unionByName(
         pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(True).alias("lead"))
     )
-    texts = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"))
+    texts, among = only_ids(docs.select("doc_id", "text"), written(asked.select("doc_id").distinct(), "asked"))
     # a merge join whatever the sizes: texts are large beside the pairs
     rows = asked.hint("merge").join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead")).select("doc_id", "text", "a", "lead")
 
@@ -284,7 +350,61 @@ def _verified(pairs: DataFrame, docs: DataFrame, w: int, num: int, den: int) ->
                     i += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, b.schema.field("a").type), pa.array(c, b.schema.field("a").type)], ["a", "b"])
 
-    return rows.mapInArrow(verify, f"a {key}, b {key}")
+    return written(rows.mapInArrow(verify, f"a {key}, b {key}"), "links", among)
+
+
+class _Found:
+    """The links found so far, the labels of their components, and the pairs that were verified."""
+
+    def __init__(self, docs: DataFrame, w: int, num: int, den: int) -> None:
+        self.docs, self.how = docs, (w, num, den)
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def _verify(self, pairs: DataFrame) -> None:
+        both = lambda x: x.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
+        pairs = both(pairs.select("a", "b")).dropDuplicates(["lo", "hi"])
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["lo", "hi"], "left_anti")
+        pairs = written(pairs.select("a", "b", "lo", "hi"), "chosen")
+        if not pairs.limit(1).count():
+            return
+        tried = pairs.select("lo", "hi")
+        self.tried = tried if self.tried is None else self.tried.unionByName(tried)
+        new = _verified(pairs.select("a", "b"), self.docs, *self.how)
+        if self.labels is None or new.limit(1).count():
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.labels = components(self.links, self.labels)
+
+    def settle(self, passed: DataFrame) -> None:
+        """Verify the closest partner of each text, then the pairs whose texts are still apart."""
+        self._verify(passed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"))
+        if self.labels is None:  # no pairs
+            return
+        named = self.labels.withColumnRenamed("label", "l")
+        sizes = written(passed.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(named.withColumnRenamed("node", "a"), "a", "left").select("a", "size", F.coalesce("l", "a").alias("la")), "sides")
+        rest = attach(passed, sizes, "a", "size", passed.count()).join(named.withColumnRenamed("node", "b"), "b", "left")
+        self._verify(rest.filter(F.col("la") != F.coalesce("l", "b")))
+
+
+def _search(found: _Found, postings: DataFrame, lists: DataFrame, reps: DataFrame) -> None:
+    """Find all links between components that ``lists`` leave open."""
+    w, num, den = found.how
+    sums = lists.filter(F.col("open") > LONG * LONG / 2).agg(F.sum("m").alias("m")).first()["m"] or 0
+    long_from = max(LONG, sums // LONG_VALUES)
+    late = np.sort(lists.filter(F.col("open") > long_from * long_from / 2).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
+    if len(late):  # LONG_VALUES values of 8 bytes at most
+        held = found.docs.sparkSession.sparkContext.broadcast(late)
+        some, asked = only_ids(found.docs.select("doc_id", "text"), postings)
+        instead = _instead(some, w, num, den, held).join(postings.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        instead = written(instead.withColumnRenamed("vs", "instead"), "instead", held, asked)
+        postings = written(postings.join(instead, "doc_id", "left").select("doc_id", F.coalesce("instead", "vs").alias("vs")), "postings")
+    for most in (CLOSEST, None):
+        rows, lists = _lists(postings, found.labels, 1, met=not len(late))
+        if not lists.limit(1).count():
+            return
+        found.settle(_between(rows, lists, reps, num, den, most))
 
 
 def _one_each(reps: DataFrame) -> DataFrame:
@@ -305,54 +425,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     w, (num, den) = shingle_words, threshold
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = docs.filter("doc_id IS NOT NULL")
-    base = written(sketches(docs, w, num, den), "sketches")
+    base = written(sketches(docs, w), "sketches")
     total = base.count()
     groups = written(base.filter("doc_id IS NOT NULL AND fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    first_of = groups.select(F.col("rep").alias("doc_id")).distinct()
-    pick = lambda table: _one_each(written(table.filter("doc_id IS NOT NULL AND n > 0").drop("fp").join(first_of, "doc_id", "left_semi"), "reps"))
-    reps = pick(base)
+    # of a class only the first member goes on
+    real = base.filter("doc_id IS NOT NULL AND n > 0")
+    later = attach(real.select("doc_id", "fp"), groups.filter("size > 1"), "fp", "size", total).filter("doc_id <> rep").select("doc_id").distinct()
+    reps = _one_each(without_ids(real.drop("fp"), written(later, "later"), "reps"))
 
-    count_of = lambda rows: rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    counts = written(count_of(_postings(reps).select("v")).filter("m > 1"), "counts")
-    sums = counts.filter(F.col("m") > LONG).agg(F.sum("m").alias("m")).first()["m"] or 0
-    long_from = max(LONG, sums // LONG_VALUES)
-    late = np.sort(counts.filter(F.col("m") > long_from).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
-    if len(late):  # LONG_VALUES values of 8 bytes at most
-        reps = pick(sketches(named, w, num, den, docs.sparkSession.sparkContext.broadcast(late)))
-        counts = written(count_of(_postings(reps).select("v")).filter("m > 1"), "counts")
     postings = _postings(reps)
-    n_postings = counts.agg(F.sum("m").alias("m")).first()["m"] or 0
-
-    tried = written(_listed(postings, counts, n_postings, num, den, label=False), "tried")
-    pairs = written(tried.select("a", "b").distinct(), "pairs")
-    links = written(_verified(pairs, named, w, num, den), "links")
-    labels = components(links)
-
-    failed = tried.join(pairs.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("v").distinct()
-    failed = written(counts.join(failed, "v", "left_semi"), "failed")
-    for most in [CLOSEST, None]:
-        open_lists = failed.limit(BROADCAST_ROWS + 1).count()
-        if not open_lists:
+    found = _Found(named, w, num, den)
+    rows, lists = _lists(postings, None, 0)
+    found.settle(_passed(_with_leader(rows, lists), reps, num, den))
+    before = None
+    for turn in count(1):
+        rows, lists = _lists(postings, found.labels, turn)
+        still = lists.agg(F.sum("open").alias("n")).first()["n"] or 0
+        if not still or (before is not None and still > before / 2):
             break
-        few = postings.join(F.broadcast(failed.select("v")) if open_lists <= BROADCAST_ROWS else failed.select("v"), "v", "left_semi")
-        few = few.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        tried = written(_listed(few, failed, n_postings, num, den, label=True, most=most), "tried")
-        rest = written(tried.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-        more = written(_verified(rest, named, w, num, den), "links")
-        pairs = pairs.unionByName(rest)
-        failed = written(failed.join(tried.select("v").distinct(), "v", "left_semi"), "failed")  # the others are done
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links, labels)
+        found.settle(_passed(_with_leader(rows, lists), reps, num, den))
+        before = still
+    if still:
+        _search(found, postings, lists, reps)
 
     # each row by its set's class, and the class by its representative's component
     nodes = base.select("doc_id", "n", "fp")
-    by_class = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"), "size")
-    by_class = written(by_class, "by_class")
+    by_class = groups.withColumn("component_id", F.col("rep"))
+    if found.labels is not None:
+        by_class = groups.join(found.labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
+    by_class = written(by_class.select("fp", "component_id", "size"), "by_class")
     linked = attach(nodes.filter("fp IS NOT NULL AND doc_id IS NOT NULL"), by_class, "fp", "size", total).select("doc_id", "n", "component_id")
     alone = nodes.filter("fp IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's sets: three-word shingles, linked from 85 % on."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=3, threshold=(85, 100))

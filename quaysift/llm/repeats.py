@@ -16,8 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .codes import mix
+from .shared import written
 
 BLOCK_BITS = 16
 MOST_BITS = 27
@@ -113,17 +115,34 @@ def id_codes(ids: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose ``key`` (not null) is among the ``ids``, but for few others that the filter lets through: rows that surely aren't asked for need not shuffle."""
-
+def _ids_filter(ids: DataFrame, key: str) -> Broadcast:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             yield id_codes(b.column(0))
 
-    asked = repeat_filter(ids.select(key).mapInArrow(lambda it: parts(seen(it), MOST_BITS, 2), PARTS), MOST_BITS)
+    return repeat_filter(ids.select(key).mapInArrow(lambda it: parts(seen(it), MOST_BITS, 2), PARTS), MOST_BITS)
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Broadcast]:
+    """Rows whose ``key`` (not null) is among the ``ids``, and few others that the filter lets through: rows that surely
+    aren't asked for need not shuffle. Also the filter, for who wants to destroy it."""
+    asked = _ids_filter(ids, key)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(key)), MOST_BITS)))
 
-    return rows.mapInArrow(pick, rows.schema)
+    return rows.mapInArrow(pick, rows.schema), asked
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """The written rows whose ``key`` (not null) isn't among the ``ids``: those that surely aren't need not shuffle."""
+    asked = _ids_filter(ids, key)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("_maybe", pa.array(may_repeat(asked.value, id_codes(b.column(key)), MOST_BITS)))
+
+    marked = rows.mapInArrow(mark, StructType([*rows.schema.fields, StructField("_maybe", BooleanType())]))
+    left = marked.filter("NOT _maybe").unionByName(marked.filter("_maybe").join(ids.select(key), key, "left_anti"))
+    return written(left.drop("_maybe"), name, asked)
