@@ -1,15 +1,16 @@
 """Best-fit packing of texts into sequences of several permitted lengths.
 
 Which lengths go together is decided on the histogram of lengths, which has a row a length (the largest
-permitted one at most) whatever the number of texts. Bins that hold the same are one entry with a count,
-so the plan stays small. Texts then find their place by their rank among those of their length; ranks are
+permitted one at most) whatever the number of texts. A text goes to the open bin that it fills best; where none has
+room, the size is opened that costs least for what such a bin will probably hold. Bins that hold the same are
+one entry with a count, so the plan stays small. Texts then find their place by their rank among those of their length; ranks are
 counted per bucket of ids first, so one length may hold most texts.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,56 @@ OVERHEAD = 16
 BUCKET = 50_000
 
 
-def _pack(histogram: dict[int, int], opened: dict[int, int]) -> list[tuple[int, tuple, int]]:
-    """Best-fit decreasing in bulk: (capacity, contents, times), where ``opened`` gives the size opened for a length.
+class _Opener:
+    """Which size to open for texts of a length: the least cost a unit of what the bin will probably hold and be downsized to.
 
-    Contents are pairs of a length and how often it stands there.
+    What it will hold is the length itself and then, time and again, the longest text left that fits. Texts that
+    earlier bins were opened for are spoken for.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacities: list[int]) -> None:
+        self.free, self.capacities = dict(histogram), sorted(capacities)
+        self.lengths = sorted(histogram)
+
+    def _fill(self, length: int, left: int, capacity: int) -> list[tuple[int, int]]:
+        """(length, how often) of the probable contents."""
+        each = min(capacity // length, left)
+        out, room = [(length, each)], capacity - length * each
+        at = bisect_right(self.lengths, min(room, length - 1)) - 1
+        while room and at >= 0:
+            n = self.lengths[at]
+            if not self.free[n]:
+                self.lengths.pop(at)
+                at -= 1
+                continue
+            times = min(room // n, self.free[n])
+            out.append((n, times))
+            room -= n * times
+            at = min(at, bisect_right(self.lengths, room)) - 1
+        return out
+
+    def __call__(self, length: int, left: int) -> tuple[int, int]:
+        """(capacity, how many to open of it)."""
+        best = None
+        for c in self.capacities[bisect_left(self.capacities, length) :]:
+            contents = self._fill(length, left, c)
+            total = sum(n * k for n, k in contents)
+            closed = self.capacities[bisect_left(self.capacities, total)]
+            cost = (closed + OVERHEAD) / total
+            if best is None or cost < best[0]:
+                best = cost, c, contents
+        _, capacity, contents = best
+        times = min(left // contents[0][1], *(self.free[n] // k for n, k in contents[1:])) if len(contents) > 1 else left // contents[0][1]
+        for n, k in contents[1:]:
+            self.free[n] -= k * times
+        return capacity, times
+
+
+def _pack(histogram: dict[int, int], opened: Callable[[int, int], tuple[int, int]]) -> list[tuple[int, tuple, int]]:
+    """Best-fit decreasing in bulk: (capacity, contents, times).
+
+    ``opened`` gives the size to open for so many texts of a length, and how many of it. Contents are pairs of a
+    length and how often it stands there.
     """
     bins: dict[int, list[list]] = {}  # residual -> [[capacity, contents, times], ...]
     residuals: list[int] = []
@@ -51,8 +98,8 @@ def _pack(histogram: dict[int, int], opened: dict[int, int]) -> list[tuple[int,
                     residuals.pop(at)
                 capacity, contents, times = entry
             else:
-                residual = capacity = opened[length]
-                contents, times = (), -(-left // (capacity // length))
+                capacity, times = opened(length, left)
+                residual, contents = capacity, ()
             each = residual // length
             full = min(times, left // each)
             if full:
@@ -68,15 +115,17 @@ def _pack(histogram: dict[int, int], opened: dict[int, int]) -> list[tuple[int,
 
 
 def plan(histogram: dict[int, int], capacities: list[int]) -> list[tuple[int, tuple, int]]:
-    """The cheapest plan: for each largest size that may be opened, bins are filled, then each is downsized.
+    """(capacity, contents, times) of the cheapest plan; a bin costs its capacity and ``OVERHEAD``.
 
-    A length opens the size with the least cost per unit among those that may be opened and hold it.
+    Bins are filled by best fit, and at last each gets the smallest size that holds its contents. One plan chooses the size
+    of each bin that it opens by what is left (``_Opener``); the others open no larger size than one of the capacities.
+    The histogram has a row a length, so this work is bounded by the largest capacity, whatever the number of texts.
     """
     capacities = sorted(capacities)
     fit = lambda n: capacities[bisect_left(capacities, n)]
+    single = lambda most: lambda length, left: (c := max(most, fit(length)), -(-left // (c // length)))
     best, least = [], None
-    for most in capacities:
-        opened = {n: min((c for c in capacities if c >= n and c <= max(most, fit(n))), key=lambda c: ((c + OVERHEAD) / c, c)) for n in histogram}
+    for opened in (_Opener(histogram, capacities), *map(single, capacities)):
         done = [(fit(sum(n * k for n, k in contents)), contents, times) for _, contents, times in _pack(histogram, opened)]
         cost = sum((c + OVERHEAD) * times for c, _, times in done)
         if least is None or cost < least:

@@ -1,6 +1,7 @@
 """Token counts, languages, toxicity, chat formatting, decontamination, packing and the pipeline."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import duck, rows_of
@@ -171,3 +172,55 @@ def test_pipeline(spark, sf):
 def test_op4(spark, sf):
     lengths = {r["doc_id"]: len((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert check_packing(packing.op4_best_fit_packing(spark, sf).collect(), lengths, (1024, 2048, 4096, 8192)) > 0.95
+
+
+def _cost(bins, capacities):
+    return sum(min(c for c in capacities if c >= sum(b)) + packing.OVERHEAD for b in bins)
+
+
+def _optimum(items, capacities):
+    """The least cost over all ways to put the items into bins."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        if i == len(items):
+            best[0] = min(best[0], _cost(bins, capacities))
+            return
+        for b in bins:
+            if sum(b) + items[i] <= max(capacities):
+                b.append(items[i])
+                go(i + 1, bins)
+                b.pop()
+        go(i + 1, [*bins, [items[i]]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_plan_against_all_ways():
+    """Never below the optimum, at most a quarter above it, and under 2 % on average."""
+    r, over = random.Random(7), []
+    for _ in range(150):
+        capacities = [64, 128, 256]
+        items = [min(256, int(r.choice([r.randint(1, 256), r.expovariate(1 / 50) + 1]))) for _ in range(r.randint(1, 7))]
+        done = packing.plan(dict(Counter(items)), capacities)
+        assert Counter({n: sum(k * t for _, contents, t in done for m, k in contents if m == n) for n in set(items)}) == Counter(items)
+        cost = sum((c + packing.OVERHEAD) * t for c, _, t in done)
+        over.append(cost / _optimum(items, capacities))
+        assert 1 <= over[-1] <= 1.25
+    assert sum(over) / len(over) < 1.02
+
+
+def test_packing_in_bulk_is_best_fit_item_by_item():
+    r = random.Random(8)
+    for _ in range(50):
+        items = sorted((r.randint(1, 100) for _ in range(r.randint(1, 300))), reverse=True)
+        rooms = []
+        for n in items:
+            fits = [i for i, room in enumerate(rooms) if room >= n]
+            if fits:
+                rooms[min(fits, key=lambda i: rooms[i])] -= n
+            else:
+                rooms.append(100 - n)
+        done = packing._pack(dict(Counter(items)), lambda n, left: (100, -(-left // (100 // n))))
+        assert sorted(rooms) == sorted(100 - sum(n * k for n, k in contents) for _, contents, times in done for _ in range(times))
