@@ -10,23 +10,22 @@ differ in values, which never loses a link; the similarity estimated from the un
 then has to come near the threshold. Pairs that pass are verified on full sets: the closest partner of each text
 first, and of the others those whose texts are still in different components.
 
-A list is not searched for all its pairs at once. First all its texts meet one of them, its leader, which joins most
-of what belongs together; leaders change as long as that halves what is open. Only pairs between
-components are open then. Lists with very many of these (a passage in many texts) give up their values: texts that
-hold such a value retain others instead, as many as leave the same chance of a miss. What is still open is
-compared in blocks. Lists with the same texts are one list, and texts with equal sets are one class from the start.
+A list is not searched for all its pairs at once. First all its texts meet the one with the smallest id, which joins most
+of what belongs together; only pairs between components are open then. Lists with very many of these (a passage in many
+texts) give up their values: texts that hold such a value retain others instead, as many as leave the same chance
+of a miss. What is still open is compared in blocks. Lists with the same texts are one list, and texts with equal
+sets are one class from the start.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codes import pieces, shingle_sets, words
@@ -44,8 +43,6 @@ PARITY = 1024
 LONG, LONG_VALUES = 1_000, 1_000_000
 #: Texts of a list that are held in one task, which others then stream past.
 BLOCK = 4_096
-#: Pairs of each two components of a list that are verified before all others.
-CLOSEST = 4
 #: Partners of one text that are verified in one bundle.
 BUNDLE = 200
 _NONE = np.uint32(0xFFFFFFFF)
@@ -192,60 +189,61 @@ def _passed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return written(rows.mapInArrow(job, f"a {key}, b {key}, apart long"), "passed", asked)
 
 
-def _lists(postings: DataFrame, labels: DataFrame | None, turn: int, met: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, v, label`` of all postings, ``v, m, open, lead, lead_label, top, code`` of lists with open pairs).
-
-    ``open`` counts pairs of different labels, ``lead`` is the leader of this turn, ``top`` the label that most have.
-    In turn 0 the smallest id leads; where it has ``met`` all others, its pairs aren't open any more.
-    """
+def _rows(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``doc_id, v, label``: the label comes to a text before its values do."""
     rows = postings.withColumn("label", F.col("doc_id"))
     if labels is not None:
         rows = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    rows = rows.select("doc_id", F.explode("vs").alias("v"), "label")
-    xors = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (0, 1)]
-    smallest = F.min(F.struct("doc_id", "label"))
-    if turn == 0:  # all labels differ
-        m = F.col("m")
-        found = rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"), smallest.alias("lead"), *xors).filter(m > 1)
-        found = found.withColumns({"open": m.cast("double") * (m - 1) / 2, "top": F.col("lead.label")})
-    else:
-        c, m = F.col("c"), F.col("m").cast("double")
-        drawn = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label"))
-        found = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"), smallest.alias("smallest"), drawn.alias("lead"), *xors)
-        found = found.groupBy("v").agg(
-            F.sum(c).alias("m"), F.sum(c.cast("double") * c).alias("square"), F.max(F.struct("c", "label")).alias("top"), F.min(F.struct("smallest", "c")).alias("first"),
-            F.min("lead").alias("lead"), *(F.bit_xor(f"x{s}").alias(f"x{s}") for s in (0, 1)),
-        )
-        open_ = (m * m - F.col("square")) / 2 - (m - F.col("first.c") if met else 0)
-        found = found.withColumns({"open": open_, "top": F.col("top.label")}).filter("open > 0")
-    code = F.struct("m", "x0", "x1").alias("code")
-    return rows, written(found.select("v", "m", "open", F.col("lead.doc_id").alias("lead"), F.col("lead.label").alias("lead_label"), "top", code), "lists")
-
-
-def _once(lists: DataFrame) -> DataFrame:
-    """One of the lists with the same texts."""
-    return written(lists.groupBy("code").agg(F.min(F.struct("v", "m", "lead", "lead_label", "top")).alias("x")).select("x.*"), "once")
-
-
-def _with_leader(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """``a, b``: each leader with the texts of its lists that have another label."""
-    lists = _once(lists)
-    total = lists.agg(F.sum("m").alias("m")).first()["m"] or 0
-    met = attach(rows, lists, "v", "m", total)
-    return met.filter((F.col("label") != F.col("lead_label")) & (F.col("doc_id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-
-
-def _between(rows: DataFrame, lists: DataFrame, reps: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """``a, b, apart``: pairs of different labels that the filters let pass, ``most`` of each two labels of a block (the closest), or all.
+    return rows.select("doc_id", F.explode("vs").alias("v"), "label")
+
+
+def _code() -> list[Column]:
+    """Which texts a list has, in 128 bits."""
+    return [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (0, 1)]
+
+
+def _all_lists(rows: DataFrame) -> DataFrame:
+    """``v, m, lead, code`` of lists with more than one text; the smallest id leads."""
+    found = rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lead"), *_code()).filter("m > 1")
+    return found.select("v", "m", "lead", F.struct("m", "x0", "x1").alias("code"))
+
+
+def _open_lists(rows: DataFrame, met: bool) -> DataFrame:
+    """``v, m, open, top, code`` of lists with open pairs: ``open`` counts pairs of different labels, without those of the
+    smallest id where it has ``met`` all others; ``top`` is the label that most have."""
+    c, m = F.col("c"), F.col("m").cast("double")
+    found = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("smallest"), *_code())
+    found = found.groupBy("v").agg(
+        F.sum(c).alias("m"), F.sum(c.cast("double") * c).alias("square"), F.max(F.struct("c", "label")).alias("top"),
+        F.min(F.struct("smallest", "c")).alias("first"), *(F.bit_xor(f"x{s}").alias(f"x{s}") for s in (0, 1)),
+    )
+    found = found.withColumn("open", (m * m - F.col("square")) / 2 - (m - F.col("first.c") if met else 0)).filter("open > 0")
+    return written(found.select("v", "m", "open", F.col("top.label").alias("top"), F.struct("m", "x0", "x1").alias("code")), "lists")
+
+
+def _once(lists: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """(``v, m`` and ``columns`` of one of the lists with the same texts, sum of ``m``)."""
+    lists = written(lists.groupBy("code").agg(F.min(F.struct("v", "m", *columns)).alias("x")).select("x.*"), "once")
+    return lists, lists.agg(F.sum("m").alias("m")).first()["m"] or 0
+
+
+def _with_leader(rows: DataFrame) -> DataFrame:
+    """``a, b``: the leader of each list with its other texts."""
+    lists, total = _once(_all_lists(rows), "lead")
+    met = attach(rows.select("doc_id", "v"), lists, "v", "m", total)
+    return met.filter(F.col("doc_id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _between(rows: DataFrame, lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, apart``: all pairs of different labels that the filters let pass.
 
     Texts of a list live in blocks. Those that don't have its ``top`` label visit all blocks, so texts that
     already belong together are not compared.
     """
     key = reps.schema["doc_id"].dataType.simpleString()
-    lists = _once(lists)
-    total = lists.agg(F.sum("m").alias("m")).first()["m"] or 0
+    lists, total = _once(lists, "top")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = written(attach(rows, lists.select("v", "m", "top"), "v", "m", total).select("doc_id", "v", "label", (F.col("label") == F.col("top")).alias("of_top"), blocks.alias("blocks")), "met")
+    met = written(attach(rows, lists, "v", "m", total).select("doc_id", "v", "label", (F.col("label") == F.col("top")).alias("of_top"), blocks.alias("blocks")), "met")
     marks, asked = only_ids(reps.select("doc_id", "n", "sketch", "parity"), written(met.select("doc_id").distinct(), "asked"))
     met = met.hint("merge").join(marks, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("block", F.explode(F.when(F.col("of_top"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
@@ -253,47 +251,45 @@ def _between(rows: DataFrame, lists: DataFrame, reps: DataFrame, num: int, den:
     met = met.withColumn("visits", F.col("block") != F.col("own")).select(*columns).repartition("v", "block").sortWithinPartitions("v", "block", "visits")
     names = columns[3:]
 
+    def pairs_of(guests: pa.Table, h: pa.Table, at_home: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of guests and texts at home."""
+        x, y = (_Texts(t.column("n").to_numpy(), t.column("sketch"), t.column("parity")) for t in (guests, h))
+        ids = [t.column("doc_id").combine_chunks() for t in (guests, h)]
+        top = [t.column("of_top").to_numpy(zero_copy_only=False) for t in (guests, h)]
+        coded = pa.chunked_array([*guests.column("label").chunks, *h.column("label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        lx, ly = coded[: len(guests)], coded[len(guests) :]
+        order = np.argsort(y.n, kind="stable")
+        sizes = y.n[order]
+        found: list[np.ndarray] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.concatenate(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([*(ids[k].take(pa.array(pairs[:, k])) for k in (0, 1)), pa.array(pairs[:, 2])], ["a", "b", "apart"])
+
+        for i in np.flatnonzero(~top[0]).tolist():
+            j = order[np.searchsorted(sizes, -(-int(x.n[i]) * num // den)) : np.searchsorted(sizes, int(x.n[i]) * den // num, "right")]
+            j = j[ly[j] != lx[i]]
+            if at_home:  # of two texts at home that both go to all blocks, one looks for the other
+                j = j[top[1][j] | (j < i)]
+            if len(j):
+                ok, apart = _near(x, np.full(len(j), i), y, j, num, den)
+                found.append(np.column_stack([np.full(len(ok), i), j[ok], apart]))
+                n += len(ok)
+            if n > 1 << 16:
+                yield out()
+                n = 0
+        if n:
+            yield out()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home: list[pa.RecordBatch] = []
-        now = None
-        out: list[pa.RecordBatch] = []
-
-        def meet(guests: pa.Table, at_home: bool) -> None:
-            """Pairs of guests and texts at home."""
-            h = pa.Table.from_batches(home).combine_chunks()
-            x, y = (_Texts(t.column("n").to_numpy(), t.column("sketch"), t.column("parity")) for t in (guests, h))
-            g, top = guests.column("doc_id"), guests.column("of_top").to_numpy(zero_copy_only=False)
-            coded = pa.chunked_array([*guests.column("label").chunks, *h.column("label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lx, ly = coded[: len(guests)], coded[len(guests) :]
-            order = np.argsort(y.n, kind="stable")
-            sizes = y.n[order]
-            found: list[np.ndarray] = []
-            for i in np.flatnonzero(~top).tolist():
-                j = order[np.searchsorted(sizes, -(-int(x.n[i]) * num // den)) : np.searchsorted(sizes, int(x.n[i]) * den // num, "right")]
-                j = j[ly[j] != lx[i]]
-                if at_home:  # of two texts at home that both go to all blocks, one looks for the other
-                    j = j[top[j] | (j < i)]
-                if len(j):
-                    ok, apart = _near(x, np.full(len(j), i), y, j, num, den)
-                    if len(ok):
-                        found.append(np.column_stack([np.full(len(ok), i), j[ok], apart]))
-            if not found:
-                return
-            pairs = np.concatenate(found)
-            if most is not None:
-                two = lx[pairs[:, 0]] * (len(coded) + 1) + ly[pairs[:, 1]]
-                pairs, two = (z[np.lexsort((pairs[:, 2], two))] for z in (pairs, two))
-                at = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]]))
-                pairs = pairs[np.arange(len(two)) - np.repeat(at, np.diff(np.append(at, len(two)))) < most]
-            ids = [c.combine_chunks().take(pa.array(pairs[:, k])) for k, c in enumerate((g, h.column("doc_id")))]
-            out.append(pa.RecordBatch.from_arrays([*ids, pa.array(pairs[:, 2])], ["a", "b", "apart"]))
-
-        def close() -> None:
-            if home:
-                meet(pa.Table.from_batches(home).combine_chunks(), True)
-            home.clear()
-
-        open_ = False  # texts at home have not met each other yet
+        now, open_ = None, False  # open: texts at home have not met each other yet
+
+        def settled() -> pa.Table:
+            return pa.Table.from_batches(home).combine_chunks()
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -302,22 +298,19 @@ def _between(rows: DataFrame, lists: DataFrame, reps: DataFrame, num: int, den:
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(v)], strict=True):
                 some = b.select(names).slice(s, e - s)
                 if (v[s], block[s]) != now:
-                    if open_:
-                        close()
+                    if open_ and home:
+                        yield from pairs_of(settled(), settled(), True)
                     home.clear()
                     now, open_ = (v[s], block[s]), True
                 if not visits[s]:
                     home.append(some)
                 elif home:
                     if open_:
-                        meet(pa.Table.from_batches(home).combine_chunks(), True)
+                        yield from pairs_of(settled(), settled(), True)
                         open_ = False
-                    meet(pa.Table.from_batches([some]), False)
-            yield from out
-            out.clear()
-        if open_:
-            close()
-        yield from out
+                    yield from pairs_of(pa.Table.from_batches([some]), settled(), False)
+        if open_ and home:
+            yield from pairs_of(settled(), settled(), True)
 
     found = met.mapInArrow(compare, f"a {key}, b {key}, apart long")
     return written(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "passed", asked)
@@ -377,9 +370,12 @@ class _Found:
             self.links = new if self.links is None else self.links.unionByName(new)
             self.labels = components(self.links, self.labels)
 
-    def settle(self, passed: DataFrame) -> None:
-        """Verify the closest partner of each text, then the pairs whose texts are still apart."""
+    def closest(self, passed: DataFrame) -> None:
+        """Verify the closest partner of each text."""
         self._verify(passed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"))
+
+    def apart(self, passed: DataFrame) -> None:
+        """Verify the pairs whose texts are still in different components."""
         if self.labels is None:  # no pairs
             return
         named = self.labels.withColumnRenamed("label", "l")
@@ -388,9 +384,11 @@ class _Found:
         self._verify(rest.filter(F.col("la") != F.coalesce("l", "b")))
 
 
-def _search(found: _Found, postings: DataFrame, lists: DataFrame, reps: DataFrame) -> None:
-    """Find all links between components that ``lists`` leave open."""
+def _search(found: _Found, postings: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """``a, b, apart``: all pairs of different components that lists bring together, after the leaders, and the filters let pass."""
     w, num, den = found.how
+    rows = _rows(postings, found.labels)
+    lists = _open_lists(rows, met=True)
     sums = lists.filter(F.col("open") > LONG * LONG / 2).agg(F.sum("m").alias("m")).first()["m"] or 0
     long_from = max(LONG, sums // LONG_VALUES)
     late = np.sort(lists.filter(F.col("open") > long_from * long_from / 2).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
@@ -400,11 +398,9 @@ def _search(found: _Found, postings: DataFrame, lists: DataFrame, reps: DataFram
         instead = _instead(some, w, num, den, held).join(postings.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         instead = written(instead.withColumnRenamed("vs", "instead"), "instead", held, asked)
         postings = written(postings.join(instead, "doc_id", "left").select("doc_id", F.coalesce("instead", "vs").alias("vs")), "postings")
-    for most in (CLOSEST, None):
-        rows, lists = _lists(postings, found.labels, 1, met=not len(late))
-        if not lists.limit(1).count():
-            return
-        found.settle(_between(rows, lists, reps, num, den, most))
+        rows = _rows(postings, found.labels)
+        lists = _open_lists(rows, met=False)
+    return _between(rows, lists, reps, num, den) if lists.limit(1).count() else None
 
 
 def _one_each(reps: DataFrame) -> DataFrame:
@@ -435,18 +431,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     postings = _postings(reps)
     found = _Found(named, w, num, den)
-    rows, lists = _lists(postings, None, 0)
-    found.settle(_passed(_with_leader(rows, lists), reps, num, den))
-    before = None
-    for turn in count(1):
-        rows, lists = _lists(postings, found.labels, turn)
-        still = lists.agg(F.sum("open").alias("n")).first()["n"] or 0
-        if not still or (before is not None and still > before / 2):
-            break
-        found.settle(_passed(_with_leader(rows, lists), reps, num, den))
-        before = still
-    if still:
-        _search(found, postings, lists, reps)
+    passed = _passed(_with_leader(_rows(postings, None)), reps, num, den)
+    found.closest(passed)
+    more = _search(found, postings, reps)
+    if more is not None:
+        found.closest(more)
+        passed = passed.unionByName(more)
+    found.apart(passed)
 
     # each row by its set's class, and the class by its representative's component
     nodes = base.select("doc_id", "n", "fp")

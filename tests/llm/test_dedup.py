@@ -4,6 +4,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import duck, rows_of
 
@@ -60,16 +61,45 @@ def test_near(spark, seed):
 
 
 def test_near_long_lists(spark, monkeypatch):
-    """Values in more than three sketches come last, and lists are cut into blocks of four."""
+    """Lists with more open pairs than three texts have give up their values, and blocks have some four texts."""
     monkeypatch.setattr(minhash_dedup, "LONG", 3)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
-    monkeypatch.setattr(minhash_dedup, "CLOSEST", 1)
     monkeypatch.setattr(minhash_dedup, "BUNDLE", 2)
     docs = odd_texts(5)
     got = {tuple(r) for r in minhash_dedup.near_duplicates(frame(spark, docs), shingle_words=3, threshold=(85, 100)).collect()}
     assert got == brute.near(docs, 3, 85, 100)
 
 
+def test_near_large_family(spark, monkeypatch):
+    """A family of near copies over several blocks, some of them only linked through others, beside a passage in many texts."""
+    monkeypatch.setattr(minhash_dedup, "LONG", 30)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, passage, texts = [word() for _ in range(80)], " ".join(word() for _ in range(25)), []
+    for _ in range(80):
+        near = list(base)
+        for _ in range(r.randint(1, 5)):
+            near[r.randrange(80)] = word()
+        texts.append(" ".join(near))
+    texts += [passage + " " + " ".join(word() for _ in range(r.randint(1, 12))) for _ in range(80)]
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = {tuple(x) for x in minhash_dedup.near_duplicates(frame(spark, docs), shingle_words=3, threshold=(85, 100)).collect()}
+    assert got == brute.near(docs, 3, 85, 100) and len({x[2] for x in got}) > 10
+
+
+def test_what_is_retained_instead():
+    """Given-up values are left out while the others are enough, and the first in one order else."""
+    u = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    keep = lambda late: minhash_dedup.retained_but(u, np.sort(late), 85, 100)
+    assert keep(np.array([5], np.uint64)) is None and keep(np.zeros(0, np.uint64)) is None
+    assert keep(u[:1]).tolist() == u[1:12].tolist()  # 11: one in a thousand is given up
+    half = keep(u[::2])
+    assert 15 < len(half) < 25 and not np.isin(half, u[::2]).any()
+    assert len(keep(u)) == 151 and len(keep(u[100:])) == 151 and keep(u[100:])[:100].tolist() == u[:100].tolist()
+
+
 @pytest.mark.parametrize("classes", [2, 1 << 16])
 def test_bytes(spark, monkeypatch, classes):
     monkeypatch.setattr(anchors, "CLASSES", classes)
