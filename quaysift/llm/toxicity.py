@@ -1,10 +1,10 @@
 """Toxicity by compression distance: windows compress with a dictionary of toxic text and with one of ordinary text.
 
-The zstandard dictionaries are trained on labelled texts. Ordinary text gives what all texts have in common. Toxic text
-gives two dictionaries that stand before it: one is trained on what surrounds the word stems that tell toxic texts, the
-other lists these stems. A stem tells if its counts in toxic and ordinary texts differ beyond chance. A window that gets
-shorter with a toxic dictionary holds something of it. Per text, the counts of windows by bytes saved with either go
-through a logistic function calibrated on labelled texts.
+The zstandard dictionaries are trained on labelled texts: one on windows of ordinary texts, and two (small and large) on
+what is toxic in toxic texts, which are the words whose beginnings tell toxic texts from ordinary ones. Such a stem's counts in
+both differ beyond chance, near copies counting once. Contents of the dictionaries are loaded without their entropy tables, toxic
+ones before the ordinary one, so that lengths differ by what is found alone. A window that gets shorter with a toxic dictionary
+holds something of it. Per text, the counts of windows by bytes saved go through a logistic function calibrated on labelled texts.
 """
 
 from __future__ import annotations
@@ -21,15 +21,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
+from .shared import written
 
 #: Labelled documents of each label that the dictionaries and the calibration are fitted on (expected number), read whole.
 FIT_DOCS = 4_000
 #: Bytes of a window, and from one window's start to the next's.
 WINDOW, STEP = 64, 48
-#: zstandard's level; bytes of the dictionaries trained on ordinary text and around stems; bytes on either side of a stem.
-LEVEL, ORDINARY, TOXIC, AROUND = 6, 16_384, 4096, 8
-#: Windows of a label that a dictionary is trained on (expected number), chosen by a hash from whole texts; bytes of an ordinary one.
-WINDOWS, PART = 32_000, 256
+#: zstandard's level; bytes of the dictionaries trained on ordinary text and on toxic words.
+LEVEL, ORDINARY, TOXIC = 6, 16_384, (512, 4096)
+#: Windows of ordinary text and words of toxic text that dictionaries are trained on (expected numbers), chosen by a hash from whole texts; bytes
+#: of an ordinary window, and toxic words of a training sample.
+WINDOWS, PART, TOGETHER = 32_000, 256, 24
+#: Bytes of a toxic word after its stem that are trained on.
+TAIL = 1
+#: Words of the runs of which the smallest hash stands for a text: texts that share it count once.
+RUN = 5
 #: Bytes of ordinary text before each window. Both dictionaries hold them, so even a short window is compressed and not stored.
 LEAD = 64
 #: A stem is in so many toxic texts at least, so many times less often in ordinary ones, and its log-likelihood ratio is this (a chance of 8e-6).
@@ -40,7 +46,7 @@ UNSPACED = rb"\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|[\xe3-\xe9].."
 STARTS = re.compile(rb"(?<= )[^ ]|" + UNSPACED, re.DOTALL)
 #: Savings in bytes that windows are counted by.
 SAVED = (1, 2, 3, 4, 6)
-FEATURES = 2 * (len(SAVED) + 2)
+FEATURES = len(TOXIC) * (len(SAVED) + 2)
 
 
 def _plain(text: str | None) -> bytes:
@@ -57,6 +63,12 @@ def _prefixes(text: bytes) -> set[bytes]:
     return out
 
 
+def _run_hash(plain: bytes) -> int:
+    """The smallest hash of a text's runs of words: near copies mostly share it."""
+    words = plain.split()
+    return min(zlib.crc32(b" ".join(words[i : i + RUN])) for i in range(max(1, len(words) - RUN + 1)))
+
+
 def _tells(n_toxic: int, n_ordinary: int) -> Column:
     """Whether a stem in ``n`` toxic texts and ``other`` ordinary ones tells toxic texts: more often, and not by chance."""
     n, other, share = F.col("n"), F.col("other"), n_toxic / max(n_toxic + n_ordinary, 1)
@@ -92,8 +104,8 @@ def _trained(size: int, windows: list[bytes]) -> bytes:
 class Scorer:
     """The dictionaries and the calibration."""
 
-    def __init__(self, stems: bytes, trained: bytes, ordinary: bytes) -> None:
-        self.toxic, self.ordinary = (stems, trained), ordinary
+    def __init__(self, toxic: tuple[bytes, ...], ordinary: bytes) -> None:
+        self.toxic, self.ordinary = toxic, ordinary
         self.weights, self.centre, self.scale = np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES)
         self._made: tuple | None = None
 
@@ -114,7 +126,7 @@ class Scorer:
         return self._made
 
     def features(self, text: str | None) -> np.ndarray:
-        """For either toxic dictionary: most bytes saved in a window, windows by bytes saved (logarithms), share of windows with savings."""
+        """For each toxic dictionary: most bytes saved in a window, windows by bytes saved (logarithms), share of windows with savings."""
         plain, ordinary, *toxic = _plain(text), *self._compressors()
         if not plain:
             return np.zeros(FEATURES)
@@ -154,9 +166,10 @@ def _features(held: Broadcast, texts: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``: about ``FIT_DOCS`` texts a label, chosen by a hash of the id.
 
-    Texts that are equal count once. Where a label has no text, every score is the share of toxic labels.
+    Texts that are equal count once, and near copies once where stems are counted and words are taken. A document with
+    both labels counts as toxic. Where a label has no text, every score is the share of toxic labels.
     """
-    labels = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
+    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     grid = 1 << 30
     bound = F.when(F.col("toxic") == 1, int(min(1.0, FIT_DOCS / max(counts.get(1, 0), 1)) * grid)).otherwise(int(min(1.0, FIT_DOCS / max(counts.get(0, 0), 1)) * grid))
@@ -164,44 +177,57 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     # at most some 2 * FIT_DOCS rows
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
+    texts = written(texts, "labelled")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = [_plain(t) for t in b.column("text").to_pylist()]
+            full = [i for i, p in enumerate(plain) if p]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic").take(pa.array(full, pa.int64())).cast(pa.int32()), pa.array([_run_hash(plain[i]) for i in full], pa.int64()), pa.array([plain[i] for i in full], pa.binary())],
+                ["toxic", "run", "plain"],
+            )
+
+    single = texts.mapInArrow(once, "toxic int, run long, plain binary").groupBy("toxic", "run").agg(F.min("plain").alias("plain"))
+    single = written(single, "single")
+    about = {r["toxic"]: r for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("plain").cast("long")).alias("size")).collect()}
+    n1, n0 = (about[k]["n"] if k in about else 0 for k in (1, 0))
+    share = min(1.0, WINDOWS * PART / max(about[0]["size"] if n0 else 0, 1))  # of all windows of ordinary texts
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], int] = {}
-        number, sample = [0, 0], []
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                plain = _plain(text)
-                number[toxic] += 1
+            for plain, toxic in zip(b.column("plain").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 for p in _prefixes(plain):
                     seen[toxic, p] = seen.get((toxic, p), 0) + 1
-                if not toxic:
-                    sample.extend(w for i in range(0, len(plain), PART) if zlib.crc32(w := plain[i : i + PART]) < share * 2**32)
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([seen[k] for k in keys], pa.int64())], ["toxic", "part", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.nulls(2, pa.binary()), pa.array(number, pa.int64())], ["toxic", "part", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([2] * len(sample), pa.int32()), pa.array(sample, pa.binary()), pa.array([1] * len(sample), pa.int64())], ["toxic", "part", "n"])
 
-    from .shared import written
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for p in b.column(0).to_pylist() for i in range(0, len(p), PART) if zlib.crc32(w := p[i : i + PART]) < share * 2**32], pa.binary())], ["part"])
 
-    texts = written(texts, "labelled")
-    # of all windows of ordinary texts
-    share = min(1.0, WINDOWS * PART / max(texts.filter("toxic = 0").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, 1))
-    parts = written(texts.mapInArrow(count, "toxic int, part binary, n long").groupBy("toxic", "part").agg(F.sum("n").alias("n")), "parts")
-    number = {r["toxic"]: r["n"] for r in parts.filter("part IS NULL").collect()}
-    n1, n0 = number.get(1, 0), number.get(0, 0)
+    parts = written(single.select("toxic", "plain").mapInArrow(count, "toxic int, part binary, n long").groupBy("toxic", "part").agg(F.sum("n").alias("n")), "parts")
     others = parts.filter("toxic = 0").select("part", F.col("n").alias("other"))
-    told = parts.filter(f"toxic = 1 AND part IS NOT NULL AND n >= {LEAST}").join(others, "part", "left").withColumn("other", F.coalesce("other", F.lit(0))).filter(_tells(n1, n0))
-    stems = _stems({bytes(r["part"]): r["n"] for r in told.select("part", "n").collect()})
-    where = _around(stems)
+    told = parts.filter(f"toxic = 1 AND n >= {LEAST}").join(others, "part", "left").withColumn("other", F.coalesce("other", F.lit(0))).filter(_tells(n1, n0))
+    where = _around(_stems({bytes(r["part"]): r["n"] for r in told.select("part", "n").collect()}))
 
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's distinct words that begin with a telling stem, with what stands before and a space."""
         for b in batches:
-            plain = (_plain(t) for t in b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([p[max(0, m.start() - 1 - AROUND) : m.end() + AROUND] for p in plain for m in where.finditer(p)], pa.binary())], ["part"])
+            for run, plain in zip(b.column("run").to_pylist(), b.column("plain").to_pylist(), strict=True):
+                found = sorted({plain[max(0, m.start() - 1) : m.end()] + plain[m.end() : m.end() + TAIL].partition(b" ")[0] + b" " for m in where.finditer(plain)})
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.int64()), pa.array(found, pa.binary())], ["run", "part"])
 
-    chosen_by_hash = [F.xxhash64("part"), F.col("part")]
-    near = texts.filter("toxic = 1").select("text").mapInArrow(surroundings, "part binary").orderBy(*chosen_by_hash).limit(WINDOWS).collect()
-    windows = [bytes(r["part"]) for r in parts.filter("toxic = 2").select("part").orderBy(*chosen_by_hash).collect()]
-    scorer = Scorer(b" " + b" ".join(stems) + b" " if stems else b"", _trained(TOXIC, [bytes(r["part"]) for r in near]), _trained(ORDINARY, windows))
+    words = written(single.filter("toxic = 1").select("run", "plain").mapInArrow(toxic_words, "run long, part binary"), "words")
+    grid = 1 << 30
+    among = int(min(1.0, WINDOWS / max(words.count(), 1)) * grid)
+    # in the order of a hash, so that what stands in one text is not learned as one string
+    mixed = words.filter(F.pmod(F.xxhash64("part", "run"), F.lit(grid)) < among).orderBy(F.xxhash64("run", "part"), "part").select("part").collect()
+    mixed = [bytes(r["part"]) for r in mixed]
+    samples = [b"".join(mixed[i : i + TOGETHER]) for i in range(0, len(mixed), TOGETHER)]
+    plainly = [bytes(r["part"]) for r in single.filter("toxic = 0").select("plain").mapInArrow(windows, "part binary").orderBy(F.xxhash64("part"), "part").collect()]
+    scorer = Scorer(tuple(_trained(size, samples) for size in TOXIC), _trained(ORDINARY, plainly))
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     kind = texts.schema["toxic"].dataType.simpleString()
     rows = texts.select("toxic", "text").mapInArrow(measure, f"toxic {kind}, x array<double>").toPandas()
+    held.destroy()
     y = rows["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         scorer.calibrate(np.array(rows["x"].tolist()), y)
