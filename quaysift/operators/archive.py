@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.checks import ascii_lower
+from .walkers import tar_entries, zip_entries
 
 SUFFIXES = r"(?i)\.(" + "|".join(s.replace(".", r"\.") for s in lookups.NESTED_SUFFIXES) + r")\z"
 
@@ -20,13 +21,14 @@ def archive_kind(head: Column, mime: Column, is_archive_ext: Column) -> Column:
     return F.when(~inspect, "none").when(zipped, "zip").when(at(257, 5) == "7573746172", "tar").otherwise("none")
 
 
-def entry_path_reason(path: Column) -> Column:
-    """Why an entry's name is refused, or null."""
+def entry_path_reason(path: Column, head: Column | None = None) -> Column:
+    """Why an entry's name (or its first bytes, an archive's own) is refused, or null."""
+    nested = path.rlike(SUFFIXES) if head is None else path.rlike(SUFFIXES) | nested_by_magic(head)
     deep = F.length(path) - F.length(F.translate(path, "/\\", ""))
     return (
         F.when(path.contains("\0"), "archive_entry_null_byte")
         .when(path.startswith("/") | path.contains("../") | path.contains("..\\"), "archive_path_traversal")
-        .when(path.rlike(SUFFIXES), "archive_nested_archive")
+        .when(nested, "archive_nested_archive")
         .when(deep > lookups.MAX_DEPTH, "archive_depth_exceeded")
     )
 
@@ -48,7 +50,8 @@ def expansion_limit(size: Column) -> Column:
 def running_expansion(entries: DataFrame, limit: Column | None = None) -> DataFrame:
     """Adds ``expanded`` (bytes up to and with the entry) and ``over``: whether that is past the archive's limit."""
     w = W.partitionBy("archive_id").orderBy("entry_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = entries.withColumn("expanded", F.sum("uncomp_size").over(w))
+    # a size may be the largest long, after which no walk goes on
+    out = entries.withColumn("expanded", F.sum(F.least("uncomp_size", F.lit(1 << 62))).over(w))
     return out.withColumn("over", F.col("expanded") > (expansion_limit(F.col("archive_size")) if limit is None else limit))
 
 
@@ -100,3 +103,32 @@ def archive_verdict(entries: DataFrame, most: int = lookups.MAX_ENTRIES, limit:
     x = x.withColumn("_reason", F.get(checks, F.lit(0)))
     out = x.groupBy("archive_id").agg(F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col("entry_idx"))).alias("r"))
     return out.select("archive_id", F.when(F.col("r").isNull(), "clean").otherwise("rejected").alias("verdict"), F.concat(F.lit("archive_policy:"), "r").alias("reason"))
+
+
+def _judged(files: DataFrame, entries: DataFrame, reason: Column, last: Column | None = None) -> DataFrame:
+    """``file_id, verdict, reason``: the first entry's ``reason`` in walk order, else ``last``; files without entries are clean."""
+    x = entries.withColumn("_reason", reason).withColumn("_last", F.lit(None).cast("string") if last is None else last)
+    first = F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col("entry_idx")))
+    found = x.groupBy("file_id").agg(F.coalesce(first, F.max("_last")).alias("r"))
+    out = files.select("file_id").join(found, "file_id", "left")
+    return out.select("file_id", F.when(F.col("r").isNull(), "clean").otherwise("rejected").alias("verdict"), F.concat(F.lit("archive_policy:"), "r").alias("reason"))
+
+
+def zip_verdict(files: DataFrame) -> DataFrame:
+    """``file_id, verdict, reason`` of ``files(file_id, content)`` taken as zips: structure, then name, expansion and data of
+    each entry in the order of the central directory, then the number of entries."""
+    x = running_expansion(zip_entries(files).withColumnsRenamed({"file_id": "archive_id", "size": "archive_size"})).withColumnRenamed("archive_id", "file_id")
+    c = F.col
+    structure = structure_reason(c("archive_size"), c("eocd"), c("cd_end"), c("declared"), c("declared"))
+    data = entry_size_reason(c("status"), c("method"), c("comp_size"), c("uncomp_size"), c("actual_size"))
+    entry = F.when(c("path").isNotNull(), F.coalesce(entry_path_reason(c("path")), F.when(c("over"), "archive_expansion_exceeded"), data))
+    return _judged(files, x, F.coalesce(structure, entry), F.when(c("listed") != c("declared"), "zip_cd_malformed"))
+
+
+def tar_verdict(files: DataFrame) -> DataFrame:
+    """``file_id, verdict, reason`` of ``files(file_id, content)`` taken as tars: checksum, then name, first bytes and number of
+    real entries, and the expansion, header by header."""
+    x = tar_entries(files).withColumnsRenamed({"file_id": "archive_id", "size": "archive_size"})
+    x = running_count(running_expansion(x)).withColumnRenamed("archive_id", "file_id")
+    real = F.coalesce(entry_path_reason(F.col("path"), F.col("head")), F.when(F.col("too_many"), "archive_entries_exceeded"))
+    return _judged(files, x, F.coalesce(F.when(~F.col("checksum_ok"), "archive_malformed"), F.when(~F.col("helper"), real), F.when(F.col("over"), "archive_expansion_exceeded")))

@@ -41,9 +41,10 @@ def unseal_chunks(sealed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _joined(value: str = "chunk"):
-    """The binary chunks of a group in order."""
+    """The binary chunks of a group in order, null if one is; joined once, as text of a character a byte."""
     rows = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col(value).cast("binary").alias("x"))))
-    return F.aggregate(rows, F.lit(b""), lambda acc, r: F.concat(acc, r["x"]))
+    one = F.encode(F.array_join(F.transform(rows, lambda r: F.decode(r["x"], "ISO-8859-1")), ""), "ISO-8859-1")
+    return F.when(F.forall(rows, lambda r: r["x"].isNotNull()), one)
 
 
 def reassemble(chunks: DataFrame, declared: DataFrame) -> DataFrame:

@@ -90,13 +90,14 @@ def size_cap_by_chunk(chunks: DataFrame, cap: int = lookups.STREAM_CAP, size: st
 def scan_chunks(chunks: DataFrame, literals: list[tuple[str, str]], chunk: str = "chunk") -> DataFrame:
     """``file_id, rule_id`` of literals found in content that arrives in chunks, across their edges too.
 
-    Each chunk is read with the end of the one before it, as long as the longest literal less one, so chunks must
-    not be shorter than that (but for a file's last).
+    Each chunk is read with the end of those before it, as long as the longest literal less one; chunks may be shorter
+    than that. Empty and null chunks hold nothing.
     """
     reach = max((len(p) for _, p in literals), default=1) - 1
-    w = W.partitionBy("file_id").orderBy("chunk_idx")
-    tail = F.coalesce(F.lag(F.right(F.col(chunk), F.lit(reach))).over(w), F.lit(""))
-    text = chunks.select("file_id", F.concat(tail, F.coalesce(chunk, F.lit(""))).alias("_text"))
+    some = chunks.filter(F.length(chunk) > 0)
+    w = W.partitionBy("file_id").orderBy("chunk_idx").rowsBetween(-reach, -1)
+    tail = F.right(F.array_join(F.collect_list(F.right(F.col(chunk), F.lit(reach))).over(w), ""), F.lit(reach)) if reach else F.lit("")
+    text = some.select("file_id", F.concat(tail, chunk).alias("_text"))
     hits = F.array_compact(F.array(*(F.when(F.col("_text").contains(p), F.lit(name)) for name, p in literals)))
     return text.select("file_id", F.explode(hits).alias("rule_id")).distinct()
 

@@ -6,6 +6,7 @@ stop at the first structure that can't be read, which is a row with a status ins
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,18 +45,19 @@ ZIP = "entry_idx int, path string, flags int, method int, comp_size long, uncomp
 
 
 def zip_walk(body: bytes) -> Iterator[tuple]:
-    """A row an entry of the central directory, or one row without a path for an archive that has none."""
+    """A row an entry of the central directory, up to the declared count, or one row without a path for an archive that has none."""
     at = body.rfind(b"PK\x05\x06", max(0, len(body) - 65_557)) if len(body) >= 22 else -1
     if at < 0 or at + 22 > len(body):
         yield (0, None, None, None, None, None, None, None, None, 0, 0, 0, False, len(body))
         return
     declared, cd_size, cd_at = struct.unpack("<HII", body[at + 10 : at + 20])
     entries, p = [], cd_at
-    while cd_at + cd_size <= len(body) and len(entries) <= lookups.MAX_ENTRIES and p + 46 <= cd_at + cd_size and body[p : p + 4] == b"PK\x01\x02":
+    most = min(declared, lookups.MAX_ENTRIES + 1)
+    while cd_at + cd_size <= len(body) and len(entries) < most and p + 46 <= cd_at + cd_size and body[p : p + 4] == b"PK\x01\x02":
         flags, method = struct.unpack("<HH", body[p + 8 : p + 12])
         comp, size, name, extra, note = struct.unpack("<IIHHH", body[p + 20 : p + 34])
         offset = struct.unpack("<I", body[p + 42 : p + 46])[0]
-        if p + 46 + name > len(body):
+        if p + 46 + name > cd_at + cd_size:
             break
         path = body[p + 46 : p + 46 + min(name, 511)].decode("utf-8", "replace")
         entries.append((path, flags, method, comp, size, offset))
@@ -70,7 +72,7 @@ def zip_walk(body: bytes) -> Iterator[tuple]:
 
 def _inflate(body: bytes, flags: int, method: int, comp: int, size: int, offset: int) -> tuple[int | None, str]:
     """(bytes that come out, status) of an entry's data; output beyond the declared size isn't made."""
-    if flags & 1 or method not in (0, 8) or 0xFFFFFFFF in (comp, size, offset):
+    if flags & 1 or method not in (0, 8) or 0xFFFFFFFF in (comp, size):
         return None, "skipped"
     if offset + 30 > len(body) or body[offset : offset + 4] != b"PK\x03\x04":
         return None, "bad_header"
@@ -78,7 +80,7 @@ def _inflate(body: bytes, flags: int, method: int, comp: int, size: int, offset:
     start = offset + 30 + name + extra
     if start + comp > len(body):
         return None, "truncated"
-    if method == 0:
+    if method == 0 or comp == size == 0:
         return comp, "ok"
     inflater, done, rest = zlib.decompressobj(-15), 0, body[start : start + comp]
     try:
@@ -96,28 +98,34 @@ def _inflate(body: bytes, flags: int, method: int, comp: int, size: int, offset:
 TAR = "entry_idx int, path string, uncomp_size long, typeflag string, checksum_ok boolean, helper boolean, head binary, size long"
 
 
+def _octal(field: bytes) -> int | None:
+    """The octal digits after leading spaces, whatever follows them; None without one."""
+    digits = re.match(rb" *([0-7]*)", field)[1]
+    return int(digits, 8) if digits else None
+
+
 def tar_walk(body: bytes) -> Iterator[tuple]:
-    """A row a header up to the first empty block; a wrong checksum ends the walk with its row."""
-    p = i = 0
-    while p + 512 <= len(body):
+    """A row a header up to the first empty block, or to the first real entry beyond the limit; a wrong checksum ends the walk with its row.
+
+    A binary size beyond a long is the largest long.
+    """
+    p = real = 0
+    for i in count():
         h = body[p : p + 512]
-        if not any(h):
+        if len(h) < 512 or not any(h) or real > lookups.MAX_ENTRIES:
             return
-        total = sum(h) - sum(h[148:156]) + 8 * 32
-        try:
-            said = int(h[148:156].strip(b" \0") or b"0", 8)
-            size = int.from_bytes(h[125:136], "big") if h[124] & 0x80 else int(h[124:136].strip(b" \0") or b"0", 8)
-        except ValueError:
-            said, size = -1, 0
-        size = max(size, 0)
-        name, prefix = h[:100].split(b"\0")[0], h[345:500].split(b"\0")[0] if h[257:262] == b"ustar" else b""
-        path = (prefix + b"/" + name if prefix else name).decode("utf-8", "replace")
+        sum_field = h[:148] + b" " * 8 + h[156:]
+        signed = sum(x - 256 if x > 127 else x for x in sum_field)
+        size = min(int.from_bytes(h[125:136], "big"), (1 << 63) - 1) if h[124] & 0x80 else _octal(h[124:135]) or 0
+        name, prefix = h[:100].split(b"\0")[0], h[345:500].split(b"\0")[0]
+        path = (prefix + b"/" + name if prefix and len(prefix) + len(name) < 255 else name).decode("utf-8", "replace")
         kind = chr(h[156]) if h[156] else "0"
-        yield (i, path, size, kind, said == total, kind in "xgLK", body[p + 512 : p + 512 + min(size, 262)], len(body))
-        if said != total:
+        ok = _octal(h[148:156]) in (sum(sum_field), signed)
+        yield (i, path, size, kind, ok, kind in "xgLK", body[p + 512 : p + 512 + min(size, 262)], len(body))
+        if not ok:
             return
+        real += kind not in "xgLK"
         p += 512 + -(-size // 512) * 512
-        i += 1
 
 
 CHUNK = "chunk_idx int, chunk_type string, length long, offset long, end long, frames int, file_length long"

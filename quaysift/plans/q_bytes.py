@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import archive as V
 from ..operators import audit as U
 from ..operators import walkers as X
 from ..sources import files as Q
@@ -90,6 +91,102 @@ def img_4(spark, sf_dir):
     return X.image_chunks(wrapped(spark, sf_dir, _png), "png").select("file_id", "chunk_idx", "chunk_type", "length", "end")
 
 
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+
+
+def _webp(i: int, body: bytes) -> bytes:
+    """A still picture, or with an odd number an animation of two frames."""
+    frames = _chunk(b"ANIM", b"\0" * 6) + _chunk(b"ANMF", body) + _chunk(b"ANMF", b"x") if i % 2 else _chunk(b"VP8 ", body)
+    return b"RIFF" + struct.pack("<I", 4 + len(frames)) + b"WEBP" + frames
+
+
+def _gif(i: int, body: bytes) -> bytes:
+    """As many pictures as the number's remainder by three, and the body in blocks of 255 bytes of a comment."""
+    blocks = b"".join(bytes([len(n)]) + n for n in (body[at : at + 255] for at in range(0, len(body), 255))) + b"\0"
+    return b"GIF89a" + b"\x01\0\x01\0\0\0\0" + b"!\xfe" + blocks + (b",\0\0\0\0\x01\0\x01\0\0" + b"\x02\x01L\0") * (i % 3) + b";"
+
+
+@query("img_8_webp_chunks", """SELECT doc_id AS file_id, i::INT AS chunk_idx, CASE WHEN i = 0 THEN 'RIFF' WHEN doc_id % 2 = 0 THEN 'VP8 ' WHEN i = 1 THEN 'ANIM' ELSE 'ANMF' END AS chunk_type,
+  CASE WHEN i = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 36 END + n + n % 2 WHEN i = 3 THEN 1 WHEN i = 1 AND doc_id % 2 = 1 THEN 6 ELSE n END::BIGINT AS length
+FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents), range(4) r(i) WHERE doc_id % 2 = 1 OR i < 2""")
+def img_8(spark, sf_dir):
+    """Each document as the data of a WebP, of every other one as that of its first frame."""
+    return X.image_chunks(wrapped(spark, sf_dir, _webp), "webp").select("file_id", "chunk_idx", "chunk_type", "length")
+
+
+@query("img_9_gif_blocks", """SELECT doc_id AS file_id, 1 + (doc_id % 3) + 1 AS blocks, (doc_id % 3) AS pictures, 13 + 2 + n + CAST(ceil(n / 255.0) AS BIGINT) + 1 + (doc_id % 3) * 14 + 1 AS bytes
+FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)""")
+def img_9(spark, sf_dir):
+    """Each document as a comment of a GIF with up to two pictures."""
+    rows = X.image_chunks(wrapped(spark, sf_dir, _gif), "gif")
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("chunk_type") == "image").alias("pictures"), F.max("end").alias("bytes"))
+
+
+def _hostile(i: int, body: bytes) -> bytes:
+    """A zip or a tar with what its number says: something wrong, or nothing."""
+    kind = i % 10
+    if kind < 6:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr({1: "../up", 2: "in/x.Tar.GZ"}.get(kind, "d/a.txt"), body)
+            z.writestr("last.txt", b"x")
+        got = bytearray(out.getvalue())
+        at, end = struct.unpack("<I", got[-6:-2])[0], len(got) - 22
+        if kind == 3:  # another size than comes out
+            got[at + 24 : at + 28] = struct.pack("<I", len(body) + 1)
+        elif kind == 4:  # nowhere
+            got[at + 42 : at + 46] = b"\xff" * 4
+        elif kind == 5:  # a count below what is listed
+            got[end + 10 : end + 12] = struct.pack("<H", 1)
+        return bytes(got)
+    got = bytearray(_tar(i, b"PK\x03\x04" + body if kind == 6 else body))
+    if kind == 7:
+        got[124:136] = b"\x80" + b"\xff" * 11
+    elif kind == 8:
+        got[0] ^= 1
+    if kind == 7:
+        total = sum(got[:148]) + 8 * 32 + sum(got[156:512])
+        got[148:156] = b"%06o\0 " % total
+    return bytes(got)
+
+
+@query("arc_12_walked_verdict", """SELECT doc_id AS file_id, CASE WHEN doc_id % 10 IN (0, 5, 9) THEN 'clean' ELSE 'rejected' END AS verdict,
+  CASE doc_id % 10 WHEN 1 THEN 'archive_policy:archive_path_traversal' WHEN 2 THEN 'archive_policy:archive_nested_archive' WHEN 3 THEN 'archive_policy:archive_size_mismatch'
+    WHEN 4 THEN 'archive_policy:zip_local_header_invalid' WHEN 6 THEN 'archive_policy:archive_nested_archive' WHEN 7 THEN 'archive_policy:archive_expansion_exceeded'
+    WHEN 8 THEN 'archive_policy:archive_malformed' END AS reason FROM documents""")
+def arc_12(spark, sf_dir):
+    """Each document in an archive, most of which have something wrong, judged from its bytes."""
+    files = wrapped(spark, sf_dir, _hostile)
+    zips = files.filter(F.col("file_id") % 10 < 6)
+    return V.zip_verdict(zips).unionByName(V.tar_verdict(files.filter(F.col("file_id") % 10 >= 6)))
+
+
+@query("src_1_read_files", "SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(*) FILTER (strlen(text) > 20000) AS too_large FROM (SELECT coalesce(lang, 'none') AS lang, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY ALL) GROUP BY lang")
+def src_1(spark, sf_dir):
+    """A file a language, with its documents as lines, read whole unless it is too large."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    path = f"{folder(spark)}/files"
+    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    got = Q.read_files(spark, path, max_bytes=20_000, glob="*.txt")
+    lang = F.regexp_extract("path", "lang=([^/]*)", 1)
+    return got.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("reason").isNotNull() & F.col("content").isNull()).alias("too_large"))
+
+
+@query("src_3_read_type_registry", """SELECT 'x' || s AS ext, 'type' || (s % 3) AS type, 'text/x-' || s AS mime, CASE WHEN s % 2 = 0 THEN 'archive' ELSE '' END AS scan, s % 5 = 0 AS zip_based
+FROM (SELECT DISTINCT doc_id % 97 AS s FROM documents)""")
+def src_3(spark, sf_dir):
+    """A registry that the documents' numbers give, written as one JSON object and read back."""
+    s = F.col("s").cast("string")
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("s")).distinct()
+    scan = F.when(F.col("s") % 2 == 0, F.array(F.lit("archive")))
+    value = F.struct(F.concat(F.lit("type"), (F.col("s") % 3).cast("string")).alias("type"), F.concat(F.lit("text/x-"), s).alias("mime"), scan.alias("scan"), F.when(F.col("s") % 5 == 0, F.lit(True)).alias("zipBased"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("x"), s).alias("ext"), value.alias("x"))))  # as many as extensions
+    path = f"{folder(spark)}/registry"
+    rows.agg(F.to_json(F.struct(entries.alias("extensions"))).alias("value")).write.text(path)
+    return Q.read_type_registry(spark, path).withColumn("scan", F.array_join("scan", ","))
+
+
 @query("src_2_read_requests", f"WITH r AS ({duck('v_requests')}) SELECT file_path, user_id, version, plaintext_size, false AS corrupt FROM r WHERE request_id % 5 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, true FROM r WHERE request_id % 5 = 0")
 def src_2(spark, sf_dir):
     """Requests as JSON lines, every fifth of which is cut short."""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +37,31 @@ def read_type_registry(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ext", "x.type", "x.mime", F.coalesce("x.scan", F.array().cast("array<string>")).alias("scan"), F.coalesce("x.zipBased", F.lit(False)).alias("zip_based"))
 
 
+def _compiled(patterns: list[str]) -> set[str]:
+    """The regular expressions that the engine compiles. All are tried at once, and halves of them where that fails."""
+    if not patterns:
+        return set()
+    try:
+        SparkSession.builder.getOrCreate().range(1).select(*(F.lit("").rlike(p) for p in patterns)).collect()
+        return set(patterns)
+    except PySparkException:
+        half = len(patterns) // 2
+        return _compiled(patterns[:half]) | _compiled(patterns[half:]) if half else set()
+
+
 def valid_rules(rules: list[tuple[int, str, str, str]]) -> tuple[list[tuple[int, str, str, str]], int]:
     """(rules that compile, how many don't). Rules are few and come from an operator's own configuration."""
     good = []
+    regexes = _compiled(sorted({r[3] for r in rules if r[2] == "regex"}))
     for r in rules:
-        try:
-            if r[2] == "regex":
-                re.compile(r[3])
-            elif r[2] == "hex":
-                bytes.fromhex(r[3])
-            elif r[2] != "literal":
-                continue
-            if r[3]:
-                good.append(r)
-        except (re.error, ValueError):
-            continue
+        ok = bool(r[3]) and (r[2] == "literal" or (r[2] == "regex" and r[3] in regexes))
+        if r[2] == "hex" and r[3]:
+            try:
+                ok = bool(bytes.fromhex(r[3]))
+            except ValueError:
+                ok = False
+        if ok:
+            good.append(r)
     return good, len(rules) - len(good)
 
 
@@ -61,9 +70,10 @@ def read_rules(spark: SparkSession, path: str, most: int = 10_000) -> tuple[list
 
     Rules are ordered by file and line. More than ``most`` lines are an error; no good rule means that none match.
     """
-    lines = spark.read.text(path, pathGlobFilter="*.[yY][aA][rR]").select("value", F.col("_metadata.file_path").alias("file"))
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.[yY][aA][rR]").select("value", F.col("_metadata.file_path").alias("file"))
+    lines = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     lines = lines.filter(~F.element_at(F.split("file", "/"), -1).startswith(".") & (F.trim("value") != "") & ~F.col("value").startswith("#"))
-    rows = lines.orderBy("file", "value").limit(most + 1).collect()
+    rows = lines.orderBy("file", "line").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rules")
     parts = [r["value"].split("\t", 2) for r in rows]

@@ -173,3 +173,48 @@ def test_markup(spark):
         assert (got[k]["verdict"], got[k]["reason"]) == (verdict, reason), k
     assert got["script"]["output"] == '<svg xmlns="http://www.w3.org/2000/svg"><g></g></svg>'
     assert '<use></use><image href="#b"></image><path d="M0"></path><g>a &lt; b</g>' in got["links"]["output"]
+
+
+def test_hostile_headers(spark):
+    """Sizes beyond a long, junk after digits, and helpers before a bad name are judged, not fatal."""
+    def tar(*entries):
+        out = b""
+        for name, size, kind in entries:
+            h = bytearray(512)
+            h[: len(name)] = name
+            h[124 : 124 + len(size)] = size
+            h[156], h[257:262] = ord(kind), b"ustar"
+            h[148:156] = b" " * 8
+            h[148:156] = b"%06o\0 " % sum(h)
+            out += bytes(h)
+        return out + bytes(1024)
+
+    huge = b"\x80" + b"\xff" * 11
+    f = files(
+        spark, huge=tar((b"a", huge, "0")), after=tar((b"a", b"00000000000\0", "0"), (b"b", huge, "0")), junk=tar((b"a", b"0000000000z\0", "0")), many=tar(*[(b"a", b"", "0")] * 2001),
+        helpers=tar(*[(b"h", b"", "x")] * 9000, (b"../x", b"", "0")), good=tar((b"a", b"", "0")), none=b"",
+    )
+    got = {r["file_id"]: (r["reason"] or "").removeprefix("archive_policy:archive_") for r in R.tar_verdict(f).collect()}
+    assert got == {"huge": "expansion_exceeded", "after": "expansion_exceeded", "junk": "", "many": "entries_exceeded", "helpers": "path_traversal", "good": "", "none": ""}
+    z = {r["file_id"]: r["reason"] for r in R.zip_verdict(files(spark, none=b"", small=b"PK\x05\x06", good=zipped(("a", b"x")), cut=zipped(("a", b"x" * 50), ("b", b"y"))[:-30])).collect()}
+    assert z == {"none": "archive_policy:zip_too_small", "small": "archive_policy:zip_too_small", "good": None, "cut": "archive_policy:zip_no_eocd"}
+
+
+def test_rules_are_the_engines_own(spark, tmp_path):
+    from quaysift.operators import matching as M
+    from quaysift.sources import files as Q
+
+    (tmp_path / "b.yar").write_text("regex\tpossessive\ta++b\nregex\tnamed\t(?P<x>a)\nliteral\tz\tzz\nliteral\ta\taa\n")
+    got = Q.read_rules(spark, str(tmp_path))
+    assert [r[1] for r in got[0]] == ["possessive", "z", "a"] and got[1] == 1
+    docs = spark.createDataFrame([("f", "aab zz aa")], "file_id string, content string")
+    assert [r["rule_id"] for r in M.first_match(M.match_rules(docs, got[0])).collect()] == ["possessive"]
+
+
+def test_short_chunks(spark):
+    """A literal over many chunks, empty ones among them."""
+    from quaysift.operators import matching as M
+
+    rows = [("f", i, c) for i, c in enumerate(["x", "a", "", None, "b", "c", "d", "e"])] + [("g", 0, "abcd"), ("h", 0, "ab")]
+    got = M.scan_chunks(spark.createDataFrame(rows, "file_id string, chunk_idx int, chunk string"), [("all", "abcde"), ("some", "bcd")])
+    assert {tuple(r) for r in got.collect()} == {("f", "all"), ("f", "some"), ("g", "some")}
