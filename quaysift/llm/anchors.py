@@ -6,14 +6,14 @@ the occurrences of its anchor, some ``2 / (size - k + 2)`` of all places. Only a
 more than once (``repeats``) leave their task, with the items around them that a common window can reach:
 ``size - k`` to the left and ``size`` to the right.
 
-Occurrences with equal surroundings form a class; a first shuffle brings the classes' 128-bit keys together by
-anchor, after each task merged its own, and finds the first member of each. Two filters of fixed size then
-tell the tasks which places are first members, and which anchors have more than one class. All other members
-are covered as far as their surroundings reach, which needs no shuffle. First members of anchors with several
-classes send their surroundings, and ``solve`` finds what they share with earlier ones. So a passage that is
-in very many texts does not gather in a task. An anchor with more than ``CLASSES`` different surroundings (a
-passage's edge in very many texts) isn't held in memory either: its windows are hashed one by one,
-and their first occurrences found by partial aggregation.
+Occurrences with equal surroundings form a class. Each task merges its own and sends a class's first member with a
+128-bit key; these meet by anchor, which finds the first member of all. All other members are covered as far as
+their surroundings reach. Anchors with several classes ask for the surroundings of the first members, which the texts that
+have them send, and ``solve`` finds what they share with earlier ones. So a passage that is in very many texts
+does not gather in a task, and surroundings move only where they are compared: whatever the size of the input, an anchor
+sends a key at most and a text moves once at most. An anchor with more than ``CLASSES`` different surroundings
+(a passage's edge in very many texts) isn't held in memory either: its windows are hashed one by one, and their first
+occurrences found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -22,12 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import mix, pieces
-from .repeats import MOST_BITS, PARTS, id_codes, may_repeat, parts, repeat_filter
+from .repeats import PARTS, id_codes, may_repeat, only_ids, parts, repeat_filter
 from .shared import attach, written
 
 #: Surroundings of one anchor that are compared in memory.
@@ -78,11 +77,6 @@ def _two(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _where(ids: pa.Array, place: np.ndarray) -> np.ndarray:
-    """A code of each place of a text."""
-    return mix(id_codes(ids) + place.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def _ranks(ids: pa.Array) -> np.ndarray:
     """Numbers in the order of the ids."""
     if pa.types.is_integer(ids.type):
@@ -110,16 +104,17 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
             for at, data, offsets in pieces(texts):
                 bounds, codes, context = coder(data, offsets)
                 places = minimizers(codes, bounds, k, size)
-                yield ids.slice(at, len(offsets) - 1), bounds, codes[places], places, context
+                yield at, ids.slice(at, len(offsets) - 1), bounds, codes[places], places, context
 
     def codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, _, h, _, _ in anchors(batches):
+        for _, _, _, h, _, _ in anchors(batches):
             yield h
 
     again = repeat_filter(docs.mapInArrow(lambda it: parts(codes_of(it), ANCHOR_BITS), PARTS), ANCHOR_BITS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for ids, bounds, h, places, context in anchors(batches):
+        """(row of the batch, id, anchor, place, items to the left, to the right, surroundings, their key) of what may repeat."""
+        for at, ids, bounds, h, places, context in anchors(batches):
             keep = may_repeat(again.value, h, ANCHOR_BITS)
             h, places = h[keep], places[keep]
             row = np.searchsorted(bounds, places, "right") - 1
@@ -127,80 +122,88 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
             c = np.minimum(bounds[row + 1] - places, right)
             around = context(places, a, c, left, right)
             tag = np.concatenate([around, a.astype(np.uint16)[:, None].view(np.uint8), c.astype(np.uint16)[:, None].view(np.uint8), h[:, None].view(np.uint8)], axis=1)
-            yield ids.take(pa.array(row)), h, places - bounds[row], a, c, around, *_two(tag)
+            yield at + row, ids.take(pa.array(row)), h, places - bounds[row], a, c, around, *_two(tag)
+
+    names = ["h", "k1", "k2", "doc_id", "lo", "place", "hi"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each class that the task has, with its first member there and the number of them."""
+        """The first member of each class that the task has, and the spans of its other members (without ``k1`` and ``place``)."""
         held: list[tuple] = []
         n = 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             ids = pa.concat_arrays([x[0] for x in held])
-            h, place, k1, k2 = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
-            order = np.lexsort((place, _ranks(ids), k2, k1))
-            a, b = k1[order], k2[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            pick, times = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+            h, place, lo, hi, k1, k2 = (np.concatenate([x[i] for x in held]) for i in range(1, 7))
             held.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(x[pick].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(pick)), pa.array(place[pick]), pa.array(times)], ["h", "k1", "k2", "doc_id", "place", "m"])
+            order = np.lexsort((place, _ranks(ids), k2, k1))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+            i = order[new]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[i].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(i)), *(pa.array(x[i]) for x in (lo, place, hi))], names)
+            i = order[~new]
+            if len(i):
+                b = _merged(ids.take(pa.array(i)), lo[i], hi[i])
+                none = pa.nulls(len(b), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(id_codes(b.column(0)).view(np.int64)), none, none, b.column(0), b.column(1), none, b.column(2)], names)
 
-        for ids, h, place, _, _, _, k1, k2 in found(batches):
-            held.append((ids, h, place, k1, k2))
+        for _, ids, h, place, a, c, _, k1, k2 in found(batches):
+            held.append((ids, h, place, place - a, place + c, k1, k2))
             n += len(h)
             if n > PLACES:
-                yield out()
+                yield from out()
                 n = 0
         if n:
-            yield out()
+            yield from out()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by class and place, the first of each class with the sum of ``m``."""
-        last: pa.Table | None = None
+        """Of rows sorted by anchor, class and place: first members of classes of an anchor with several, and all others' spans."""
+        last: pa.Table | None = None  # the first member of the class that was read last
+        among = False  # its anchor has another class before
         for b in batches:
-            if not b.num_rows:
+            done = b.filter(b.column("k1").is_null())
+            if len(done):
+                yield done
+            t = pa.Table.from_batches([b.filter(b.column("k1").is_valid())])
+            if not len(t):
                 continue
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([last, t]).combine_chunks() if last is not None else t
-            h, k1, k2, m = (t.column(c).to_numpy() for c in ("h", "k1", "k2", "m"))
-            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-            t = t.take(pa.array(at)).set_column(5, "m", pa.array(np.add.reduceat(m, at)))
-            last = t.slice(len(at) - 1)
-            yield from t.slice(0, len(at) - 1).combine_chunks().to_batches()
-        if last is not None:
-            yield from last.combine_chunks().to_batches()
-
-    row_type = f"h long, k1 long, k2 long, doc_id {key}, place long, m long"
+            t = pa.concat_tables([last, t]).combine_chunks() if last is not None else t.combine_chunks()
+            h, k1, k2 = (t.column(c).to_numpy() for c in names[:3])
+            new = np.ones(len(t), bool)
+            new[1:] = (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            first, rest = np.flatnonzero(new), t.take(pa.array(np.flatnonzero(~new)))
+            if len(rest):
+                for c in ("k1", "k2", "place"):
+                    rest = rest.set_column(names.index(c), c, pa.nulls(len(rest), pa.int64()))
+                yield from rest.to_batches()
+            same = h[first[1:]] == h[first[:-1]]
+            several = np.concatenate([[among], same]) | np.concatenate([same, [False]])
+            among = bool(several[-1])
+            last = t.slice(first[-1], 1)
+            yield from t.take(pa.array(first[:-1][several[:-1]])).to_batches()
+        if last is not None and among:
+            yield from last.to_batches()
+
+    row_type = f"h long, k1 long, k2 long, doc_id {key}, lo long, place long, hi long"
     sorted_keys = docs.mapInArrow(keys, row_type).repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "place")
     classes = written(sorted_keys.mapInArrow(firsts, row_type), "classes")
-
-    def anchor_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            yield b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-
-    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            yield _where(b.column("doc_id"), b.column("place").to_numpy(zero_copy_only=False))
-
-    several = repeat_filter(classes.select("h").mapInArrow(lambda it: parts(anchor_codes(it), MOST_BITS), PARTS), MOST_BITS)
-    leading = repeat_filter(classes.select("doc_id", "place").mapInArrow(lambda it: parts(places_of(it), MOST_BITS, 2), PARTS), MOST_BITS)
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of members that are certainly not the first of their class."""
-        for ids, _, place, a, c, _, _, _ in found(batches):
-            i = np.flatnonzero(~may_repeat(leading.value, _where(ids, place), MOST_BITS))
-            if len(i):
-                yield _merged(ids.take(pa.array(i)), (place - a)[i], (place + c)[i])
+    wanted = classes.filter("place IS NOT NULL").groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("k1").alias("codes"))
+    wanted = written(wanted, "wanted")
+    texts, among = only_ids(docs, wanted)
+    asked = wanted.hint("merge").join(texts, "doc_id").select("doc_id", "text", "places", "codes")
 
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All others, with their surroundings where the anchor may have several classes."""
-        for ids, h, place, a, c, around, k1, k2 in found(batches):
-            i = np.flatnonzero(may_repeat(leading.value, _where(ids, place), MOST_BITS))
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(i), [None, pa.py_buffer(np.ascontiguousarray(around[i]).tobytes())]).cast(pa.binary())
-            flat = pc.if_else(pa.array(may_repeat(several.value, h[i], MOST_BITS)), flat, pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[i].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(i)), pa.array(place[i]), pa.array(a[i].astype(np.int16)), pa.array(c[i].astype(np.int16)), flat],
-                ["h", "k1", "k2", "doc_id", "place", "a", "c", "around"],
-            )
+        """The surroundings that are asked for."""
+        names = ["h", "k1", "k2", "doc_id", "place", "a", "c", "around"]
+        for b in batches:
+            at = np.repeat(np.arange(len(b), dtype=np.uint64), b.column("places").value_lengths().to_numpy(zero_copy_only=False))
+            code = lambda row, place, k1: mix(mix(row.astype(np.uint64)) + place.astype(np.uint64)) ^ k1
+            want = code(at, b.column("places").flatten().to_numpy(), b.column("codes").flatten().to_numpy().view(np.uint64))
+            for row, ids, h, place, a, c, around, k1, k2 in found(iter([b])):
+                i = np.flatnonzero(np.isin(code(row, place, k1), want))
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(i), [None, pa.py_buffer(np.ascontiguousarray(around[i]).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[i].view(np.int64)) for x in (h, k1, k2)), ids.take(pa.array(i)), pa.array(place[i]), pa.array(a[i].astype(np.int16)), pa.array(c[i].astype(np.int16)), flat], names
+                )
 
     def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by anchor, class and place: covered spans (kind 0), and windows to be counted (1)."""
@@ -248,33 +251,30 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
                 if h != now:
                     close()
                     now, wide, this = h, False, None
-                if this == (k1, k2):  # the filter let a later member through
-                    put(0, None, None, doc, place - a, place + c)
+                if this == (k1, k2):  # another row of that id
                     continue
                 this = (k1, k2)
-                if around is not None:
-                    if len(held) >= most:
-                        wide = True
-                        windows()
-                    held.append((doc, place, a, c, around))
+                if len(held) >= most:
+                    wide = True
+                    windows()
+                held.append((doc, place, a, c, around))
             if len(out["kind"]) > 5000:
                 yield batch()
         close()
         if kind_of_id is not None and out["kind"]:
             yield batch()
 
-    met = docs.mapInArrow(leaders, f"h long, k1 long, k2 long, doc_id {key}, place long, a short, c short, around binary")
+    met = asked.mapInArrow(leaders, f"h long, k1 long, k2 long, doc_id {key}, place long, a short, c short, around binary")
     met = met.repartition("h").sortWithinPartitions("h", "k1", "k2", "doc_id", "place")
-    told = written(met.mapInArrow(by_anchor, f"kind byte, k1 long, k2 long, doc_id {key}, lo long, hi long"), "told")
+    told = written(met.mapInArrow(by_anchor, f"kind byte, k1 long, k2 long, doc_id {key}, lo long, hi long"), "told", again, among)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield _merged(b.column(0), *(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi")))
 
-    span_type = f"doc_id {key}, lo long, hi long"
-    # sources of spans are united after their Python step: chained steps would need two workers a task
-    spans = told.filter("kind = 0").select("doc_id", "lo", "hi").mapInArrow(merge, span_type).unionByName(docs.mapInArrow(later, span_type))
+    spans = classes.filter("place IS NULL").select("doc_id", "lo", "hi").unionByName(told.filter("kind = 0").select("doc_id", "lo", "hi"))
+    spans = spans.mapInArrow(merge, f"doc_id {key}, lo long, hi long")
     windows_of = told.filter("kind = 1").select(F.struct("k1", "k2").alias("k"), "doc_id", "lo", "hi")
     if (n_windows := windows_of.count()) > 0:
         seen = written(windows_of.groupBy("k").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "windows")
