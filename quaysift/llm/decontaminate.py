@@ -2,7 +2,8 @@
 
 The test side is cut into windows of consecutive words. One pass over the texts counts the windows' terms;
 each window then looks its rarest term up. A second pass stores the postings of those rare terms: term,
-text, position and the words around it, so the index is as large as the rarest terms are frequent. Windows
+text, position and the words around it, so the index is as large as the rarest terms are frequent; it also has a row a text
+with the number of its words. Windows
 meet the postings of their rarest term, shift them by the term's offset, and are compared with the words around
 each place. Postings of the other terms are neither stored nor intersected.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, written
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Most bytes (as text) of a side that is broadcast.
+BROADCAST_BYTES = 32 << 20
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -24,8 +27,10 @@ def word_array(text: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is within the bound, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if it is within the bounds of rows and bytes, else left to a shuffled join."""
+    size = F.length(F.to_json(F.struct(*df.columns))).cast("long")
+    rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 def test_windows(items: DataFrame, window: int) -> DataFrame:
@@ -46,18 +51,23 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The index: ``term, doc_id, place, before, after`` for each occurrence of ``terms(term)`` in ``docs(doc_id, text)``.
 
-    ``after`` holds up to ``reach`` words from the place on, ``before`` up to ``reach`` words before it.
+    Places count from 1. ``after`` holds up to ``reach`` words from the place on, ``before`` up to ``reach`` words before
+    it. A text has one more row, of place 0 and no term, with its ``n_words``.
     """
     words = docs.select("doc_id", word_array(F.col("text")).alias("w"))
-    places = words.select("doc_id", "w", F.posexplode_outer("w").alias("place", "term")).join(_small(terms), "term", "left_semi")
-    first = F.greatest(F.col("place") - reach + 1, F.lit(1))
+    places = words.select("doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("place", "term"))
+    places = places.join(_small(terms.withColumn("asked", F.lit(True))), "term", "left").filter("asked OR place = 0")
+    real = F.col("place") > 0
+    first = F.greatest(F.col("place") - reach, F.lit(1))
     return places.select(
-        "term", "doc_id", "place", F.slice("w", first, F.least(F.col("place"), F.lit(reach))).alias("before"), F.slice("w", F.col("place") + 1, F.lit(reach)).alias("after")
-    )
+        F.when(real, F.col("term")).alias("term"), "doc_id", "place",
+        F.when(real, F.slice("w", first, F.least(F.col("place") - 1, F.lit(reach)))).alias("before"), F.when(real, F.slice("w", F.greatest("place", F.lit(1)), F.lit(reach))).alias("after"),
+        F.when(~real, F.size("w").cast("long")).alias("n_words"),
+    )
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """``doc_id, lo, hi, items``: every occurrence of a window of ``items(item_id, text)`` in ``docs(doc_id, text)``, as a span of words."""
+def _matches(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, lo, hi, items`` of every occurrence of a window, ``doc_id, n_words`` of every text)."""
     windows = written(test_windows(items, window).withColumn("wid", F.xxhash64("words")), "windows")
     placed = windows.select("wid", "words", F.posexplode("words").alias("off", "term"))
     counts = written(term_counts(docs, placed.select("term").distinct()), "counts")
@@ -66,14 +76,19 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataF
     keyed = written(windows.join(rare, "words").filter(F.col("known") == F.size("words")).select("words", "items", F.col("r.term").alias("term"), F.col("r.off").alias("off")), "keyed")
     index = written(postings(docs, keyed.select("term").distinct(), window), "postings")
     n = F.size("words")
-    met = index.join(_small(keyed), "term").filter(
+    met = index.filter("term IS NOT NULL AND doc_id IS NOT NULL").join(_small(keyed), "term").filter(
         (F.size("before") >= F.col("off"))
         & (F.size("after") >= n - F.col("off"))
         & (F.slice("after", F.lit(1), n - F.col("off")) == F.slice("words", F.col("off") + 1, n - F.col("off")))
         & (F.slice("before", F.size("before") - F.col("off") + 1, F.col("off")) == F.slice("words", F.lit(1), F.col("off")))
     )
-    lo = F.col("place") - F.col("off")
-    return met.select("doc_id", lo.alias("lo"), (lo + n).alias("hi"), "items")
+    lo = F.col("place") - 1 - F.col("off")
+    return met.select("doc_id", lo.alias("lo"), (lo + n).alias("hi"), "items"), index.filter("place = 0").select("doc_id", "n_words")
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """``doc_id, lo, hi, items``: every occurrence of a window of ``items(item_id, text)`` in ``docs(doc_id, text)``, as a span of words."""
+    return _matches(docs, items, window)[0]
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 50, least: int = 5) -> DataFrame:
@@ -86,9 +101,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 50, least
     counts = term_counts(docs, terms.select(F.explode("words").alias("term")).distinct())
     rare = terms.select("item_id", F.explode("words").alias("term")).join(counts, "term").groupBy("item_id").agg(F.min(F.struct("n", "term")).alias("r"))
     keyed = written(terms.join(rare.select("item_id", F.col("r.term").alias("term")), "item_id"), "keyed")
-    near = postings(docs, keyed.select("term").distinct(), within).join(_small(keyed), "term")
+    near = postings(docs, keyed.select("term").distinct(), within).filter("term IS NOT NULL").join(_small(keyed), "term")
     count = F.size(F.array_intersect(F.concat("before", "after"), F.col("words")))
-    return near.select("doc_id", "item_id", "place", count.alias("n_terms")).filter(F.col("n_terms") >= least)
+    return near.select("doc_id", "item_id", (F.col("place") - 1).alias("place"), count.alias("n_terms")).filter(F.col("n_terms") >= least)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
@@ -101,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL")
-    met = phrase_matches(docs.filter("doc_id IS NOT NULL"), items, window)
+    met, sizes = _matches(docs, items, window)
     hits = met.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     add = lambda acc, x: F.struct((acc["n"] + F.greatest(x["hi"] - F.greatest(x["lo"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], x["hi"]).alias("to"))
@@ -111,7 +126,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size("items").cast("long").alias("n_items"),
         F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").alias("ids"),
     )
-    sizes = docs.select("doc_id", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
     out = sizes.join(hits, "doc_id", "left")
     out = out.select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
