@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .codes import mix, pieces
 from .repeats import PARTS, id_codes, may_repeat, only_ids, parts, repeat_filter
-from .shared import attach, written
+from .shared import attach, bounded, written
 
 #: Surroundings of one anchor that are compared in memory.
 CLASSES = 1 << 16
@@ -92,7 +92,7 @@ def covered(docs: DataFrame, coder: Coder, solve: Solver, k: int, size: int, ite
     Earlier is in a smaller id, or in the same text before. Spans of a text may overlap. Rows whose id is
     null take no part. Of rows that repeat an id, windows count as those of one text.
     """
-    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    docs = bounded(docs).filter("doc_id IS NOT NULL").select("doc_id", "text")
     key = docs.schema["doc_id"].dataType.simpleString()
     left, right = size - k, size
     width = (left + right) * item_bytes

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .repeats import PARTS, bits_for, may_repeat, parts, repeat_filter
-from .shared import attach, written
+from .shared import attach, bounded, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -28,7 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aggregation first, then ``attach``, which keeps a group of any size out of a single task.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " ")
-    digests = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+    digests = written(bounded(docs).select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
     total = digests.count()
     bits = bits or bits_for(total)
 

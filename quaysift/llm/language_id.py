@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codes import mix
+from .shared import bounded
 
 ORDER = 5
 #: Labelled documents a language that models are fitted on, and that rejection is calibrated on (expected numbers).
@@ -30,7 +31,7 @@ UNKNOWN = "und"
 #: Characters that count as evidence at most when a score is made of cross-entropies.
 EVIDENCE = 200
 #: Bytes of text that are cut at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _C = np.uint64(0x9E3779B97F4A7C15)
 _OPEN, _SHUT = 1, 2
 
@@ -174,7 +175,7 @@ def fit(docs: DataFrame) -> Model:
     Rejection limits come from about ``CALIBRATION_DOCS`` other labelled documents a language. Both are read
     whole. All else (which languages there are, and how many documents each has) is counted over all rows.
     """
-    docs = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
+    docs = bounded(docs).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     grid = 1 << 30
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, model: Model | Broadcast, id_col: str = "doc_id",
     Ids may be null or repeat; further columns are not read.
     """
     held = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .codes import pieces, shingle_sets, words
 from .components import components
 from .repeats import MOST_BITS, PARTS, may_repeat, only_ids, parts, repeat_filter, without_ids
-from .shared import attach, written
+from .shared import attach, bounded, written
 
 #: Smallest values by which texts meet.
 RETAINED = 10
@@ -419,7 +419,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     theirs. Further columns are not read.
     """
     w, (num, den) = shingle_words, threshold
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     named = docs.filter("doc_id IS NOT NULL")
     base = written(sketches(docs, w), "sketches")
     total = base.count()

@@ -14,9 +14,19 @@ BROADCAST_ROWS = 100_000
 #: Most groups that are called heavy, and so the most rows of the heavy side's broadcast.
 HEAVY_GROUPS = 20_000
 
+#: Most rows of an Arrow batch: texts may be long, and the JVM and the Python worker hold a batch at a time.
+BATCH_ROWS = 1_000
 _own_dir: list[str] = []
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in whose session Arrow batches have ``BATCH_ROWS`` rows at most."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 

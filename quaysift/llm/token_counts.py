@@ -14,6 +14,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 #: Entries of the broadcast table: 9 bytes each, so some 0.6 MB.
 FREQUENT = 1 << 16
 #: Pre-tokens that a task reports as frequent among its own texts.
@@ -153,8 +155,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``id_col`` and ``text_col`` are not read.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    known = frequent_lengths(docs, text_col, path)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = frequent_lengths(bounded(docs), text_col, path)
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import written
+from .shared import bounded, written
 
 #: Labelled documents of each label that the dictionaries and the calibration are fitted on (expected number), read whole.
 FIT_DOCS = 4_000
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     bound = F.when(F.col("toxic") == 1, int(min(1.0, FIT_DOCS / max(counts.get(1, 0), 1)) * grid)).otherwise(int(min(1.0, FIT_DOCS / max(counts.get(0, 0), 1)) * grid))
     chosen = labels.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(grid)) < bound)
     # at most some 2 * FIT_DOCS rows
-    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    texts = bounded(docs).select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     texts = written(texts, "labelled")
 
@@ -253,7 +253,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | Broadcast, id_col: str = "d
     Ids may be null or repeat; further columns are not read.
     """
     held = scorer if isinstance(scorer, Broadcast) else docs.sparkSession.sparkContext.broadcast(scorer)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
