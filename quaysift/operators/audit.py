@@ -118,10 +118,13 @@ def build_chain(rows: DataFrame, key: bytes, tails: dict[str, tuple[int, str]] |
 
 
 def verify_chain(log: DataFrame, key: bytes) -> DataFrame:
-    """Adds ``ok``: the signature fits the record, ``prev`` is the signature before it and ``seq`` follows. Parallel within days too, up to the window."""
-    w = W.partitionBy("log_date").orderBy("seq")
-    before, number = F.coalesce(F.lag("sig").over(w), F.lit(GENESIS)), F.coalesce(F.lag("seq").over(w) + 1, F.lit(0))
-    return log.withColumn("ok", (hmac_sha256(audit_canonical(), key) == F.col("sig")) & (F.col("prev") == before) & (F.col("seq") == number))
+    """Adds ``ok``: the signature fits the record, ``prev`` is the signature of the record with the number before, and the number is
+    the record's alone. Records meet by day and number, so a day is no task of its own."""
+    prior = log.groupBy("log_date", (F.col("seq") + 1).alias("seq")).agg(F.min("sig").alias("_before"))
+    alone = F.count(F.lit(1)).over(W.partitionBy("log_date", "seq")) == 1
+    before = F.coalesce("_before", F.when(F.col("seq") == 0, GENESIS))
+    ok = (hmac_sha256(audit_canonical(), key) == F.col("sig")) & F.coalesce(F.col("prev") == before, F.lit(False)) & alone
+    return log.join(prior, ["log_date", "seq"], "left").withColumn("ok", ok).select(*log.columns, "ok")
 
 
 def first_breaks(log: DataFrame, key: bytes) -> DataFrame:
@@ -186,20 +189,25 @@ def health_snapshot(log: DataFrame) -> DataFrame:
 def inflight_timeline(log: DataFrame) -> DataFrame:
     """``at_ms, day, change, running, reserved``: scans under way and bytes they hold at each start and end (ends first on ties).
 
-    Two levels: per-day totals are summed over the few days, then days add their own running sums, so no window
-    but that of the days runs in one partition.
+    Three levels: totals of days are summed over the few days, those of minutes within their day, and rows within
+    their minute, so a busy day is spread over its minutes.
     """
     at = (F.unix_timestamp("started_at") * 1000 + F.date_format("started_at", "SSS").cast("long")).cast("long")
     base = log.select("event_id", at.alias("s"), (at + F.col("duration_ms")).alias("e"), (F.col("plaintext_size") * lookups.RESERVED_TIMES).alias("w"))
     starts = base.select("event_id", F.col("s").alias("at_ms"), F.lit(1).alias("change"), F.col("w").alias("bytes"))
     both = starts.unionByName(base.select("event_id", F.col("e").alias("at_ms"), F.lit(-1).alias("change"), (-F.col("w")).alias("bytes")))
-    both = both.withColumn("day", F.floor(F.col("at_ms") / 86_400_000))
-    days = both.groupBy("day").agg(F.sum("change").alias("dn"), F.sum("bytes").alias("db"))
-    before = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("day", F.coalesce(F.sum("dn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("db").over(before), F.lit(0)).alias("b0"))
-    w = W.partitionBy("day").orderBy("at_ms", "change", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = both.withColumns({"rn": F.sum("change").over(w), "rb": F.sum("bytes").over(w)}).join(days, "day")
-    return x.select("event_id", "at_ms", "day", "change", (F.col("rn") + F.col("n0")).alias("running"), (F.col("rb") + F.col("b0")).alias("reserved"))
+    both = both.withColumns({"day": F.floor(F.col("at_ms") / 86_400_000), "minute": F.floor(F.col("at_ms") / 60_000)})
+    sums = lambda rows, *by: rows.groupBy(*by).agg(F.sum("change").alias("change"), F.sum("bytes").alias("bytes"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    minutes = sums(both, "day", "minute")
+    w = W.orderBy("day")
+    days = sums(minutes, "day").select("day", before("change", w).alias("n0"), before("bytes", w).alias("b0"))
+    w = W.partitionBy("day").orderBy("minute")
+    minutes = minutes.select("day", "minute", before("change", w).alias("n1"), before("bytes", w).alias("b1"))
+    w = W.partitionBy("day", "minute").orderBy("at_ms", "change", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = both.withColumns({"rn": F.sum("change").over(w), "rb": F.sum("bytes").over(w)}).join(minutes, ["day", "minute"]).join(days, "day")
+    total = lambda *c: sum((F.col(k) for k in c[1:]), F.col(c[0]))
+    return x.select("event_id", "at_ms", "day", "change", total("rn", "n1", "n0").alias("running"), total("rb", "b1", "b0").alias("reserved"))
 
 
 def peak_load(timeline: DataFrame, budget: int = lookups.LOAD_BUDGET) -> DataFrame:

@@ -39,15 +39,27 @@ def attempt_budget(attempts: DataFrame, each: int = lookups.ATTEMPT_S, total: in
 
 
 def resolve_attempts(attempts: DataFrame) -> DataFrame:
-    """``file_id, category, verdict, reason``: the first success cleans the file, else the reason tells how all failed."""
-    x = attempts.groupBy("file_id", "category").agg(F.bool_or("ok").alias("any_ok"), F.bool_or("timed_out").alias("any_late"))
+    """``file_id, category, verdict, reason``: the first success cleans the file, else the reason tells how all failed.
+
+    Optional columns: ``not_started``, whether the converter couldn't be started at all, and ``out_bytes`` of a
+    success, of which none is an error.
+    """
+    late, unborn, size = F.col("any_late"), F.col("any_unborn"), F.col("out_bytes")
+    has = attempts.columns
+    first = lambda c: F.min_by(c, F.when(F.col("ok"), F.col("attempt_idx")))
+    x = attempts.groupBy("file_id", "category").agg(
+        F.bool_or("ok").alias("any_ok"), F.bool_or("timed_out").alias("any_late"),
+        (F.bool_or("not_started") if "not_started" in has else F.lit(False)).alias("any_unborn"), (first("out_bytes") if "out_bytes" in has else F.lit(None).cast("long")).alias("out_bytes"),
+    )
     failed = (
-        F.when(F.col("category") == "audio", F.when(F.col("any_late"), "ffmpeg_timeout").otherwise("ffmpeg_sanitize_failed"))
+        F.when(F.col("category") == "audio", F.when(late, "ffmpeg_timeout").otherwise("ffmpeg_sanitize_failed"))
         .when(F.col("category") == "video", "ffmpeg_remux_and_reencode_failed")
-        .otherwise(F.when(F.col("any_late"), "ghostscript_timeout").otherwise("ghostscript_failed"))
+        .otherwise(F.when(late, "ghostscript_timeout").when(unborn, "fork_failed").otherwise("ghostscript_failed"))
     )
+    empty = F.when(F.col("category").isin("audio", "video"), "ffmpeg_empty_output").otherwise("ghostscript_empty_output")
     ok = F.coalesce("any_ok", F.lit(False))
-    return x.select("file_id", "category", F.when(ok, "sanitized").otherwise("error").alias("verdict"), F.when(~ok, failed).alias("reason"))
+    reason = F.when(~ok, failed).when(size == 0, empty)
+    return x.select("file_id", "category", F.when(reason.isNull(), "sanitized").otherwise("error").alias("verdict"), reason.alias("reason"))
 
 
 def size_limits(files: DataFrame, size: str = "length") -> DataFrame:

@@ -218,3 +218,12 @@ def test_short_chunks(spark):
     rows = [("f", i, c) for i, c in enumerate(["x", "a", "", None, "b", "c", "d", "e"])] + [("g", 0, "abcd"), ("h", 0, "ab")]
     got = M.scan_chunks(spark.createDataFrame(rows, "file_id string, chunk_idx int, chunk string"), [("all", "abcde"), ("some", "bcd")])
     assert {tuple(r) for r in got.collect()} == {("f", "all"), ("f", "some"), ("g", "some")}
+
+
+def test_converter_outcomes(spark):
+    from quaysift.operators import media as D
+
+    rows = [("a", "pdf", 0, False, False, True, None), ("b", "pdf", 0, True, False, False, 0), ("c", "audio", 0, False, True, False, None), ("c", "audio", 1, True, False, False, 5), ("d", "video", 0, True, False, False, 0), ("d", "video", 1, True, False, False, 9)]
+    df = spark.createDataFrame(rows, "file_id string, category string, attempt_idx int, ok boolean, timed_out boolean, not_started boolean, out_bytes long")
+    got = {r["file_id"]: (r["verdict"], r["reason"]) for r in D.resolve_attempts(df).collect()}
+    assert got == {"a": ("error", "fork_failed"), "b": ("error", "ghostscript_empty_output"), "c": ("sanitized", None), "d": ("error", "ffmpeg_empty_output")}
