@@ -11,7 +11,11 @@ from quaysift.llm.shared import without, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised, by models fitted on the labelled documents that came in."""
+    """Documents whose language is recognised, by models fitted on the labelled documents that came in.
+
+    Texts without a letter (null and empty ones too) are rejected, so they go. Rows are judged by their text alone: repeated rows
+    share a fate, and ids may be null.
+    """
     model = language_id.fit(docs.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
     found = language_id.identify(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), model)
     return found.filter(~F.col("rejected")).select("doc_id.*")
@@ -28,20 +32,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group linked by 80 % of five-word shingles."""
+    """The document of the smallest id of each group linked by 80 % of five-word shingles.
+
+    Null and empty texts, and rows of a null id, are linked with nothing and stay. Rows that repeat an id share a fate.
+    """
     gone = minhash_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return without(docs, gone, ["doc_id"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stands in passages of the benchmark."""
+    """Documents of which less than a twentieth of the words stands in passages of the benchmark.
+
+    Null and empty texts, and rows of a null id (which aren't searched), stay. Rows that repeat an id share a fate.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = contamination.decontaminate(docs, items).filter("contaminated").select("doc_id")
     return without(docs, gone, ["doc_id"])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens stand in training sequences of 512 to 4096 tokens."""
+    """Where each document's tokens stand in training sequences of 512 to 4096 tokens.
+
+    Rows are packed one by one, whatever their ids; null and empty texts have a row without a sequence.
+    """
     return packing.pack(token_counts.token_counts(docs), length_col="n_tokens")
 
 

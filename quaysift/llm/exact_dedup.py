@@ -58,6 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -170,7 +170,7 @@ def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Models from ``docs(doc_id, text, lang)``: about ``FIT_DOCS`` documents a language, chosen by a hash of the id.
+    """Models from ``docs(doc_id, text, lang)``, of rows that have a text and a language (an id may be null): about ``FIT_DOCS`` documents a language, chosen by a hash of the id.
 
     Rejection limits come from about ``CALIBRATION_DOCS`` other labelled documents a language. Both are read
     whole. All else (which languages there are, and how many documents each has) is counted over all rows.
@@ -227,7 +227,8 @@ def identify(docs: DataFrame, model: Model | Broadcast, id_col: str = "doc_id",
 
     ``lang_pred`` is the language of the lowest cross-entropy per character, ``und`` if the text is null or has no
     letter (or nothing was learned); ``score`` (0 to 1) is its share among the languages, with at most
-    ``EVIDENCE`` characters' evidence. ``rejected`` marks ``und`` and texts beyond the language's calibrated limit.
+    ``EVIDENCE`` characters' evidence, and 0 for a rejected text. ``rejected`` marks ``und`` and texts beyond the
+    language's calibrated limit.
     Ids may be null or repeat; further columns are not read.
     """
     held = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
@@ -248,9 +249,10 @@ def identify(docs: DataFrame, model: Model | Broadcast, id_col: str = "doc_id",
             low = h.min(axis=1)
             share = 1 / np.exp(-(h - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None]).sum(axis=1)
             none = chars == 0
+            rejected = none | (low > m.limits[best] + SPREAD / np.sqrt(np.maximum(chars, 1)))
             names = np.array([*m.languages, UNKNOWN], object)[np.where(none, len(m.languages), best)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, share)), pa.array(low, mask=none), pa.array(none | (low > m.limits[best] + SPREAD / np.sqrt(np.maximum(chars, 1))))],
+                [b.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(rejected, 0.0, share)), pa.array(low, mask=none), pa.array(rejected)],
                 ["doc_id", "lang_pred", "score", "entropy", "rejected"],
             )
 
@@ -263,6 +265,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by models of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, fit(docs.filter(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -146,4 +146,5 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, without the words that are left."""
     return remove_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")

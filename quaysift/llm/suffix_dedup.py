@@ -119,4 +119,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that are left."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")

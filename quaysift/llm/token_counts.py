@@ -190,4 +190,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the limit of 512 tokens."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

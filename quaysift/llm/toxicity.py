@@ -266,6 +266,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | Broadcast, id_col: str = "d
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by a scorer fitted on labels that are not held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scorer = fit(docs.filter(~held_out()), labels.filter(~held_out()))
     return score_toxicity(docs, scorer).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -1,8 +1,11 @@
 """Token counts, languages, toxicity, chat formatting, decontamination, packing and the pipeline."""
 
+import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import duck, rows_of
 from pyspark.sql import functions as F
@@ -57,6 +60,90 @@ def test_kneser_ney_sums_to_one():
     assert abs(seen + left * (1 - lower) - 1) < 1e-6
 
 
+def _plain_kneser_ney(words, times, order, alphabet):
+    """Interpolated Kneser-Ney by dictionaries: the cost of a word in nats."""
+    raw = [Counter() for _ in range(order + 2)]
+    for w, n in zip(words, times, strict=True):
+        s = f"\1{w}\2"
+        for i in range(1, len(s)):
+            for k in range(1, min(order, i + 1) + 1):
+                raw[k][s[i - k + 1 : i + 1]] += n
+    counts = [dict(c) for c in raw]
+    for k in range(1, order):
+        ways = Counter(g[1:] for g in raw[k + 1])
+        counts[k] = {g: n if g[0] == "\1" else ways[g] for g, n in raw[k].items()}
+    total, kinds, discount = Counter(), Counter(), {}
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            total[k, g[:-1]] += n
+            kinds[k, g[:-1]] += 1
+        ones, twos = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        discount[k] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    base = 1 / alphabet
+
+    def p(g):
+        if not g:
+            return base
+        k, context = len(g), (len(g), g[:-1])
+        if context not in total:
+            return p(g[1:])
+        return max(counts[k].get(g, 0) - discount[k], 0) / total[context] + discount[k] * kinds[context] / total[context] * p(g[1:])
+
+    def cost(w):
+        s = f"\1{w}\2"
+        return -sum(math.log(p(s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s)))
+
+    return cost
+
+
+def test_kneser_ney_against_dictionaries():
+    r = random.Random(2)
+    some = lambda letters: sorted({"".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(150)})
+    words = [some("aabbcde"), some("aaefgghé")]
+    times = [np.array([r.choice([1, 1, 2, 3, 9]) for _ in w], float) for w in words]
+    asked = words[0][:40] + words[1][:40] + some("abcdefghéz")[:80]
+    got, size = language_id.Model(["x", "y"], words, times).costs(asked)
+    assert size.tolist() == [len(w) + 1 for w in asked]
+    alphabet = len({c for w in words for c in "".join(w)}) + 2
+    for j in range(2):
+        plain = _plain_kneser_ney(words[j], times[j].tolist(), language_id.ORDER, alphabet)
+        assert np.allclose(got[:, j], [plain(w) for w in asked], rtol=1e-4)
+
+
+def test_foreign_text_is_rejected(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    odd = spark.createDataFrame([(1, "Это русский текст, которого никто не учил. " * 5), (2, "これは日本語の文章です。" * 9)], "doc_id long, text string")
+    assert {(r["rejected"], r["score"]) for r in language_id.identify(odd, language_id.fit(docs)).collect()} == {(True, 0.0)}
+
+
+def test_toxicity_by_a_plain_version(spark):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    s = toxicity.fit(docs, labels)
+    how = zstandard.ZstdCompressionParameters.from_level(
+        toxicity.LEVEL, source_size=toxicity.WINDOW + toxicity.LEAD, dict_size=max(map(len, s.toxic)) + len(s.ordinary), min_match=4, hash_log=17, chain_log=17, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(s.ordinary[-toxicity.LEAD :] + window))
+
+    def score(text):
+        words = (text or "").lower().encode().split()
+        plain, x = b" " + b" ".join(words) + b" ", []
+        for toxic in s.toxic:
+            saved = [size(s.ordinary, plain[i : i + 64]) - size(toxic + s.ordinary, plain[i : i + 64]) for i in range(0, max(1, len(plain) - 16), 48)] if words else []
+            x += [max([0, *saved])] + [math.log(1 + sum(b >= k for b in saved)) for k in toxicity.SAVED] + [sum(b >= 2 for b in saved) / max(len(saved), 1)]
+        z = s.weights[0] + sum((v - c) / d * w for v, c, d, w in zip(x, s.centre, s.scale, s.weights[1:], strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    some = docs.filter("length(text) < 2000").orderBy("doc_id").limit(25).unionByName(docs.filter("text IS NULL OR text = ''").limit(2))
+    for r in toxicity.score_toxicity(some, s).join(some.select("doc_id", "text"), "doc_id").collect():
+        assert abs(r["score"] - score(r["text"])) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_toxicity(spark):
     got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -153,6 +240,47 @@ def test_copies_with_equal_or_null_ids(spark, sf):
     assert left == [(0, "c"), (1, "a b"), (3, "d"), (4, "e"), (4, "f"), (5, "")]
 
 
+def test_stages_with_odd_rows(spark, sf):
+    """Null ids and texts, repeated rows, and columns whose names operators use themselves."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"wort{i} the" for i in range(60))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + " end", "en"), (3, None, None), (None, text, "en"), (None, text, "en"), (4, "", "de"), (5, item, "en"), (None, item, None), (6, "der die das", "de"), (None, None, None)]
+    docs = spark.createDataFrame([(d, t, k, 1, "x", True, 7, None) for d, t, k in rows], "doc_id long, text string, lang string, n long, digest string, kept boolean, m long, label string")
+    ids = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.collect())
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+    assert ids(p.identify_languages(spark, docs, sf)).count(3) == 0
+    assert ids(p.drop_copies(spark, docs, sf)) == [1, 2, 3, 5, 6]
+    assert ids(p.drop_near_copies(spark, docs, sf)) == [-1, -1, -1, -1, 1, 1, 3, 4, 5, 6]
+    assert ids(p.drop_contaminated(spark, docs, sf)) == [-1, -1, -1, -1, 1, 1, 2, 3, 4, 6]
+    packed = p.pack_sequences(spark, docs, sf)
+    assert ids(packed) == [-1, -1, -1, -1, 1, 1, 2, 3, 4, 5, 6] and packed.filter("bin_id IS NULL").count() == 3
+
+
+def test_stages_by_plain_versions(spark, sf):
+    """What each filtering stage keeps of all it is given, told text by text."""
+    import sys
+    from pathlib import Path
+
+    import corpus_pipeline as p
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    import brute
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    first = {}
+    for d, t in sorted(rows):
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", t or ""), d)
+    assert ids(p.drop_copies(spark, docs, sf)) == set(first.values())
+    assert ids(p.drop_near_copies(spark, docs, sf)) == {d for d, _, _, kept in brute.near(rows, 5, 80, 100) if kept}
+    clean = set(duck(decontaminate.OP9_SQL, sf).query("not contaminated")["doc_id"])
+    assert ids(p.drop_contaminated(spark, docs, sf)) == clean
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
