@@ -20,7 +20,7 @@ from ..sources import files as Q
 from ..streaming import streams as S
 from .base import query
 from .q_content import HMAC, KEY
-from .q_log import AUDIT, CANON, ZEROS, load_requests, log
+from .q_log import AUDIT, CANON, REPLAY, ZEROS, load_requests, log
 from .q_stream import drained, folder
 from .views import duck, table
 
@@ -231,6 +231,6 @@ def str_3(spark, sf_dir):
     return _live(spark, U.audit_rows(log(spark, sf_dir)).drop("seq"), lambda s: S.audit_stream(s, KEY)).select("log_date", "seq", "prev", "sig")
 
 
-@query("str_4_budget_stream")
+@query("str_4_budget_stream", REPLAY)
 def str_4(spark, sf_dir):
     return _live(spark, load_requests(spark, sf_dir), S.budget_stream)

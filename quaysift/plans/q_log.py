@@ -171,7 +171,20 @@ def load_requests(spark, sf_dir):
     return x.select(F.concat(F.lit("h"), (F.col("user_id") % 8).cast("string")).alias("host"), F.col("event_id").alias("request_id"), "start_ms", (F.col("start_ms") + F.col("duration_ms") * 1000).alias("end_ms"), (F.col("plaintext_size") * 3).alias("bytes"))
 
 
-@query("load_2_budget_replay")
+_LEFT = "list_filter(r.held, lambda x: x.e > q.s)"
+_FITS = f"coalesce(list_sum(list_transform({_LEFT}, lambda x: x.b)), 0) + q.b <= {lookups.LOAD_BUDGET}"
+REPLAY = f"""WITH RECURSIVE q AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY host ORDER BY s, request_id) AS i FROM (
+    SELECT 'h' || (user_id % 8) AS host, event_id AS request_id, epoch(date_trunc('second', started_at))::BIGINT * 1000 AS s,
+      epoch(date_trunc('second', started_at))::BIGINT * 1000 + duration_ms * 1000 AS e, plaintext_size * 3 AS b FROM ({duck('v_scan_log')}) l)),
+r AS (
+  SELECT host, i, request_id, b <= {lookups.LOAD_BUDGET} AS admitted, CASE WHEN b <= {lookups.LOAD_BUDGET} THEN [{{'e': e, 'b': b}}] ELSE [] END AS held FROM q WHERE i = 1
+  UNION ALL
+  SELECT q.host, q.i, q.request_id, {_FITS}, CASE WHEN {_FITS} THEN list_append({_LEFT}, {{'e': q.e, 'b': q.b}}) ELSE {_LEFT} END FROM r JOIN q ON q.host IS NOT DISTINCT FROM r.host AND q.i = r.i + 1)
+SELECT host, request_id, admitted FROM r"""
+
+
+@query("load_2_budget_replay", REPLAY)
 def load_2(spark, sf_dir):
     return U.budget_replay(load_requests(spark, sf_dir))
 
