@@ -175,7 +175,7 @@ def fit(docs: DataFrame) -> Model:
     Rejection limits come from about ``CALIBRATION_DOCS`` other labelled documents a language. Both are read
     whole. All else (which languages there are, and how many documents each has) is counted over all rows.
     """
-    docs = bounded(docs).filter("text IS NOT NULL AND lang IS NOT NULL")
+    docs = bounded(docs).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("text", F.make_valid_utf8("text"))
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     grid = 1 << 30
@@ -229,10 +229,10 @@ def identify(docs: DataFrame, model: Model | Broadcast, id_col: str = "doc_id",
     letter (or nothing was learned); ``score`` (0 to 1) is its share among the languages, with at most
     ``EVIDENCE`` characters' evidence, and 0 for a rejected text. ``rejected`` marks ``und`` and texts beyond the
     language's calibrated limit.
-    Ids may be null or repeat; further columns are not read.
+    Ids may be null or repeat; further columns are not read. Bytes that aren't UTF-8 count as U+FFFD.
     """
     held = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
-    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

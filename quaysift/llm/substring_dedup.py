@@ -89,7 +89,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words stand between ASCII white space. A word is removed when a window of ``size`` consecutive words of
     one text covers it that also starts earlier: in a row of a smaller id, or before in the same text.
-    Windows are judged on the input. ``kept`` has the kept words joined by one space. Null has no words. Rows
+    Windows are judged on the input. ``kept`` has the kept words joined by one space (bytes that aren't UTF-8 as U+FFFD). Null has no words. Rows
     of a null id lose nothing and repeat nothing; rows that repeat an id share the spans found for it.
     Further columns are not read.
     """
@@ -123,7 +123,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
 
     spans = by_text(covered(docs, coder, solve, ANCHOR, size, CODE))
-    rows = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    rows = docs.withColumn("text", F.col("text").cast("binary")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +131,14 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out: list[tuple] = []
             every = b.column("spans").to_pylist()
             for text, found in zip(b.column("text"), every, strict=True):
-                items = (text.as_py() or "").encode().split()
+                items = (text.as_py() or b"").split()
                 kept, at = [], 0
                 for lo, hi in joined_spans(found):
                     kept += items[at:lo]
                     at = max(at, min(hi, len(items)))
                 kept += items[at:]
                 rest = b" ".join(kept)
-                out.append((len(items), len(items) - len(kept), hashlib.sha256(rest).hexdigest(), rest.decode()))
+                out.append((len(items), len(items) - len(kept), hashlib.sha256(rest).hexdigest(), rest.decode(errors="replace")))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in cols[:2]), *(pa.array(x, pa.string()) for x in cols[2:])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 

@@ -151,12 +151,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts equal those of the tokenizer's library for the whole text, with no begin, end or padding tokens
     and with special strings inside texts taken as the library takes them by default. Null counts as empty
-    (0 tokens). ``tokenizer`` is the path of a byte-level BPE file. Ids may be null or repeat; columns but
+    (0 tokens), and bytes that aren't UTF-8 as U+FFFD. ``tokenizer`` is the path of a byte-level BPE file. Ids may be null or repeat; columns but
     ``id_col`` and ``text_col`` are not read.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    known = frequent_lengths(bounded(docs), text_col, path)
-    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = frequent_lengths(bounded(docs).select(F.make_valid_utf8(F.col(text_col)).alias("text")), "text", path)
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

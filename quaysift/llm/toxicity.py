@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     bound = F.when(F.col("toxic") == 1, int(min(1.0, FIT_DOCS / max(counts.get(1, 0), 1)) * grid)).otherwise(int(min(1.0, FIT_DOCS / max(counts.get(0, 0), 1)) * grid))
     chosen = labels.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(grid)) < bound)
     # at most some 2 * FIT_DOCS rows
-    texts = bounded(docs).select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    texts = bounded(docs).select("doc_id", F.make_valid_utf8("text").alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     texts = written(texts, "labelled")
 
@@ -250,10 +250,10 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | Broadcast, id_col: str = "d
     """One row per input row: ``doc_id, score, predicted``; ``predicted`` is 1 from a score of 0.5.
 
     Whole texts are scored, window by window; null and empty texts have no window and get the lowest evidence.
-    Ids may be null or repeat; further columns are not read.
+    Ids may be null or repeat; further columns are not read. Bytes that aren't UTF-8 count as U+FFFD.
     """
     held = scorer if isinstance(scorer, Broadcast) else docs.sparkSession.sparkContext.broadcast(scorer)
-    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = bounded(docs).select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     key = picked.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

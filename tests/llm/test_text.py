@@ -10,7 +10,7 @@ import pytest
 from conftest import duck, rows_of
 from pyspark.sql import functions as F
 
-from quaysift.llm import chat_format, decontaminate, language_id, packing, token_counts, toxicity
+from quaysift.llm import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 
 BIG = "/root/testdata/sf0.01"
 
@@ -352,3 +352,14 @@ def test_packing_in_bulk_is_best_fit_item_by_item():
                 rooms.append(100 - n)
         done = packing._pack(dict(Counter(items)), lambda n, left: (100, -(-left // (100 // n))))
         assert sorted(rooms) == sorted(100 - sum(n * k for n, k in contents) for _, contents, times in done for _ in range(times))
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """Texts that another system wrote badly fail no task."""
+    docs = spark.createDataFrame([(1, bytearray(b"\xff\xfe the words \x80")), (2, bytearray(b"plain words"))], "doc_id long, raw binary").selectExpr("doc_id", "CAST(raw AS STRING) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for out in (
+        language_id.identify(docs, language_id.fit(docs.selectExpr("*", "'en' AS lang"))), token_counts.token_counts(docs), toxicity.score_toxicity(docs, toxicity.fit(docs, labels)),
+        substring_dedup.remove_spans(docs), suffix_dedup.remove_repeats(docs), minhash_dedup.near_duplicates(docs), exact_dedup.exact_dedup(docs), decontaminate.decontaminate(docs, docs.selectExpr("doc_id AS item_id", "text")),
+    ):
+        assert out.count() == 2
