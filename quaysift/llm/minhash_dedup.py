@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .codes import pieces, shingle_sets, words
 from .components import components
-from .repeats import MOST_BITS, PARTS, may_repeat, only_ids, parts, repeat_filter, without_ids
+from .repeats import MOST_BITS, PARTS, id_codes, ids_filter, may_repeat, only_ids, parts, repeat_filter, without_ids
 from .shared import attach, bounded, written
 
 #: Smallest values by which texts meet.
@@ -101,12 +101,13 @@ def retained_but(u: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndar
     return np.concatenate([u[~is_late], u[is_late]])[:k]
 
 
-def _instead(docs: DataFrame, w: int, num: int, den: int, late: Broadcast) -> DataFrame:
-    """``doc_id, vs``: what texts with a given-up value retain."""
+def _instead(docs: DataFrame, w: int, num: int, den: int, late: Broadcast, asked: Broadcast) -> DataFrame:
+    """``doc_id, vs``: what texts with a given-up value retain, of those that ``asked`` lets through."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, w):
+        some = (b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(0)), MOST_BITS))) for b in batches)
+        for ids, sets in _sets(some, w):
             kept = [retained_but(u, late.value, num, den) for u in sets]
             at = [i for i, x in enumerate(kept) if x is not None]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([kept[i].view(np.int64) for i in at], pa.list_(pa.int64()))], ["doc_id", "vs"])
@@ -394,8 +395,8 @@ def _search(found: _Found, postings: DataFrame, reps: DataFrame) -> DataFrame |
     late = np.sort(lists.filter(F.col("open") > long_from * long_from / 2).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64))
     if len(late):  # LONG_VALUES values of 8 bytes at most
         held = found.docs.sparkSession.sparkContext.broadcast(late)
-        some, asked = only_ids(found.docs.select("doc_id", "text"), postings)
-        instead = _instead(some, w, num, den, held).join(postings.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        asked = ids_filter(postings)  # in the same Python step: two in a row would need two workers a task
+        instead = _instead(found.docs, w, num, den, held, asked).join(postings.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         instead = written(instead.withColumnRenamed("vs", "instead"), "instead", held, asked)
         postings = written(postings.join(instead, "doc_id", "left").select("doc_id", F.coalesce("instead", "vs").alias("vs")), "postings")
         rows = _rows(postings, found.labels)

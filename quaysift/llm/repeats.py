@@ -115,7 +115,9 @@ def id_codes(ids: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
 
 
-def _ids_filter(ids: DataFrame, key: str) -> Broadcast:
+def ids_filter(ids: DataFrame, key: str = "doc_id") -> Broadcast:
+    """A filter that lets the ``ids`` through, and few others."""
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             yield id_codes(b.column(0))
@@ -126,7 +128,7 @@ def _ids_filter(ids: DataFrame, key: str) -> Broadcast:
 def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Broadcast]:
     """Rows whose ``key`` (not null) is among the ``ids``, and few others that the filter lets through: rows that surely
     aren't asked for need not shuffle. Also the filter, for who wants to destroy it."""
-    asked = _ids_filter(ids, key)
+    asked = ids_filter(ids, key)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +139,7 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[Data
 
 def without_ids(rows: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
     """The written rows whose ``key`` (not null) isn't among the ``ids``: those that surely aren't need not shuffle."""
-    asked = _ids_filter(ids, key)
+    asked = ids_filter(ids, key)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
