@@ -18,6 +18,8 @@ from .shared import BROADCAST_ROWS, written
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most bytes (as text) of a side that is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Words of a part of a text whose words are looked up together.
+PART = 64
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -55,14 +57,18 @@ def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     it. A text has one more row, of place 0 and no term, with its ``n_words``.
     """
     words = docs.select("doc_id", word_array(F.col("text")).alias("w"))
-    places = words.select("doc_id", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("place", "term"))
-    places = places.join(_small(terms.withColumn("asked", F.lit(True))), "term", "left").filter("asked OR place = 0")
-    real = F.col("place") > 0
-    first = F.greatest(F.col("place") - reach, F.lit(1))
+    # rows carry a part of the text and what is around it, not the whole text; outer: no filter on an array is inferred, which would cut the text twice
+    part = lambda b: F.struct(b.alias("b"), F.slice("w", F.greatest(b - reach, F.lit(0)) + 1, F.lit(PART + 2 * reach)).alias("s"), F.when(b == 0, F.size("w").cast("long")).alias("n_words"))
+    parts = words.select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PART)), part)).alias("p")).select("doc_id", "p.*")
+    o = F.least("b", F.lit(reach))  # words of the part that stand before its own
+    own = F.concat(F.array(F.lit("")), F.slice("s", o + 1, F.lit(PART)))
+    places = parts.select("doc_id", "b", "s", "n_words", F.posexplode_outer(own).alias("i", "term"))
+    places = places.join(_small(terms.withColumn("asked", F.lit(True))), "term", "left").filter("asked OR (i = 0 AND n_words IS NOT NULL)")
+    real, at = F.col("i") > 0, o + F.col("i")
     return places.select(
-        F.when(real, F.col("term")).alias("term"), "doc_id", "place",
-        F.when(real, F.slice("w", first, F.least(F.col("place") - 1, F.lit(reach)))).alias("before"), F.when(real, F.slice("w", F.greatest("place", F.lit(1)), F.lit(reach))).alias("after"),
-        F.when(~real, F.size("w").cast("long")).alias("n_words"),
+        F.when(real, F.col("term")).alias("term"), "doc_id", (F.col("b") + F.col("i")).alias("place"),
+        F.when(real, F.slice("s", F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)))).alias("before"), F.when(real, F.slice("s", F.greatest(at, F.lit(1)), F.lit(reach))).alias("after"),
+        F.when(~real, F.col("n_words")).alias("n_words"),
     )
 
 
