@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .codes import pieces, shingle_sets, words
 from .components import components
-from .repeats import MOST_BITS, PARTS, id_codes, ids_filter, may_repeat, only_ids, parts, repeat_filter, without_ids
+from .repeats import PARTS, bits_for, id_codes, ids_filter, may_repeat, only_ids, parts, repeat_filter, without_ids
 from .shared import attach, bounded, written
 
 #: Smallest values by which texts meet.
@@ -101,12 +101,12 @@ def retained_but(u: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndar
     return np.concatenate([u[~is_late], u[is_late]])[:k]
 
 
-def _instead(docs: DataFrame, w: int, num: int, den: int, late: Broadcast, asked: Broadcast) -> DataFrame:
+def _instead(docs: DataFrame, w: int, num: int, den: int, late: Broadcast, asked: tuple[Broadcast, int]) -> DataFrame:
     """``doc_id, vs``: what texts with a given-up value retain, of those that ``asked`` lets through."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(0)), MOST_BITS))) for b in batches)
+        some = (b.filter(pa.array(may_repeat(asked[0].value, id_codes(b.column(0)), asked[1]))) for b in batches)
         for ids, sets in _sets(some, w):
             kept = [retained_but(u, late.value, num, den) for u in sets]
             at = [i for i, x in enumerate(kept) if x is not None]
@@ -122,14 +122,15 @@ def _postings(reps: DataFrame) -> DataFrame:
         for b in batches:
             yield b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
-    again = repeat_filter(reps.select("retained").mapInArrow(lambda it: parts(codes(it), MOST_BITS), PARTS), MOST_BITS)
+    bits = bits_for(RETAINED * reps.count())
+    again = repeat_filter(reps.select("retained").mapInArrow(lambda it: parts(codes(it), bits), PARTS), bits)
     key = reps.schema["doc_id"].dataType.simpleString()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column("retained").flatten()
             at = np.repeat(np.arange(b.num_rows), b.column("retained").value_lengths().to_numpy(zero_copy_only=False))
-            keep = np.flatnonzero(may_repeat(again.value, values.to_numpy(zero_copy_only=False).view(np.uint64), MOST_BITS))
+            keep = np.flatnonzero(may_repeat(again.value, values.to_numpy(zero_copy_only=False).view(np.uint64), bits))
             rows, first = np.unique(at[keep], return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)), pa.int32()), values.take(pa.array(keep)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows)), lists], ["doc_id", "vs"])
@@ -397,7 +398,7 @@ def _search(found: _Found, postings: DataFrame, reps: DataFrame) -> DataFrame |
         held = found.docs.sparkSession.sparkContext.broadcast(late)
         asked = ids_filter(postings)  # in the same Python step: two in a row would need two workers a task
         instead = _instead(found.docs, w, num, den, held, asked).join(postings.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        instead = written(instead.withColumnRenamed("vs", "instead"), "instead", held, asked)
+        instead = written(instead.withColumnRenamed("vs", "instead"), "instead", held, asked[0])
         postings = written(postings.join(instead, "doc_id", "left").select("doc_id", F.coalesce("instead", "vs").alias("vs")), "postings")
         rows = _rows(postings, found.labels)
         lists = _open_lists(rows, met=False)

@@ -115,35 +115,36 @@ def id_codes(ids: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(repr(v)) for v in ids.to_pylist()], np.uint64)
 
 
-def ids_filter(ids: DataFrame, key: str = "doc_id") -> Broadcast:
-    """A filter that lets the ``ids`` through, and few others."""
+def ids_filter(ids: DataFrame, key: str = "doc_id") -> tuple[Broadcast, int]:
+    """(a filter that lets the written ``ids`` through and few others, its bits)."""
+    bits = bits_for(ids.count())
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             yield id_codes(b.column(0))
 
-    return repeat_filter(ids.select(key).mapInArrow(lambda it: parts(seen(it), MOST_BITS, 2), PARTS), MOST_BITS)
+    return repeat_filter(ids.select(key).mapInArrow(lambda it: parts(seen(it), bits, 2), PARTS), bits), bits
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Broadcast]:
     """Rows whose ``key`` (not null) is among the ``ids``, and few others that the filter lets through: rows that surely
     aren't asked for need not shuffle. Also the filter, for who wants to destroy it."""
-    asked = ids_filter(ids, key)
+    asked, bits = ids_filter(ids, key)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(key)), MOST_BITS)))
+            yield b.filter(pa.array(may_repeat(asked.value, id_codes(b.column(key)), bits)))
 
     return rows.mapInArrow(pick, rows.schema), asked
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
     """The written rows whose ``key`` (not null) isn't among the ``ids``: those that surely aren't need not shuffle."""
-    asked = ids_filter(ids, key)
+    asked, bits = ids_filter(ids, key)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("_maybe", pa.array(may_repeat(asked.value, id_codes(b.column(key)), MOST_BITS)))
+            yield b.append_column("_maybe", pa.array(may_repeat(asked.value, id_codes(b.column(key)), bits)))
 
     marked = rows.mapInArrow(mark, StructType([*rows.schema.fields, StructField("_maybe", BooleanType())]))
     left = marked.filter("NOT _maybe").unionByName(marked.filter("_maybe").join(ids.select(key), key, "left_anti"))
