@@ -11,7 +11,7 @@ from conftest import duck, rows_of
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from quaysift.llm import anchors, exact_dedup, minhash_dedup, substring_dedup, suffix_dedup  # noqa: E402
+from quaysift.llm import anchors, codes, exact_dedup, minhash_dedup, substring_dedup, suffix_dedup  # noqa: E402
 
 
 def odd_texts(seed, n=120):
@@ -168,3 +168,23 @@ def test_automaton():
         runs = {tuple(x[i:j]) for x in old for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
         want = [max((n for n in range(i + 2) if n == 0 or tuple(new[i + 1 - n : i + 1]) in runs)) for i in range(12)]
         assert a.statistics(new) == want
+
+
+def test_full_filters(spark, monkeypatch):
+    """Filters that let everything through change no result."""
+    monkeypatch.setattr(anchors, "may_repeat", lambda table, codes, bits: np.ones(len(codes), bool))
+    docs = odd_texts(8, 80)
+    assert {tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, docs)).drop("kept").collect()} == brute.byte_repeats(docs, 100)
+    assert {tuple(r) for r in substring_dedup.remove_spans(frame(spark, docs)).drop("kept").collect()} == brute.word_repeats(docs, 20)
+
+
+def test_texts_longer_than_a_piece(spark):
+    """Texts of more bytes than are coded at once, which repeat parts of themselves and of each other."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(120_000)]
+    long = " ".join(words)
+    assert len(long) > 2 * codes.PIECE
+    docs = [(0, long), (1, " ".join(words[40_000:100_000]) + " new end " + long[:5000]), (2, "short text"), (3, long[:3000] + " " + long[:3000]), (4, long + " x")]
+    assert {tuple(x) for x in suffix_dedup.remove_repeats(frame(spark, docs)).drop("kept").collect()} == brute.byte_repeats(docs, 100)
+    assert {tuple(x) for x in substring_dedup.remove_spans(frame(spark, docs)).drop("kept").collect()} == brute.word_repeats(docs, 20)
+    assert {tuple(x) for x in minhash_dedup.near_duplicates(frame(spark, docs), shingle_words=3, threshold=(85, 100)).collect()} == brute.near(docs, 3, 85, 100)
