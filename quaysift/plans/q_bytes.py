@@ -63,7 +63,7 @@ def _png(i: int, body: bytes) -> bytes:
 
 def _jpeg(i: int, body: bytes) -> bytes:
     notes = b"".join(b"\xff\xfe" + struct.pack(">H", len(n) + 2) + n for n in (body[at : at + 65_533] for at in range(0, max(len(body), 1), 65_533)))
-    return b"\xff\xd8" + notes + b"\xff\xc2" + struct.pack(">HBHHB", 8, 8, min(len(body), 1000), i % 60_000, 1)
+    return b"\xff\xd8" + notes + b"\xff\xc2" + struct.pack(">HBHHB", 8, 8, len(body) % 60_000, i % 60_000, 1)
 
 
 @query("arc_1_zip_entries", "SELECT doc_id AS file_id, i::INT AS entry_idx, CASE i WHEN 0 THEN 'd/' || doc_id || '.txt' ELSE 'empty' END AS path, CASE i WHEN 0 THEN strlen(text) ELSE 0 END::BIGINT AS uncomp_size, CASE i WHEN 0 THEN strlen(text) ELSE 0 END::BIGINT AS actual_size, 'ok' AS status FROM documents, range(2) r(i)")
@@ -78,9 +78,9 @@ def arc_2(spark, sf_dir):
     return X.tar_entries(wrapped(spark, sf_dir, _tar)).select("file_id", "entry_idx", "path", "uncomp_size", "checksum_ok", "helper")
 
 
-@query("img_3_jpeg_dimensions", "SELECT doc_id AS file_id, (doc_id % 60000)::INT AS width, least(strlen(text), 1000)::INT AS height FROM documents WHERE doc_id % 60000 > 0 OR strlen(text) > 0")
+@query("img_3_jpeg_dimensions", "SELECT doc_id AS file_id, (doc_id % 60000)::INT AS width, (strlen(coalesce(text, '')) % 60000)::INT AS height FROM documents WHERE doc_id % 60000 > 0 OR strlen(text) % 60000 > 0")
 def img_3(spark, sf_dir):
-    """Each document, whole, as comments of up to 65,533 bytes before a frame header that tells its number and, up to 1000, its length."""
+    """Each document, whole, as comments of up to 65,533 bytes before a frame header that tells its number and its length, both modulo 60,000."""
     return X.jpeg_dimensions(wrapped(spark, sf_dir, _jpeg))
 
 
