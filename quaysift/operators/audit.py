@@ -153,7 +153,7 @@ def failure_rows(log: DataFrame) -> DataFrame:
 
 def _counters() -> list[Column]:
     v, r = F.col("verdict"), F.col("reason")
-    early = (v == "error") & r.isin("scanner_busy", "invalid_request", "decryption_failed")
+    early = (v == "error") & F.coalesce(r.isin("scanner_busy", *lookups.EARLY_REASONS), F.lit(False))
     done = ~early
     count = lambda c, n: F.count_if(c).alias(n)
     return [

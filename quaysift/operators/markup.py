@@ -76,37 +76,56 @@ def _why(local: str, name: str, value: str, attributes: set[str]) -> bool:
     return not (name == "style" and any(w in low for w in lookups.STYLE_WORDS))
 
 
+def _local(name: str) -> str:
+    """What follows the first colon, if there is one."""
+    return name.partition(":")[2] if ":" in name else name
+
+
 class _Rebuild:
     """Writes allowed elements again; what stands below a disallowed one is skipped."""
 
-    def __init__(self, elements: set[str], attributes: set[str]) -> None:
-        self.elements, self.attributes = elements, attributes
+    def __init__(self, elements: set[str], attributes: set[str], first: str | None, most: int) -> None:
+        self.elements, self.attributes, self.first, self.left = elements, attributes, first, most
         self.out: list[str] = []
-        self.depth, self.skip, self.root = 0, 0, ""
+        self.depth, self.skip, self.found, self.error = 0, 0, False, ""
+
+    def put(self, s: str) -> None:
+        self.left -= len(s.encode("utf-8", "replace"))
+        if self.left < 0 and not self.error:
+            self.error = "svg_output_too_large"
+        if not self.error:
+            self.out.append(s)
 
     def start(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.error:
+            return
         self.depth += 1
-        local = name.rpartition(":")[2]
+        local = _local(name)
         if self.skip:
             return
         if local.lower() not in self.elements:
             self.skip = self.depth
             return
-        self.root = self.root or local.lower()
+        if self.first and not self.found and local.lower() != self.first:
+            self.error = "svg_root_not_svg"
+            return
+        self.found = True
         kept = ((n.lower(), v or "") for n, v in attrs)
         text = "".join(f' {n}="{self.escaped(v, True)}"' for n, v in kept if _why(local.lower(), n, v, self.attributes))
-        self.out.append(f"<{local}{text}>")
+        self.put(f"<{local}{text}>")
 
     def end(self, name: str) -> None:
+        if self.error:
+            return
         if not self.skip:
-            self.out.append(f"</{name.rpartition(':')[2]}>")
+            self.put(f"</{_local(name)}>")
         elif self.skip == self.depth:
             self.skip = 0
         self.depth -= 1
 
     def text(self, data: str) -> None:
-        if not self.skip and self.depth:
-            self.out.append(self.escaped(data, False))
+        if not self.skip and self.depth and not self.error:
+            self.put(self.escaped(data, False))
 
     @staticmethod
     def escaped(s: str, attribute: bool) -> str:
@@ -173,16 +192,13 @@ def sanitize_markup(df: DataFrame, key: str, content: str, xml: bool = True, ele
             return "rejected", "svg_empty", None
         if xml and b"<!doctype" in source[:256].lower():
             return "rejected", "svg_doctype_rejected", None
-        rebuild = _Rebuild(allow_el, allow_at)
-        if not (_xml if xml else _html)(source, rebuild):
-            return "rejected", "svg_malformed", None
-        if root and not rebuild.root:
-            return "rejected", "svg_no_root_element", None
-        if root and rebuild.root != root:
-            return "rejected", "svg_root_not_svg", None
+        rebuild = _Rebuild(allow_el, allow_at, root, max(4 * len(source), 1 << 20))
+        whole = (_xml if xml else _html)(source, rebuild)
         out = "".join(rebuild.out)
-        if len(out.encode("utf-8", "replace")) > max(4 * len(source), 1 << 20):
-            return "rejected", "svg_output_too_large", None
+        # what the rebuilding ended with counts before what the parser did
+        reason = rebuild.error or (not whole and "svg_malformed") or (root and not rebuild.found and "svg_no_root_element") or (root and not out and "svg_empty_result")
+        if reason:
+            return "rejected", reason, None
         return "sanitized", None, out
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

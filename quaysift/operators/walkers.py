@@ -10,7 +10,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -198,28 +198,30 @@ def gif_walk(body: bytes) -> Iterator[tuple]:
         p = end
 
 
-SEGMENT = "seg_idx int, marker int, length int, width int, height int"
+SEGMENT = "seg_idx int, marker int, length int, width int, height int, status string"
 
 
 def jpeg_walk(body: bytes) -> Iterator[tuple]:
-    """A row a marker segment up to the first frame header, which has the size."""
-    if body[:2] != b"\xff\xd8":
-        return
-    p = 2
-    for i in count():
-        while p < len(body) and body[p] == 0xFF:
-            p += 1
-        if p + 3 > len(body) or body[p - 1] != 0xFF:
-            return
-        marker, length = body[p], struct.unpack(">H", body[p + 1 : p + 3])[0]
+    """A row a marker segment up to the first frame header, which has the size; or a last row of status ``malformed`` where there is none.
+
+    Fill bytes, and markers that stand alone (start, end, restarts), are passed over.
+    """
+    i, p = 0, 2 if len(body) >= 4 and body[:2] == b"\xff\xd8" else len(body)
+    while p + 4 < len(body) and body[p] == 0xFF:
+        marker = body[p + 1]
+        if marker == 0xFF or 0xD0 <= marker <= 0xD9:
+            p += 1 if marker == 0xFF else 2
+            continue
+        length = struct.unpack(">H", body[p + 2 : p + 4])[0]
         frame = 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
-        if length < 2 or p + 1 + length > len(body) or (frame and length < 7):
-            return
-        h, w = struct.unpack(">HH", body[p + 4 : p + 8]) if frame else (0, 0)
-        yield (i, marker, length, w, h)
+        if length < (7 if frame else 2) or p + 2 + length > len(body):
+            break
+        h, w = struct.unpack(">HH", body[p + 5 : p + 9]) if frame else (None, None)
+        yield (i, marker, length, w, h, "frame" if frame else "segment")
         if frame:
             return
-        p += 1 + length
+        i, p = i + 1, p + 2 + length
+    yield (i, None, None, None, None, "malformed")
 
 
 def zip_entries(files: DataFrame, **how) -> DataFrame:
@@ -231,11 +233,19 @@ def tar_entries(files: DataFrame, **how) -> DataFrame:
 
 
 def jpeg_dimensions(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
-    """``key, width, height`` of files with a frame header."""
-    rows = explode_bytes(files, jpeg_walk, SEGMENT, key=key, content=content).filter("width > 0 OR height > 0")
-    return rows.groupBy(key).agg(F.min_by("width", "seg_idx").alias("width"), F.min_by("height", "seg_idx").alias("height"))
+    """``key, ok, width, height``, a row a file: without a frame header it isn't ok and has no size."""
+    last = explode_bytes(files, jpeg_walk, SEGMENT, key=key, content=content).filter("status <> 'segment'")  # one a file
+    return last.select(key, (F.col("status") == "frame").alias("ok"), "width", "height")
+
+
+_IMAGES = {"png": png_walk, "webp": webp_walk, "gif": gif_walk}
+
+
+def _image_walk(body: bytes) -> Iterator[tuple]:
+    """Whichever of the walks knows the first bytes."""
+    return chain.from_iterable(walk(body) for walk in _IMAGES.values())
 
 
-def image_chunks(files: DataFrame, kind: str, **how) -> DataFrame:
-    """Chunks or blocks of PNG, WebP or GIF files."""
-    return explode_bytes(files, {"png": png_walk, "webp": webp_walk, "gif": gif_walk}[kind], CHUNK, **how)
+def image_chunks(files: DataFrame, kind: str | None = None, **how) -> DataFrame:
+    """Chunks or blocks of PNG, WebP or GIF files: of the named kind, else of the kind that a file's first bytes tell."""
+    return explode_bytes(files, _IMAGES[kind] if kind else _image_walk, CHUNK, **how)

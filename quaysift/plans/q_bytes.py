@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import archive as V
 from ..operators import audit as U
+from ..operators import image as G
 from ..operators import walkers as X
 from ..sources import files as Q
 from ..streaming import streams as S
@@ -22,7 +23,7 @@ from .base import query
 from .q_content import HMAC, KEY
 from .q_log import AUDIT, CANON, REPLAY, ZEROS, load_requests, log
 from .q_stream import drained, folder
-from .views import duck, table
+from .views import duck, duck_values, table
 
 
 def wrapped(spark: SparkSession, sf_dir: str, wrap: Callable[[int, bytes], bytes]) -> DataFrame:
@@ -63,7 +64,7 @@ def _png(i: int, body: bytes) -> bytes:
 
 def _jpeg(i: int, body: bytes) -> bytes:
     notes = b"".join(b"\xff\xfe" + struct.pack(">H", len(n) + 2) + n for n in (body[at : at + 65_533] for at in range(0, max(len(body), 1), 65_533)))
-    return b"\xff\xd8" + notes + b"\xff\xc2" + struct.pack(">HBHHB", 8, 8, len(body) % 60_000, i % 60_000, 1)
+    return b"\xff\xd8\xff\xd0\xff\xff\xd8" + notes + b"\xff\xc2" + struct.pack(">HBHHB", 8, 8, len(body) % 60_000, i % 60_000, 1)
 
 
 @query("arc_1_zip_entries", "SELECT doc_id AS file_id, i::INT AS entry_idx, CASE i WHEN 0 THEN 'd/' || doc_id || '.txt' ELSE 'empty' END AS path, CASE i WHEN 0 THEN strlen(text) ELSE 0 END::BIGINT AS uncomp_size, CASE i WHEN 0 THEN strlen(text) ELSE 0 END::BIGINT AS actual_size, 'ok' AS status FROM documents, range(2) r(i)")
@@ -78,10 +79,14 @@ def arc_2(spark, sf_dir):
     return X.tar_entries(wrapped(spark, sf_dir, _tar)).select("file_id", "entry_idx", "path", "uncomp_size", "checksum_ok", "helper")
 
 
-@query("img_3_jpeg_dimensions", "SELECT doc_id AS file_id, (doc_id % 60000)::INT AS width, (strlen(coalesce(text, '')) % 60000)::INT AS height FROM documents WHERE doc_id % 60000 > 0 OR strlen(text) % 60000 > 0")
+@query("img_3_jpeg_dimensions", """SELECT doc_id AS file_id, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60000 END::INT AS width, CASE WHEN doc_id % 7 <> 0 THEN strlen(coalesce(text, '')) % 60000 END::INT AS height
+FROM documents""")
 def img_3(spark, sf_dir):
-    """Each document, whole, as comments of up to 65,533 bytes before a frame header that tells its number and its length, both modulo 60,000."""
-    return X.jpeg_dimensions(wrapped(spark, sf_dir, _jpeg))
+    """Each document, whole, as comments of up to 65,533 bytes before a frame header that tells its number and its length, both modulo 60,000.
+
+    Markers that stand alone come before; every seventh file is cut within its frame header.
+    """
+    return X.jpeg_dimensions(wrapped(spark, sf_dir, lambda i, body: _jpeg(i, body)[: None if i % 7 else -3]))
 
 
 @query("img_4_image_chunks", """SELECT doc_id AS file_id, i::INT AS chunk_idx, CASE i WHEN 0 THEN 'IHDR' WHEN 1 THEN 'IDAT' ELSE 'IEND' END AS chunk_type, CASE i WHEN 0 THEN 13 WHEN 1 THEN strlen(text) ELSE 0 END::BIGINT AS length,
@@ -123,6 +128,41 @@ def img_9(spark, sf_dir):
     return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("chunk_type") == "image").alias("pictures"), F.max("end").alias("bytes"))
 
 
+def _picture(i: int, body: bytes) -> bytes:
+    """A picture of the kind that ``PICTURES`` lists at the number's place, with the body in it."""
+    kind = i % len(PICTURES)
+    if kind < 3 or kind == 9:
+        moving = ((b"acTL", struct.pack(">II", 2, 0)),) if kind in (1, 2) else ()
+        head = struct.pack(">IIBBBBB", 20_000 if kind == 9 else 5, 5, 8, 2, 0, 0, 0)
+        out = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in ((b"IHDR", head), *moving, (b"IDAT", body), (b"IEND", b"")))
+        return out + (b"behind" if kind == 2 else b"")
+    if kind < 5:
+        return _gif(2, body) + (b"behind;" if kind == 4 else b"")
+    if kind < 7:
+        frames = _chunk(b"ANIM", b"\0" * 6) + _chunk(b"ANMF", body) + (b"JUNK" if kind == 6 else b"")
+        return b"RIFF" + struct.pack("<I", 4 + len(frames)) + b"WEBP" + frames
+    if kind < 9:
+        return _jpeg(i % 9_000, body[:9_000])[: None if kind == 7 else -3]
+    return b"BM" + bytes(16) + body
+
+
+#: extension, media type, verdict and reason of each kind of picture
+PICTURES = [
+    ("x", "image/png", "sanitized", None), ("PNG", None, "clean", "png_animated_passthrough"), ("x", "image/png", "rejected", "png_trailing_data"), ("gif", None, "clean", "gif_animated_passthrough"), ("x", "image/gif", "rejected", "gif_trailing_data"),
+    ("webp", None, "clean", "webp_animated_passthrough"), ("x", "image/webp", "rejected", "webp_trailing_data"), ("jpg", None, "sanitized", None), ("x", "image/jpeg", "rejected", "image_header_malformed"),
+    ("png", None, "rejected", "image_dimensions_exceeded"), ("x", "image/bmp", "sanitized", None), ("tif", None, "error", "unsupported_image_format"), ("ttf", None, "clean", "opaque_image_passthrough"),
+]
+
+
+@query("img_10_image_verdict", f"""WITH {duck_values('k', ['place', 'ext', 'mime', 'verdict', 'reason'], [(i, *p) for i, p in enumerate(PICTURES)])}
+SELECT doc_id AS file_id, verdict, reason, verdict = 'sanitized' AS reencode FROM documents JOIN k ON place = doc_id % {len(PICTURES)}""")
+def img_10(spark, sf_dir):
+    """Each document in a picture of one of thirteen kinds, judged from its bytes: junk behind the end and inside a RIFF size, cut and odd headers."""
+    kinds = F.broadcast(spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(PICTURES)], "at int, ext string, mime string"))
+    files = wrapped(spark, sf_dir, _picture).join(kinds, F.col("at") == F.col("file_id") % len(PICTURES))
+    return G.image_verdict(files, F.col("ext").isin("ttf"))
+
+
 def _hostile(i: int, body: bytes) -> bytes:
     """A zip or a tar with what its number says: something wrong, or nothing."""
     kind = i % 10

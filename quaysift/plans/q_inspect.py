@@ -73,12 +73,12 @@ def arc_9(spark, sf_dir):
 
 
 @query("arc_10_structure", f"""{ENTRIES}, a AS (SELECT archive_id, count(*) AS n, max(uncomp_size) AS size FROM e GROUP BY archive_id)
-SELECT archive_id, CASE WHEN size < 22 THEN 'zip_too_small' WHEN archive_id % 5 = 0 THEN 'zip_no_eocd' WHEN archive_id % 7 = 0 THEN 'zip_cd_truncated' WHEN archive_id % 11 = 0 THEN 'zip_cd_malformed' END AS reason FROM a""")
+SELECT archive_id, CASE WHEN size < 22 THEN 'zip_too_small' WHEN archive_id % 5 = 0 THEN 'zip_no_eocd' WHEN archive_id % 13 = 0 THEN 'archive_entries_exceeded' WHEN archive_id % 7 = 0 THEN 'zip_cd_truncated' WHEN archive_id % 11 = 0 THEN 'zip_cd_malformed' END AS reason FROM a""")
 def arc_10(spark, sf_dir):
-    """Archives, of which some lack an end record, some point past their end, and some declare one entry more."""
+    """Archives, of which some lack an end record, some declare 3000 entries more, some point past their end, and some declare one entry more."""
     a = entries(spark, sf_dir).groupBy("archive_id").agg(F.count(F.lit(1)).alias("n"), F.max("uncomp_size").alias("size"))
     i, n, size = F.col("archive_id"), F.col("n"), F.col("size")
-    reason = R.structure_reason(size, i % 5 != 0, F.when(i % 7 == 0, size + 1).otherwise(size), n, F.when(i % 11 == 0, n + 1).otherwise(n))
+    reason = R.structure_reason(size, i % 5 != 0, F.when(i % 7 == 0, size + 1).otherwise(size), n, F.when(i % 13 == 0, n + 3000).when(i % 11 == 0, n + 1).otherwise(n))
     return a.select("archive_id", reason.alias("reason"))
 
 
@@ -146,10 +146,8 @@ SELECT file_id, CASE WHEN reason IS NULL THEN 'sanitized' WHEN reason = 'unsuppo
 
 @query("img_7_image_policy", IMAGE)
 def img_7(spark, sf_dir):
-    c = chunks(spark, sf_dir)
     i = F.col("file_id")
-    x = G.animation_flags(c).join(G.trailing_data(c), "file_id")
-    x = x.select(
+    x = G.image_flags(chunks(spark, sf_dir)).select(
         "file_id", "animated", "trailing", F.when(i % 6 == 0, "unsupported").when(i % 6 == 1, "gif").when(i % 6 == 2, "jpeg").otherwise("png").alias("kind"), (i % 12 == 0).alias("opaque"), (i % 17 != 0).alias("header_ok"),
         (i * 31 % 20000).alias("width"), (i * 17 % 15000).alias("height"), (F.when(i % 19 == 0, 600).otherwise(1) * F.lit(1 << 20)).cast("long").alias("length"),
     )

@@ -123,12 +123,12 @@ def aud_4(spark, sf_dir):
     return U.chain_tail(a.select("log_date", F.col("seq").alias("line_no"), line.alias("line"), (~(last & F.col("log_date").endswith("3"))).alias("complete")))
 
 
-@query("aud_5_failure_rows", f"{LOG} SELECT event_id, 'error' AS verdict, reason, duration_ms AS elapsed_ms, user_id FROM s WHERE verdict = 'error' AND reason <> 'scanner_busy'")
+@query("aud_5_failure_rows", f"{LOG} SELECT event_id, 'error' AS verdict, reason, duration_ms AS elapsed_ms, CASE WHEN reason <> 'invalid_request' THEN user_id END AS user_id FROM s WHERE verdict = 'error' AND reason <> 'scanner_busy'")
 def aud_5(spark, sf_dir):
     return U.failure_rows(log(spark, sf_dir))
 
 
-EARLY = "(verdict = 'error' AND reason IN ('scanner_busy', 'invalid_request', 'decryption_failed'))"
+EARLY = "(verdict = 'error' AND reason IN ('scanner_busy', " + ", ".join(f"'{r}'" for r in lookups.EARLY_REASONS) + "))"
 COUNTERS = f"""count(*) FILTER (NOT {EARLY}) AS completed, count(*) FILTER (verdict = 'clean') AS clean, count(*) FILTER (verdict = 'sanitized') AS sanitized, count(*) FILTER (verdict = 'rejected') AS rejected,
   count(*) FILTER (verdict = 'error' AND NOT {EARLY}) AS errored, count(*) FILTER (verdict = 'rejected' AND reason LIKE 'virus_detected%') AS virus_hits, count(*) FILTER (av_unavailable) AS av_unavailable,
   count(*) FILTER (yara_unavailable) AS rules_unavailable, coalesce(sum(duration_ms) FILTER (NOT {EARLY}), 0)::BIGINT AS total_ms, count(*) FILTER (reason = 'scanner_busy') AS busy"""

@@ -23,7 +23,7 @@ FROM (SELECT doc_id, n_chars, {sha} AS sha256_hex FROM {documents}) d""",
     "v_scan_log": """SELECT event_id, ts AS started_at, user_id, CAST(round(value * 2000) AS BIGINT) AS duration_ms,
   CASE event_type WHEN 'click' THEN 'sanitized' WHEN 'purchase' THEN 'rejected' WHEN 'error' THEN 'error' ELSE 'clean' END AS verdict,
   CASE WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'virus_detected' WHEN 1 THEN 'disallowed_mime_type' WHEN 2 THEN 'yara_match' ELSE 'archive_policy:archive_path_traversal' END
-    WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'decryption_failed' WHEN 1 THEN 'scanner_busy' ELSE 'unsupported_image_format' END ELSE '' END AS reason,
+    WHEN event_type = 'error' THEN CASE event_id % 12 {early} WHEN 9 THEN 'scanner_busy' WHEN 10 THEN 'scanner_busy' ELSE 'unsupported_image_format' END ELSE '' END AS reason,
   (event_id * 7919 % 5120) * 1048576 AS plaintext_size, event_id % 41 = 0 AS av_unavailable, event_id % 43 = 0 AS yara_unavailable FROM {events}""",
     "v_entries": """SELECT l_orderkey AS archive_id,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS entry_idx,
@@ -46,6 +46,9 @@ DUCK = {"sha": "sha256(text)", "seq": f"unnest(range(0, {_SEQ.format(one='1')}))
 TABLES = ["documents", "pages", "conversations", "events", "lineitem", "labels", "benchmark", "orders"]
 
 
+VIEWS["v_scan_log"] = VIEWS["v_scan_log"].replace("{early}", " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(lookups.EARLY_REASONS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view of one."""
     if name in TABLES:

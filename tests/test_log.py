@@ -160,3 +160,14 @@ def test_sources(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "res")).collect()) == ['{"verdict":"clean"}', '{"verdict":"error","reason":"x"}']
     Q.write_audit(spark.createDataFrame([("2024-01-01", 1), ("2024-01-01", 0)], "log_date string, seq long"), str(tmp_path / "audit"))
     assert [r["seq"] for r in spark.read.json(str(tmp_path / "audit")).orderBy("seq").collect()] == [0, 1]
+
+
+def test_early_failures_count_nowhere(spark):
+    """Every reason for which a scan ends without a result: neither completed nor errored, and its time isn't summed."""
+    from quaysift import lookups
+
+    reasons = [*lookups.EARLY_REASONS, "scanner_busy", "unsupported_image_format", None]
+    log = spark.createDataFrame([("error", r, 5) for r in reasons], "verdict string, reason string, duration_ms long")
+    log = log.withColumns({"av_unavailable": F.lit(False), "yara_unavailable": F.lit(False)})
+    got = U.scan_metrics(log).first()
+    assert (got["completed"], got["errored"], got["total_ms"], got["busy"]) == (2, 2, 10, 1)

@@ -71,6 +71,12 @@ def test_webp(spark):
     c = X.image_chunks(f, "webp")
     assert by_id(G.webp_animated(c), "animated") == {"moving": True, "still": False, "text": False, "alone": False, "junk": True, "off": True}
     assert by_id(G.trailing_data(c, "RIFF"), "trailing") == {"moving": False, "still": False, "text": False, "alone": False, "junk": True, "off": True}
+    # bytes within the RIFF size that are no whole chunk: the walk doesn't land on the end
+    body = webp(("ANIM", b"123456"), ("ANMF", b"1"))
+    for junk in (b"JUNK", b"JUNK\xff\0\0\0"):
+        inside = b"RIFF" + struct.pack("<I", len(body) - 8 + len(junk)) + body[8:] + junk
+        flags = G.image_flags(X.image_chunks(files(spark, inside=inside, whole=body)), F.lit("webp")).collect()
+        assert {r["file_id"]: (r["animated"], r["trailing"]) for r in flags} == {"inside": (True, True), "whole": (True, False)}
 
 
 def test_gif(spark):
@@ -85,19 +91,23 @@ def test_gif(spark):
 def test_jpeg(spark):
     sof = b"\xff\xc0" + struct.pack(">HBHHB", 8, 8, 7, 9, 0)
     f = files(spark, a=b"\xff\xd8\xff\xe0\x00\x04ab" + sof, huffman=b"\xff\xd8\xff\xc4\x00\x04ab" + sof, cut=b"\xff\xd8\xff\xe0\x00", none=b"")
-    assert {r["file_id"]: (r["width"], r["height"]) for r in X.jpeg_dimensions(f).collect()} == {"a": (9, 7), "huffman": (9, 7)}
+    got = lambda f: {r["file_id"]: (r["ok"], r["width"], r["height"]) for r in X.jpeg_dimensions(f).collect()}
+    assert got(f) == {"a": (True, 9, 7), "huffman": (True, 9, 7), "cut": (False, None, None), "none": (False, None, None)}
+    # markers that stand alone and fill bytes are passed over; a frame must fit; anything but a marker ends the walk
+    f = files(spark, start=b"\xff\xd8\xff\xd8" + sof, restart=b"\xff\xd8\xff\xd0" + sof, fill=b"\xff\xd8\xff\xff\xff" + sof, end=b"\xff\xd8\xff\xd9" + sof, short=b"\xff\xd8" + sof[:-1], stray=b"\xff\xd8a" + sof, empty=b"\xff\xd8\xff\xc0\0\x06" + bytes(9))
+    assert {k: v[0] for k, v in got(f).items()} == {"start": True, "restart": True, "fill": True, "end": True, "short": False, "stray": False, "empty": False}
 
 
 def test_jpeg_whole_text():
     """A document of any length stands in the comments whole."""
     for body in (b"", b"ab", b"a" * 1001, bytes(range(256)) * 800):
         made, rows = q_bytes._jpeg(7, body), list(X.jpeg_walk(q_bytes._jpeg(7, body)))
-        at, found = 2, b""
-        for _, marker, length, _, _ in rows[:-1]:
+        at, found = 7, b""
+        for _, marker, length, *_ in rows[:-1]:
             assert marker == 0xFE
             found += made[at + 4 : at + 2 + length]
             at += 2 + length
-        assert found == body and len(rows) == max(1, -(-len(body) // 65_533)) + 1 and rows[-1][3:] == (7, min(len(body), 1000))
+        assert found == body and len(rows) == max(1, -(-len(body) // 65_533)) + 1 and rows[-1][3:] == (7, len(body) % 60_000, "frame")
 
 
 def test_zip(spark):
@@ -227,3 +237,35 @@ def test_converter_outcomes(spark):
     df = spark.createDataFrame(rows, "file_id string, category string, attempt_idx int, ok boolean, timed_out boolean, not_started boolean, out_bytes long")
     got = {r["file_id"]: (r["verdict"], r["reason"]) for r in D.resolve_attempts(df).collect()}
     assert got == {"a": ("error", "fork_failed"), "b": ("error", "ghostscript_empty_output"), "c": ("sanitized", None), "d": ("error", "ffmpeg_empty_output")}
+
+
+def test_image_verdict(spark):
+    bmp = lambda dib, w, h: b"BM" + bytes(12) + struct.pack("<Iii", dib, w, h)
+    cases = {  # mime, ext, bytes, verdict, reason
+        "bmp": ("image/bmp", "", bmp(40, 20_000, -3), "rejected", "image_dimensions_exceeded"), "tall": ("image/bmp", "", bmp(40, 3, -20_000), "rejected", "image_dimensions_exceeded"), "odd_bmp": ("image/bmp", "", b"??", "sanitized", None),
+        "old_bmp": (None, "bmp", b"BM" + bytes(12) + struct.pack("<IHH", 12, 20_000, 3), "rejected", "image_dimensions_exceeded"), "odd_png": (None, "PNG", b"GIF89a" + bytes(30), "rejected", "image_header_malformed"),
+        "gif_as_webp": ("image/webp", "gif", gif(3), "sanitized", None), "many": (None, "gif", gif(3), "clean", "gif_animated_passthrough"), "none": (None, None, None, "error", "unsupported_image_format"),
+        "empty": ("image/jpeg", None, None, "rejected", "image_header_malformed"), "webp": ("IMAGE/WEBP", None, b"", "sanitized", None),
+    }
+    df = spark.createDataFrame([(k, v[0], v[1], v[2] and bytearray(v[2]), 1) for k, v in cases.items()], "file_id string, mime string, ext string, content binary, kind int")
+    got = {r["file_id"]: (r["verdict"], r["reason"]) for r in G.image_verdict(df).collect()}
+    assert got == {k: v[3:] for k, v in cases.items()}
+    assert G.image_verdict(df.limit(0)).count() == 0
+
+
+def test_zip_structure_order(spark):
+    c = lambda *x: [F.lit(v) for v in x]
+    reasons = spark.range(1).select(R.structure_reason(*c(100, True, 200, 3000, 3000)), R.structure_reason(*c(100, True, 200, 3, 3)), R.structure_reason(*c(100, True, 90, 2, 3))).first()
+    assert tuple(reasons) == ("archive_entries_exceeded", "zip_cd_truncated", "zip_cd_malformed")
+
+
+def test_markup_names_and_order(spark):
+    cases = {
+        "two": (b"<svg><x:y:rect/><x:rect/></svg>", "sanitized", None), "root": (b"<g><a></g>", "rejected", "svg_root_not_svg"), "cut": (b"<svg><g></svg>", "rejected", "svg_malformed"),
+        "large": (b"<svg>" + b'"' * (1 << 19) + b"<text>" + b"&gt;" * (1 << 19) + b"</text></svg>", "sanitized", None), "below": (b"<x><svg/></x>", "rejected", "svg_no_root_element"),
+    }
+    got = {r["file_id"]: r for r in K.sanitize_markup(files(spark, **{k: v[0] for k, v in cases.items()}), "file_id", "content").collect()}
+    assert {k: (r["verdict"], r["reason"]) for k, r in got.items()} == {k: v[1:] for k, v in cases.items()}
+    assert got["two"]["output"] == "<svg><rect></rect></svg>"
+    small = K._Rebuild({"svg"}, set(), "svg", 8)
+    assert K._xml(b"<svg>abcdef<g></svg>", small) is False and small.error == "svg_output_too_large"
