@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
+from .walkers import OneFile, by_file, in_file_order
 
 
 def split_chunks(files: DataFrame, content: str = "content", size: int = lookups.CHUNK) -> DataFrame:
@@ -40,25 +45,52 @@ def unseal_chunks(sealed: DataFrame, keys: DataFrame) -> DataFrame:
     return x.select("file_id", "chunk_idx", chunk.alias("chunk"))
 
 
-def _joined(value: str = "chunk"):
-    """The binary chunks of a group in order, null if one is; joined once, as text of a character a byte."""
-    rows = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col(value).cast("binary").alias("x"))))
-    one = F.encode(F.array_join(F.transform(rows, lambda r: F.decode(r["x"], "ISO-8859-1")), ""), "ISO-8859-1")
-    return F.when(F.forall(rows, lambda r: r["x"].isNotNull()), one)
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """``file_id, n_chunks, size, sha256, frame_sha256, whole`` of files in chunk rows, in memory that doesn't grow with a file.
+
+    A file's chunks come to one task in order, and a running SHA-256 takes them one by one, across the batches they arrive in. ``frame_sha256``
+    is over each chunk's length (4 bytes, big endian) and bytes. ``whole`` says that the numbers are 0, 1, 2, .. without a gap or a
+    repeat and that no chunk is null; digests of a file that isn't are null.
+    """
+
+    def digest(file: OneFile) -> Iterator[tuple]:
+        plain, framed, size, n, whole = hashlib.sha256(), hashlib.sha256(), 0, 0, True
+        for at, chunk in file.numbered():
+            whole &= at == n and chunk is not None
+            n += 1
+            if whole:
+                size += len(chunk)
+                plain.update(chunk)
+                framed.update(struct.pack(">I", len(chunk)))
+                framed.update(chunk)
+        yield n, size if whole else None, plain.hexdigest() if whole else None, framed.hexdigest() if whole else None, whole
+
+    rows = in_file_order(chunks.select("file_id", "chunk_idx", F.col("chunk").cast("binary").alias("chunk")), "file_id")
+    return by_file(rows, digest, "n_chunks long, size long, sha256 string, frame_sha256 string, whole boolean")
+
+
+def verify_chunks(chunks: DataFrame, declared: DataFrame) -> DataFrame:
+    """``file_id, sha256, reason`` of each row of ``declared(file_id, chunks, sha256)``: the digest if chunks are as many as it says, without gaps, none failed, and the digest fits."""
+    found = chunk_digests(chunks).select("file_id", "n_chunks", "whole", F.col("sha256").alias("_found"))
+    x = declared.join(found, "file_id", "left")
+    ok = F.coalesce(F.col("whole") & (F.col("n_chunks") == F.col("chunks")) & (F.col("_found") == F.col("sha256")), F.lit(False))
+    return x.select("file_id", F.when(ok, F.col("_found")).alias("sha256"), F.when(~ok, "decryption_failed").alias("reason"))
+
+
+def verified_chunks(chunks: DataFrame, declared: DataFrame) -> DataFrame:
+    """The chunk rows of the files that verify, as they came: content of any size, without a row that holds a file."""
+    return chunks.join(verify_chunks(chunks, declared).filter("reason IS NULL").select("file_id"), "file_id", "left_semi")
 
 
 def reassemble(chunks: DataFrame, declared: DataFrame) -> DataFrame:
-    """``file_id, content, reason``: chunks in order, if as many as ``declared(file_id, chunks, sha256)`` says, without gaps, none failed, and the digest fits."""
-    got = chunks.groupBy("file_id").agg(
-        _joined().alias("content"), F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_idx").alias("kinds"), F.min("chunk_idx").alias("lo"), F.max("chunk_idx").alias("hi"), F.bool_and(F.col("chunk").isNotNull()).alias("whole")
-    )
-    x = declared.join(got, "file_id", "left")
-    ok = F.col("whole") & (F.col("n") == F.col("chunks")) & (F.col("kinds") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.sha2("content", 256) == F.col("sha256"))
-    ok = F.coalesce(ok, F.lit(False))
-    return x.select("file_id", F.when(ok, F.col("content")).alias("content"), F.when(~ok, "decryption_failed").alias("reason"))
+    """``file_id, content, reason``: the content of verified files in one row each, for files that fit one (see ``verified_chunks`` for others)."""
+    rows = F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("chunk").cast("binary").alias("x"))))
+    one = F.encode(F.array_join(F.transform(rows, lambda r: F.decode(r["x"], "ISO-8859-1")), ""), "ISO-8859-1")
+    verdict = verify_chunks(chunks, declared).select("file_id", "reason")
+    content = chunks.join(verdict.filter("reason IS NULL").select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(one.alias("content"))
+    return verdict.join(content, "file_id", "left").select("file_id", "content", "reason")
 
 
 def frame_digest(chunks: DataFrame) -> DataFrame:
-    """``file_id, digest``: SHA-256 over each chunk's length (4 bytes, big endian) and bytes, in order."""
-    framed = chunks.withColumn("frame", F.concat(F.unhex(F.lpad(F.hex(F.octet_length(F.col("chunk").cast("binary"))), 8, "0")), F.col("chunk").cast("binary")))
-    return framed.groupBy("file_id").agg(F.sha2(_joined("frame"), 256).alias("digest"))
+    """``file_id, digest``: SHA-256 over each chunk's length (4 bytes, big endian) and bytes, in order; null where chunks are missing, repeated or null."""
+    return chunk_digests(chunks).select("file_id", F.col("frame_sha256").alias("digest"))

@@ -1,6 +1,6 @@
 """Byte walkers: binary content becomes rows of entries, headers, segments and chunks. Policies over them are relational.
 
-Each is a generator from bytes to rows inside ``mapInArrow``. Walks are bounded, so that no file can hang a task, and
+Each is a generator from bytes to rows inside ``mapInArrow``; those that need no jumps take a file chunk by chunk. Walks are bounded, so that no file can hang a task, and
 stop at the first structure that can't be read, which is a row with a status instead of a failure.
 """
 
@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 from itertools import chain, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lookups
@@ -95,7 +96,67 @@ def _inflate(body: bytes, flags: int, method: int, comp: int, size: int, offset:
     return done, "ok" if inflater.eof or done > size else "corrupt"
 
 
-TAR = "entry_idx int, path string, uncomp_size long, typeflag string, checksum_ok boolean, helper boolean, head binary, size long"
+class Feed:
+    """A file's bytes as they arrive in chunks. What is read or skipped is let go, so no more than a chunk and a header is held.
+
+    Walks are generators over a feed: they yield rows, and None where they wait for the next chunk.
+    """
+
+    def __init__(self) -> None:
+        self.view, self.place, self.ended = memoryview(b""), 0, False
+
+    def put(self, chunk: bytes) -> None:
+        self.view = memoryview(chunk)
+
+    def read(self, n: int) -> Generator[None, None, bytes]:
+        """The next ``n`` bytes, or what is left of the file."""
+        parts = []
+        while n:
+            some = bytes(self.view[:n])
+            self.view, self.place, n = self.view[len(some) :], self.place + len(some), n - len(some)
+            parts.append(some)
+            if n:
+                if self.ended:
+                    break
+                yield
+        return b"".join(parts)
+
+    def skip(self, n: int) -> Generator[None, None, bool]:
+        """Passes ``n`` bytes over; False where the file ends before."""
+        while n > len(self.view):
+            n, self.place, self.view = n - len(self.view), self.place + len(self.view), memoryview(b"")
+            if self.ended:
+                return False
+            yield
+        self.view, self.place = self.view[n:], self.place + n
+        return True
+
+
+Walk = Callable[[Feed], Iterator[tuple | None]]
+
+
+def walked(walk: Walk, chunks: Iterable[bytes]) -> Iterator[tuple]:
+    """The rows of a walk over a file's chunks in order, each as soon as its bytes have come."""
+    feed = Feed()
+    rows = walk(feed)
+    for chunk in chunks:
+        feed.put(chunk)
+        for row in rows:
+            if row is None:
+                break
+            yield row
+        else:
+            return
+    feed.ended = True
+    yield from rows
+
+
+def whole(walk: Walk) -> Callable[[bytes], Iterator[tuple]]:
+    """A walk over whole content, with its length behind each row."""
+    return lambda body: ((*row, len(body)) for row in walked(walk, [body]))
+
+
+TAR = "entry_idx int, path string, uncomp_size long, typeflag string, checksum_ok boolean, helper boolean, head binary"
 
 
 def _octal(field: bytes) -> int | None:
@@ -104,14 +165,14 @@ def _octal(field: bytes) -> int | None:
     return int(digits, 8) if digits else None
 
 
-def tar_walk(body: bytes) -> Iterator[tuple]:
+def tar_walk(feed: Feed) -> Iterator[tuple | None]:
     """A row a header up to the first empty block, or to the first real entry beyond the limit; a wrong checksum ends the walk with its row.
 
-    A binary size beyond a long is the largest long.
+    A binary size beyond a long is the largest long. ``head`` holds the first bytes of an entry's data.
     """
-    p = real = 0
+    real = 0
     for i in count():
-        h = body[p : p + 512]
+        h = yield from feed.read(512)
         if len(h) < 512 or not any(h) or real > lookups.MAX_ENTRIES:
             return
         sum_field = h[:148] + b" " * 8 + h[156:]
@@ -121,81 +182,80 @@ def tar_walk(body: bytes) -> Iterator[tuple]:
         path = (prefix + b"/" + name if prefix and len(prefix) + len(name) < 255 else name).decode("utf-8", "replace")
         kind = chr(h[156]) if h[156] else "0"
         ok = _octal(h[148:156]) in (sum(sum_field), signed)
-        yield (i, path, size, kind, ok, kind in "xgLK", body[p + 512 : p + 512 + min(size, 262)], len(body))
+        head = yield from feed.read(min(size, 262))
+        yield (i, path, size, kind, ok, kind in "xgLK", head)
         if not ok:
             return
         real += kind not in "xgLK"
-        p += 512 + -(-size // 512) * 512
+        yield from feed.skip(-(-size // 512) * 512 - len(head))
 
 
-CHUNK = "chunk_idx int, chunk_type string, length long, offset long, end long, frames int, file_length long"
+CHUNK = "chunk_idx int, chunk_type string, length long, offset long, end long, frames int"
 
 
-def png_walk(body: bytes) -> Iterator[tuple]:
+def png_walk(feed: Feed) -> Iterator[tuple | None]:
     """A row a chunk; ``frames`` is an animation control chunk's frame count."""
-    if body[:8] != b"\x89PNG\r\n\x1a\n":
+    if (yield from feed.read(8)) != b"\x89PNG\r\n\x1a\n":
         return
-    p = 8
     for i in range(MOST_CHUNKS):
-        if p + 12 > len(body):
+        at = feed.place
+        h = yield from feed.read(8)
+        if len(h) < 8:
             return
-        length = struct.unpack(">I", body[p : p + 4])[0]
-        kind, end = body[p + 4 : p + 8].decode("latin-1"), p + 12 + length
-        if end > len(body):
+        length, kind = struct.unpack(">I", h[:4])[0], h[4:].decode("latin-1")
+        said = (yield from feed.read(4)) if kind == "acTL" and length == 8 else b""
+        if not (yield from feed.skip(length + 4 - len(said))):
             return
-        frames = struct.unpack(">I", body[p + 8 : p + 12])[0] if kind == "acTL" and length == 8 else 0
-        yield (i, kind, length, p, end, min(frames, 1 << 30), len(body))
+        yield (i, kind, length, at, feed.place, min(int.from_bytes(said, "big"), 1 << 30))
         if kind == "IEND":
             return
-        p = end
 
 
-def webp_walk(body: bytes) -> Iterator[tuple]:
+def webp_walk(feed: Feed) -> Iterator[tuple | None]:
     """A row a RIFF chunk; one of type ``RIFF`` first, whose end is where the header says the file ends."""
-    if len(body) < 12 or body[:4] != b"RIFF" or body[8:12] != b"WEBP":
+    h = yield from feed.read(12)
+    if len(h) < 12 or h[:4] != b"RIFF" or h[8:] != b"WEBP":
         return
-    said = struct.unpack("<I", body[4:8])[0]
-    yield (0, "RIFF", said, 0, said + 8, 0, len(body))
-    p = 12
+    said = struct.unpack("<I", h[4:8])[0]
+    yield (0, "RIFF", said, 0, said + 8, 0)
     for i in range(1, MOST_CHUNKS):
-        if p + 8 > len(body):
+        at = feed.place
+        h = yield from feed.read(8)
+        if len(h) < 8:
             return
-        length = struct.unpack("<I", body[p + 4 : p + 8])[0]
-        end = p + 8 + length + (length & 1)
-        if end > len(body):
+        length = struct.unpack("<I", h[4:])[0]
+        if not (yield from feed.skip(length + (length & 1))):
             return
-        yield (i, body[p : p + 4].decode("latin-1"), length, p, end, 0, len(body))
-        p = end
+        yield (i, h[:4].decode("latin-1"), length, at, feed.place, 0)
 
 
-def gif_walk(body: bytes) -> Iterator[tuple]:
+def gif_walk(feed: Feed) -> Iterator[tuple | None]:
     """A row a block: ``image``, ``extension`` and at last ``trailer``."""
-    if body[:6] not in (b"GIF87a", b"GIF89a") or len(body) < 13:
+    h = yield from feed.read(13)
+    if len(h) < 13 or h[:6] not in (b"GIF87a", b"GIF89a"):
         return
-    p = 13 + (3 * 2 ** ((body[10] & 7) + 1) if body[10] & 0x80 else 0)
-
-    def blocks(q: int) -> int:
-        while q < len(body) and body[q]:
-            q += body[q] + 1
-        return q + 1
-
+    table = lambda flags: 3 * 2 ** ((flags & 7) + 1) if flags & 0x80 else 0
+    yield from feed.skip(table(h[10]))
     for i in range(MOST_BLOCKS):
-        if p >= len(body):
-            return
-        if body[p] == 0x3B:
-            yield (i, "trailer", 1, p, p + 1, 0, len(body))
+        at = feed.place
+        first = yield from feed.read(1)
+        if first == b";":
+            yield (i, "trailer", 1, at, at + 1, 0)
             return
-        if body[p] == 0x21:
-            end, kind = blocks(p + 2), "extension"
-        elif body[p] == 0x2C and p + 10 <= len(body):
-            local = 3 * 2 ** ((body[p + 9] & 7) + 1) if body[p + 9] & 0x80 else 0
-            end, kind = blocks(p + 10 + local + 1), "image"
+        if first == b"!":
+            kind, before = "extension", 1
+        elif first == b"," and len(head := (yield from feed.read(9))) == 9:
+            kind, before = "image", table(head[8]) + 1
         else:
             return
-        if end > len(body):
+        if not (yield from feed.skip(before)):
             return
-        yield (i, kind, end - p, p, end, 0, len(body))
-        p = end
+        while (n := (yield from feed.read(1))) not in (b"", b"\0"):
+            if not (yield from feed.skip(n[0])):
+                return
+        if not n:
+            return
+        yield (i, kind, feed.place - at, at, feed.place, 0)
 
 
 SEGMENT = "seg_idx int, marker int, length int, width int, height int, status string"
@@ -229,7 +289,7 @@ def zip_entries(files: DataFrame, **how) -> DataFrame:
 
 
 def tar_entries(files: DataFrame, **how) -> DataFrame:
-    return explode_bytes(files, tar_walk, TAR, **how)
+    return explode_bytes(files, whole(tar_walk), f"{TAR}, size long", **how)
 
 
 def jpeg_dimensions(files: DataFrame, key: str = "file_id", content: str = "content") -> DataFrame:
@@ -243,9 +303,89 @@ _IMAGES = {"png": png_walk, "webp": webp_walk, "gif": gif_walk}
 
 def _image_walk(body: bytes) -> Iterator[tuple]:
     """Whichever of the walks knows the first bytes."""
-    return chain.from_iterable(walk(body) for walk in _IMAGES.values())
+    return chain.from_iterable(whole(walk)(body) for walk in _IMAGES.values())
 
 
 def image_chunks(files: DataFrame, kind: str | None = None, **how) -> DataFrame:
     """Chunks or blocks of PNG, WebP or GIF files: of the named kind, else of the kind that a file's first bytes tell."""
-    return explode_bytes(files, _IMAGES[kind] if kind else _image_walk, CHUNK, **how)
+    return explode_bytes(files, whole(_IMAGES[kind]) if kind else _image_walk, f"{CHUNK}, file_length long", **how)
+
+
+_WALKS = {"tar": (tar_walk, TAR, "size"), **{k: (w, CHUNK, "file_length") for k, w in _IMAGES.items()}}
+
+
+def walk_chunks(chunks: DataFrame, kind: str, key: str = "file_id", chunk: str = "chunk") -> DataFrame:
+    """What ``tar_entries`` or ``image_chunks`` of a ``kind`` give, for files of any size in rows ``key, chunk_idx, chunk``.
+
+    A file's chunks meet in one task in order, and its walk takes them one by one: a task holds a batch of chunks, never a file. Numbers of chunks
+    may have gaps, and null and empty chunks hold nothing; ``integrity.chunk_digests`` tells whether a file is whole.
+    """
+    walk, schema, size = _WALKS[kind]
+    rows = in_file_order(chunks.select(key, "chunk_idx", F.col(chunk).cast("binary").alias("chunk"), F.sum(F.coalesce(F.octet_length(chunk), F.lit(0))).over(W.partitionBy(key)).alias("_size")), key)
+    return by_file(rows, lambda file: ((*row, file.size) for row in walked(walk, file)), f"{schema}, {size} long", key)
+
+
+class OneFile:
+    """The chunks of one file of a task's sorted rows, as they come."""
+
+    def __init__(self, key, size: int | None, rows: Iterator[tuple]) -> None:
+        self.key, self.size, self.rows, self.next = key, size, rows, None
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (chunk or b"" for _, chunk in self.numbered())
+
+    def numbered(self) -> Iterator[tuple[int, bytes | None]]:
+        """Numbers and chunks; goes on where an earlier call was left."""
+        for row in self.rows if self.next is None else ():
+            if row[0] != self.key:
+                self.next = row
+                return
+            yield row[1], row[2]
+
+
+def in_file_order(chunks: DataFrame, key: str) -> DataFrame:
+    """A file's chunks in one task, by number. Files are dealt by their key: large files cost one task each, as what is read in order must."""
+    return chunks.repartition(key).sortWithinPartitions(key, "chunk_idx")
+
+
+def by_file(rows: DataFrame, walk: Callable[[OneFile], Iterator[tuple]], schema: str, key: str = "file_id") -> DataFrame:
+    """``key`` and a row for each tuple that ``walk`` yields of a file. ``rows(key, chunk_idx, chunk, ..)`` are sorted by file and number; batches are held one at a time."""
+    kind = rows.schema[key].dataType.simpleString()
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        batches = iter(batches)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        key_type = first.column(0).type
+
+        def flushed() -> pa.RecordBatch:
+            columns = list(zip(*made, strict=True))
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(columns[0]), key_type), *(pa.array(list(c), types[t]) for c, (_, t) in zip(columns[1:], fields, strict=True))], [key, *(n for n, _ in fields)])
+
+        def each() -> Iterator[tuple]:
+            for b in chain([first], batches):
+                keys, at, chunks = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+                size = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+                for i, k in enumerate(keys):
+                    yield k, at[i], chunks[i].as_py(), size[i]
+
+        rows = each()
+        row = next(rows)
+        while row is not None:
+            file = OneFile(row[0], row[3], chain([row], rows))
+            for out in walk(file):
+                made.append((file.key, *out))
+                if len(made) >= 1000:
+                    yield flushed()
+            for _ in file.numbered():  # what the walk left
+                pass
+            row = file.next
+        if made:
+            yield flushed()
+
+    return rows.mapInArrow(job, f"{key} {kind}, {schema}")

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..operators import archive as V
 from ..operators import audit as U
 from ..operators import image as G
+from ..operators import integrity as I
 from ..operators import walkers as X
+from ..sources import chunks as K
 from ..sources import files as Q
 from ..streaming import streams as S
-from .base import query
+from .base import SQL, query
 from .q_content import HMAC, KEY
 from .q_log import AUDIT, CANON, REPLAY, ZEROS, load_requests, log
 from .q_stream import drained, folder
@@ -79,6 +81,13 @@ def arc_2(spark, sf_dir):
     return X.tar_entries(wrapped(spark, sf_dir, _tar)).select("file_id", "entry_idx", "path", "uncomp_size", "checksum_ok", "helper")
 
 
+@query("arc_13_tar_chunks", SQL["arc_2_tar_entries"])
+def arc_13(spark, sf_dir):
+    """The same tars in chunk rows of 700 bytes, which cut headers, walked without a row that holds an archive."""
+    chunks = I.split_chunks(wrapped(spark, sf_dir, _tar), size=700)
+    return X.walk_chunks(chunks, "tar").select("file_id", "entry_idx", "path", "uncomp_size", "checksum_ok", "helper")
+
+
 @query("img_3_jpeg_dimensions", """SELECT doc_id AS file_id, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 60000 END::INT AS width, CASE WHEN doc_id % 7 <> 0 THEN strlen(coalesce(text, '')) % 60000 END::INT AS height
 FROM documents""")
 def img_3(spark, sf_dir):
@@ -96,6 +105,13 @@ def img_4(spark, sf_dir):
     return X.image_chunks(wrapped(spark, sf_dir, _png), "png").select("file_id", "chunk_idx", "chunk_type", "length", "end")
 
 
+@query("img_11_png_in_chunks", SQL["img_4_image_chunks"])
+def img_11(spark, sf_dir):
+    """The same pictures in chunk rows of 50 bytes."""
+    chunks = I.split_chunks(wrapped(spark, sf_dir, _png), size=50)
+    return X.walk_chunks(chunks, "png").select("file_id", "chunk_idx", "chunk_type", "length", "end")
+
+
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
 
@@ -205,12 +221,38 @@ def arc_12(spark, sf_dir):
 @query("src_1_read_files", "SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(*) FILTER (strlen(text) > 20000) AS too_large FROM (SELECT coalesce(lang, 'none') AS lang, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY ALL) GROUP BY lang")
 def src_1(spark, sf_dir):
     """A file a language, with its documents as lines, read whole unless it is too large."""
+    path = languages(spark, sf_dir)
+    got = Q.read_files(spark, path, max_bytes=20_000, glob="*.txt")
+    return got.groupBy(_lang().alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("reason").isNotNull() & F.col("content").isNull()).alias("too_large"))
+
+
+LANGS = """WITH t AS (SELECT coalesce(lang, 'none') AS lang, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY ALL), h AS (SELECT lang, hex(encode(text)) AS hex, strlen(text) AS n FROM t)"""
+
+
+def languages(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file a language, which holds its documents as lines."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
     path = f"{folder(spark)}/files"
     docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
-    got = Q.read_files(spark, path, max_bytes=20_000, glob="*.txt")
-    lang = F.regexp_extract("path", "lang=([^/]*)", 1)
-    return got.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("reason").isNotNull() & F.col("content").isNull()).alias("too_large"))
+    return path
+
+
+def _lang():
+    return F.regexp_extract("path", "lang=([^/]*)", 1)
+
+
+@query("src_5_read_chunks", f"{LANGS} SELECT lang, i AS chunk_idx, i * 1000 AS \"offset\", n AS file_length, sha256(unhex(substr(hex, i * 2000 + 1, 2000))) AS chunk_sha256 FROM h, LATERAL (SELECT unnest(range(0, CAST(ceil(n / 1000.0) AS BIGINT))) AS i)")
+def src_5(spark, sf_dir):
+    """The files in chunks of 1000 bytes, twenty a partition: every file is read by many tasks."""
+    rows = K.read_chunks(spark, languages(spark, sf_dir), chunk=1000, range_bytes=20_000, glob="*.txt")
+    return rows.select(_lang().alias("lang"), "chunk_idx", "offset", "file_length", F.sha2("chunk", 256).alias("chunk_sha256"))
+
+
+@query("int_8_file_digests", f"{LANGS} SELECT lang, n AS size, CAST(ceil(n / 1000.0) AS BIGINT) AS n_chunks, sha256(unhex(hex)) AS sha256 FROM h")
+def int_8(spark, sf_dir):
+    """The files' digests from chunk rows that many tasks read."""
+    rows = K.read_chunks(spark, languages(spark, sf_dir), chunk=1000, range_bytes=20_000, glob="*.txt")
+    return I.chunk_digests(rows.select(_lang().alias("file_id"), "chunk_idx", "chunk")).select(F.col("file_id").alias("lang"), "size", "n_chunks", "sha256")
 
 
 @query("src_3_read_type_registry", """SELECT 'x' || s AS ext, 'type' || (s % 3) AS type, 'text/x-' || s AS mime, CASE WHEN s % 2 = 0 THEN 'archive' ELSE '' END AS scan, s % 5 = 0 AS zip_based

@@ -161,14 +161,14 @@ def test_long_walks():
     """Many helper headers before an entry, and many segments before a frame header."""
     helper, entry = tarfile.TarInfo("h"), tarfile.TarInfo("../x")
     helper.type = b"x"
-    rows = list(X.tar_walk(helper.tobuf(tarfile.USTAR_FORMAT) * 9000 + entry.tobuf(tarfile.USTAR_FORMAT)))
+    rows = list(X.whole(X.tar_walk)(helper.tobuf(tarfile.USTAR_FORMAT) * 9000 + entry.tobuf(tarfile.USTAR_FORMAT)))
     assert len(rows) == 9001 and rows[-1][1] == "../x" and not rows[-1][5] and all(r[4] for r in rows)
     negative = bytearray(helper.tobuf(tarfile.USTAR_FORMAT))
     negative[124:136], negative[148:156] = b"-0000001000\0", b" " * 8
     negative[148:156] = b"%06o\0 " % sum(negative)
-    assert [r[2] for r in X.tar_walk(bytes(negative))] == [0]
+    assert [r[2] for r in X.whole(X.tar_walk)(bytes(negative))] == [0]
     frame = b"\xff\xc0" + struct.pack(">HBHHB", 8, 8, 7, 9, 0)
-    assert list(X.jpeg_walk(b"\xff\xd8" + b"\xff\xfe\0\2" * 5000 + frame))[-1] == (5000, 0xC0, 8, 9, 7)
+    assert list(X.jpeg_walk(b"\xff\xd8" + b"\xff\xfe\0\2" * 5000 + frame))[-1] == (5000, 0xC0, 8, 9, 7, "frame")
 
 
 def test_markup(spark):
