@@ -21,7 +21,7 @@ def _occurs(content: Column, rule: Rule) -> Column:
         return content.contains(pattern)
     if kind == "regex":
         return content.rlike(pattern)
-    return F.position(F.lit(bytes.fromhex(pattern)).cast("string"), content) > 0
+    return content.contains(F.lit(bytes.fromhex(pattern)).cast("string"))  # byte by byte, within characters too
 
 
 def match_rules(files: DataFrame, rules: list[Rule], key: str = "file_id", content: str = "content") -> DataFrame:
@@ -87,21 +87,6 @@ def size_cap_by_chunk(chunks: DataFrame, cap: int = lookups.STREAM_CAP, size: st
     return run.groupBy("file_id").agg(F.coalesce(F.max(F.when(F.col("_sum") <= cap, F.col("_sum"))), F.lit(0)).alias("scanned"), F.max(F.col("_sum") > cap).alias("oversize"))
 
 
-def scan_chunks(chunks: DataFrame, literals: list[tuple[str, str]], chunk: str = "chunk") -> DataFrame:
-    """``file_id, rule_id`` of literals found in content that arrives in chunks, across their edges too.
-
-    Each chunk is read with the end of those before it, as long as the longest literal less one; chunks may be shorter
-    than that. Empty and null chunks hold nothing.
-    """
-    reach = max((len(p) for _, p in literals), default=1) - 1
-    some = chunks.filter(F.length(chunk) > 0)
-    w = W.partitionBy("file_id").orderBy("chunk_idx").rowsBetween(-reach, -1)
-    tail = F.right(F.array_join(F.collect_list(F.right(F.col(chunk), F.lit(reach))).over(w), ""), F.lit(reach)) if reach else F.lit("")
-    text = some.select("file_id", F.concat(tail, chunk).alias("_text"))
-    hits = F.array_compact(F.array(*(F.when(F.col("_text").contains(p), F.lit(name)) for name, p in literals)))
-    return text.select("file_id", F.explode(hits).alias("rule_id")).distinct()
-
-
 def prefilter(content: Column, rules: list[Rule]) -> Column:
     """Whether any literal or regular-expression rule can occur: one alternation for all."""
     parts = [re.escape(p) if kind == "literal" else f"(?:{p})" for _, _, kind, p in rules if kind != "hex"]

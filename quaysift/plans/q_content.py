@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import lookups
@@ -9,6 +10,7 @@ from ..functions import checks as C
 from ..operators import integrity as I
 from ..operators import markup as K
 from ..operators import matching as M
+from ..operators import rules as R
 from .q_admission import FILES
 from .base import query
 from .views import duck, table
@@ -87,9 +89,28 @@ def mat_6(spark, sf_dir):
     return M.size_cap_by_chunk(x, 5000)
 
 
-@query("mat_7_scan_chunks", f"{FILES} SELECT file_id, r AS rule_id FROM f, (VALUES ('has_und', ' und '), ('has_que', ' que '), ('has_the', ' the ')) v(r, p) WHERE contains(content, p)")
+@query("mat_7_scan_chunks", f"{HITS} SELECT file_id, ordinal, rule_id FROM hits")
 def mat_7(spark, sf_dir):
-    return M.scan_chunks(table(spark, sf_dir, "v_chunks"), [(r[1], r[3]) for r in lookups.RULES if r[2] == "literal"])
+    """All kinds of rules over texts in chunks of 1000 characters, across their edges."""
+    return R.scan_chunks(table(spark, sf_dir, "v_chunks"), lookups.RULES)
+
+
+PHRASES = """WITH b AS (SELECT item_id, (row_number() OVER (ORDER BY item_id, text) - 1)::INT AS ordinal, text AS t FROM benchmark WHERE length(text) >= 60),
+p AS (SELECT ordinal, 'item_' || item_id AS rule_id, ordinal % 3 AS k, CASE WHEN ordinal % 3 = 1 THEN substring(t, 5, 12) ELSE substring(t, 5, 40) END AS lit FROM b)"""
+
+
+@query("mat_8_many_rules", f"""{PHRASES} SELECT doc_id AS file_id, ordinal, rule_id FROM documents JOIN p ON CASE WHEN k = 1 THEN regexp_matches(text, replace(replace(regexp_replace(lit, '[^a-zA-Z0-9 ]', '.', 'g'), ' ', ' +'), '.', '[^\n]'))
+  ELSE contains(text, lit) END""")
+def mat_8(spark, sf_dir):
+    """Documents by rules from a table: a phrase of each benchmark item, as it is, in hex, or as an expression that lets spaces repeat."""
+    t, n = F.col("text"), F.col("ordinal") % 3
+    items = table(spark, sf_dir, "benchmark").filter(F.length("text") >= 60)
+    items = items.withColumn("ordinal", F.row_number().over(Window.orderBy("item_id", "text")) - 1)  # rules are few
+    loose = F.replace(F.replace(F.regexp_replace(F.substring("text", 5, 12), "[^a-zA-Z0-9 ]", "."), F.lit(" "), F.lit(" +")), F.lit("."), F.lit("[^\n]"))
+    phrase = F.substring("text", 5, 40)
+    rules = items.select("ordinal", F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule_id"), F.when(n == 1, "regex").when(n == 2, "hex").otherwise("literal").alias("kind"),
+        F.when(n == 1, loose).when(n == 2, F.hex(phrase.cast("binary"))).otherwise(phrase).alias("pattern"))
+    return R.match_many(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), t.alias("content")), rules)
 
 
 MARKED = "SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN chr(65279) WHEN doc_id % 4 = 0 THEN chr(65279) || text ELSE text END AS t FROM documents"

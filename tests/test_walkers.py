@@ -223,11 +223,11 @@ def test_rules_are_the_engines_own(spark, tmp_path):
 
 def test_short_chunks(spark):
     """A literal over many chunks, empty ones among them."""
-    from quaysift.operators import matching as M
+    from quaysift.operators import rules as M
 
     rows = [("f", i, c) for i, c in enumerate(["x", "a", "", None, "b", "c", "d", "e"])] + [("g", 0, "abcd"), ("h", 0, "ab")]
-    got = M.scan_chunks(spark.createDataFrame(rows, "file_id string, chunk_idx int, chunk string"), [("all", "abcde"), ("some", "bcd")])
-    assert {tuple(r) for r in got.collect()} == {("f", "all"), ("f", "some"), ("g", "some")}
+    got = M.scan_chunks(spark.createDataFrame(rows, "file_id string, chunk_idx int, chunk string"), [(0, "all", "literal", "abcde"), (1, "some", "literal", "bcd")])
+    assert {(r["file_id"], r["rule_id"]) for r in got.collect()} == {("f", "all"), ("f", "some"), ("g", "some")}
 
 
 def test_converter_outcomes(spark):
