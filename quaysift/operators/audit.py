@@ -7,12 +7,13 @@ import hmac
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.checks import hmac_sha256
+from ..sources.chunks import read_chunks
 
 GENESIS = "0" * 64
 CANONICAL = ["duration_ms", "log_date", "plaintext_sha256", "prev", "reason", "seq", "ts", "user_id", "verdict"]
@@ -144,6 +145,27 @@ def chain_tail(lines: DataFrame) -> DataFrame:
     return x.select("log_date", F.when(good, F.greatest(F.col("r.seq") + 1, F.lit(0))).otherwise(0).alias("seq"), F.when(good, F.col("r.sig")).otherwise(GENESIS).alias("sig"))
 
 
+#: Bytes at the end of a log file that are read to find its last line; a line is far shorter.
+TAIL_BYTES = 1 << 16
+
+
+def log_tails(spark: SparkSession, path: str, tail: int = TAIL_BYTES) -> DataFrame:
+    """``log_date, seq, sig`` to go on from, of a log that ``write_audit`` wrote: ``chain_tail`` from the end of each day's files.
+
+    Files' lengths are listed, and of each only the last ``tail`` to twice as many bytes are read, however long a day is. Of a day's files the one with the highest
+    number in its last line counts. A line that isn't ended yet doesn't count, and a file without a whole line in its tail has none.
+    """
+    ends = read_chunks(spark, path, chunk=tail, range_bytes=tail, max_bytes=1 << 62, glob="*.json", last=2)
+    text = ends.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk"))), lambda r: F.decode(r["chunk"], "ISO-8859-1")), "").alias("text"), F.min("offset").alias("from"))
+    lines = F.slice(F.split("text", "\n"), F.when(F.col("from") > 0, 2).otherwise(1), F.lit(1 << 30))  # the first may be cut
+    whole = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))  # behind the last end of line stands nothing, or what isn't ended
+    last = text.select(F.regexp_extract("path", "log_date=([^/]*)", 1).alias("log_date"), "path", F.get(whole, F.size(whole) - 1).alias("line"))
+    number = F.coalesce(F.get_json_object("line", "$.seq").cast("long"), F.lit(-1))
+    # in the order of their numbers, so that the last line of the day is the last of all
+    rows = last.select("log_date", number.alias("line_no"), F.decode(F.encode("line", "ISO-8859-1"), "UTF-8").alias("line"), F.col("line").isNotNull().alias("complete"))
+    return chain_tail(rows)
+
+
 def failure_rows(log: DataFrame) -> DataFrame:
     """Early failures as audit fields: those of requests that weren't parsed have neither digest nor user."""
     early = log.filter("verdict = 'error' AND reason <> 'scanner_busy'")

@@ -54,6 +54,45 @@ def match_digests(files: DataFrame, blocklist: DataFrame, content: str = "conten
     return files.withColumn("digest", F.sha2(F.col(content).cast("binary"), 256)).join(one, "digest", "left")
 
 
+#: Digests of a list that is broadcast as it is; bits of a filter for each digest of a longer one, and most bits of a filter.
+BROADCAST_DIGESTS, BITS_EACH, MOST_BITS = 100_000, 16, 1 << 29
+_BUCKET = 1 << 15  # bits of a filter's row
+
+
+def _bit(digest: Column, bits: int) -> Column:
+    """Where a filter has a digest's bit: its first 60 bits, modulo."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % bits
+
+
+def digest_filter(blocklist: DataFrame, bits: int) -> DataFrame:
+    """``_bucket, _bits``: which bits of ``blocklist(digest, ..)`` are set, 4 KB a row; at most ``bits / 8`` bytes in all."""
+    at = blocklist.select(_bit(F.col("digest"), bits).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / _BUCKET).alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(at % {_BUCKET})").alias("_bits"))
+
+
+def digest_hits(files: DataFrame, blocklist: DataFrame, key: str = "file_id", content: str = "content", few: int = BROADCAST_DIGESTS) -> DataFrame:
+    """``key, digest, signature`` of all rows, as ``match_digests`` tells them, for a list ``digest, signature`` of any size; content stays where it is.
+
+    Up to ``few`` digests are broadcast. A longer list becomes a filter of one bit in ``BITS_EACH`` (broadcast, 64 MB at most): files that it rules out go
+    straight through, and only the others, the list's own and some six in a hundred more, are shuffled to be joined, by key and digest alone. Null content has no digest and no signature.
+    """
+    digests = files.select(F.col(key).alias("_key"), F.lower(F.sha2(F.col(content).cast("binary"), 256)).alias("digest"))
+    one = blocklist.filter(F.col("digest").isNotNull()).groupBy(F.lower("digest").alias("digest")).agg(F.min("signature").alias("signature"))
+    n = one.count()
+    if n <= few:
+        found = digests.join(F.broadcast(one), "digest", "left")
+    else:
+        bits = min(MOST_BITS, max(_BUCKET, 1 << (n * BITS_EACH - 1).bit_length()))
+        at = digests.withColumn("_at", _bit(F.col("digest"), bits))
+        tried = at.join(F.broadcast(digest_filter(one, bits)), F.floor(F.col("_at") / _BUCKET) == F.col("_bucket"), "left")
+        byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") % _BUCKET / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        may = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+        tried = tried.select("_key", "digest", may.alias("_may"))
+        passed = tried.filter(~F.col("_may")).select("_key", "digest", F.lit(None).cast("string").alias("signature"))
+        found = tried.filter("_may").drop("_may").join(one.hint("shuffle_hash"), "digest", "left").select("_key", "digest", "signature").unionByName(passed)
+    return found.select(F.col("_key").alias(key), "digest", "signature")
+
+
 def parse_av_reply(line: Column) -> Column:
     """``struct(verdict, signature)`` of a scanner's reply line."""
     found = line.contains(" FOUND")

@@ -292,6 +292,14 @@ def snk_2(spark, sf_dir):
     return back.groupBy(F.col("log_date").cast("string").alias("log_date")).agg(F.count(F.lit(1)).alias("records"), F.max("seq").alias("last_seq"), F.sum("duration_ms").alias("total_ms"))
 
 
+@query("aud_6_log_tails", f"{AUDIT} SELECT log_date, max(seq) + 1 AS seq, sha256('' || max(seq)) AS sig FROM a GROUP BY log_date")
+def aud_6(spark, sf_dir):
+    """The tails of the audit log, written a folder a day, from the ends of its files."""
+    path = f"{folder(spark)}/audit"
+    Q.write_audit(U.audit_rows(log(spark, sf_dir)).withColumn("sig", F.sha2(F.col("seq").cast("string"), 256)), path)
+    return U.log_tails(spark, path, tail=1000)
+
+
 LIVE = f"""{AUDIT.replace('WITH s AS', 'WITH RECURSIVE s AS')}, b AS (SELECT * EXCLUDE (seq), row_number() OVER (PARTITION BY log_date ORDER BY ts, plaintext_sha256) - 1 AS seq FROM a), chain AS (
   SELECT b.log_date, b.seq, {ZEROS} AS prev, {HMAC.format(m=CANON.format(a='b.', p=ZEROS))} AS sig FROM b WHERE seq = 0
   UNION ALL SELECT b.log_date, b.seq, c.sig, {HMAC.format(m=CANON.format(a='b.', p='c.sig'))} FROM chain c JOIN b ON b.log_date = c.log_date AND b.seq = c.seq + 1)"""

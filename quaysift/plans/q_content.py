@@ -54,7 +54,15 @@ def mat_2(spark, sf_dir):
 def mat_3(spark, sf_dir):
     listed = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("i"))
     listed = listed.select("digest", F.concat(F.lit("sig"), F.col("i").cast("string")).alias("signature"))
-    return M.match_digests(files(spark, sf_dir), listed).select("file_id", "signature")
+    return M.digest_hits(files(spark, sf_dir), listed).select("file_id", "signature")
+
+
+@query("mat_9_digest_filter", f"{FILES}, bl AS (SELECT sha256(text) AS digest, 'sig' || min(doc_id) AS signature FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT file_id, signature FROM f LEFT JOIN bl ON sha256(content) = digest")
+def mat_9(spark, sf_dir):
+    """A list of half of all digests, which is taken to be too long to broadcast: by way of the filter."""
+    listed = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("i"))
+    listed = listed.select("digest", F.concat(F.lit("sig"), F.col("i").cast("string")).alias("signature"))
+    return M.digest_hits(files(spark, sf_dir), listed, few=0).select("file_id", "signature")
 
 
 REPLY = "CASE event_id % 6 WHEN 0 THEN 'stream:  Sig.' || event_id || ' FOUND' WHEN 1 THEN 'stream: OK' WHEN 2 THEN 'INSTREAM size limit exceeded. ERROR' WHEN 3 THEN '' WHEN 4 THEN 'No colon FOUND' ELSE 'what' END"
