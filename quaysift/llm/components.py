@@ -11,8 +11,8 @@ from .shared import written
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``; the label is the smallest node reachable.
 
-    Each round takes the least label among a node's neighbours (partial aggregation, so a hub's links
-    never meet in one task), then jumps to the label's own label; rounds are of the order of the log of the longest
+    Each round takes the least label among a node's neighbours (partial aggregation), then jumps to the label's own label. Hubs and labels of
+    large components are hot keys of plain joins of narrow rows, whose partitions Spark's skew handling splits (``spark.sql.adaptive.skewJoin``); rounds are of the order of the log of the longest
     chain. ``labels`` from an earlier, smaller edge list shorten that.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")

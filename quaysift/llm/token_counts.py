@@ -68,25 +68,44 @@ def _hash(units: pa.Array) -> np.ndarray:
     return mix(spans(sums(data), at[:-1], at[1:]))
 
 
-#: Last and first characters next to which a single space surely ends one pre-token and begins the next.
+#: ASCII characters next to which a single space surely ends one pre-token and begins the next.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
 
+def _blank(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where white space and controls beyond ASCII begin, and where they end; some format characters beside them count too."""
+    two, three = (np.zeros(len(data), bool) for _ in range(2))
+    at = np.flatnonzero(data[:-1] == 0xC2)  # next line, no-break space
+    two[at[data[at + 1] <= 0xA0]] = True
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3))
+    lead, b, c = data[at], data[at + 1], data[at + 2]
+    ogham = (lead == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))
+    general = (lead == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | (c >= 0xA8) & (c <= 0xAF))) | ((b == 0x81) & (c >= 0x9F) & (c <= 0xAF)))
+    three[at[ogham | general | ((lead == 0xE3) & (b == 0x80) & (c == 0x80))]] = True
+    ends = np.zeros(len(data), bool)
+    ends[1:] |= two[:-1]
+    ends[2:] |= three[:-2]
+    return two | three, ends
+
+
 def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Cut texts where a single space stands between two printable ASCII characters.
+    """Cut texts where a single space stands between two characters of any script that are neither white space nor controls.
 
     Byte-level pre-tokenisation takes such a space into the pre-token that follows it, and none crosses it,
     so the counts of the units add up to the text's. Returns the distinct units, the unit number of each
-    piece and its row. Where no cut is sure (other white space, other scripts), the text stays in one unit.
+    piece and its row. Where no cut is sure (other white space, scripts without spaces), the text stays in one unit.
     """
     texts = texts.cast(pa.large_string())
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data, at = data[at[0] : at[-1]], at - at[0]
-    plain = _PLAIN[data]
+    before = after = _PLAIN[data]
+    if len(data) and data.max() > 127:
+        begins, ends = _blank(data)
+        before, after = before | (data > 127) & ~ends, after | (data > 127) & ~begins
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-2] = (data[1:-1] == 32) & plain[:-2] & plain[2:] if len(data) > 2 else False
+    cut[1:-2] = (data[1:-1] == 32) & before[:-2] & after[2:] if len(data) > 2 else False
     inside = np.zeros(len(data) + 1, bool)
     inside[at] = True  # a text's own ends are cuts too; a space beside them stands next to another text
     edge = at[(at > 0) & (at < len(data))]

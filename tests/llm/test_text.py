@@ -31,6 +31,26 @@ def test_tokens(spark, sf):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_units_of_all_scripts():
+    """Cuts beside any character but white space: units add up to what the library counts, and prose in scripts with spaces comes in short units."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    r = random.Random(3)
+    bits = ["слово", "λόγος", "शब्द", "كلمة", "日本", "é", "a", "\u00a0", "\u0085", "\u2003", "\u2028", "\u3000", "\u1680", "\u180e", "\u200b", "\u202f", "\u205f", "\ufeff", "“", "—", "'s", "😀", "1", "<|endoftext|>", "  ", "\n", "\u0600", "\x1f"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    units, number, row = token_counts._units(pa.array(texts))
+    each = token_counts._lengths(path, units.to_pylist())
+    assert np.bincount(row, weights=each[number], minlength=len(texts)).astype(int).tolist() == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    for words in ("и в не на что слово человека".split(), "και το της λόγος άνθρωπος".split(), "और शब्द मनुष्य के लिए".split(), "في من كلمة الإنسان على".split()):
+        text = " ".join(r.choice(words) for _ in range(3000))
+        units, number, _ = token_counts._units(pa.array([text]))
+        sizes = np.array([len(u.encode()) for u in units.to_pylist()])[number]
+        assert sizes[sizes <= 64].sum() >= 0.9 * sizes.sum() and len(units) < 20
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     got = language_id.op3_language_id(spark, BIG).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
