@@ -5,6 +5,7 @@ one content-chosen anchor (``anchors``), and the shard goes to the task that hol
 instead of to all. There, texts stream through the automaton of those before them: their matching
 statistics give the maximal spans that reach the length threshold; then they extend the automaton. Items are
 words together with their distance from the anchor, so that a match is at the same place of both.
+Copies whose whole surroundings are equal (by a 128-bit key) are covered before, without an automaton.
 """
 
 from __future__ import annotations

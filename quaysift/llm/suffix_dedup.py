@@ -4,7 +4,8 @@ Spark deals the suffixes out by a content-chosen anchor that they begin with (``
 occurrences of a long string meet. Within an anchor the suffixes are sorted, and a stack scan over the common
 prefixes of neighbours yields the intervals of suffixes that share r bytes. The same scan over what stands to
 the left of an interval's members, read backwards, splits it where left extensions differ. Each such node is
-a maximal repeat of ``left + r`` bytes with all its occurrences.
+a maximal repeat of ``left + r`` bytes. Occurrences whose whole surroundings are equal (by a 128-bit key) are merged before and count as the first of them,
+and an anchor with more than ``anchors.CLASSES`` different surroundings has its windows hashed and counted instead.
 """
 
 from __future__ import annotations
