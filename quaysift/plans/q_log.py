@@ -60,7 +60,9 @@ def ver_5(spark, sf_dir):
     i, ms = F.col("file_id"), F.col("file_id") % 61 * 10_000
     archives = QUERIES["arc_11_archive_verdict"](spark, sf_dir).select(F.col("archive_id").alias("file_id"), F.struct("verdict", "reason").alias("archive"))
     images = QUERIES["img_7_image_policy"](spark, sf_dir).select("file_id", F.struct("verdict", "reason").alias("image"))
-    x = admitted(spark, sf_dir).join(QUERIES["mat_2_first_match"](spark, sf_dir), "file_id", "left").join(archives, "file_id", "left").join(images, "file_id", "left")
+    # rules are looked for where the content is; what is joined has but its length's mark
+    x = admitted(spark, sf_dir).withColumn("rule_id", M.first_rule(F.col("content"), lookups.RULES)).withColumn("content", F.when(F.octet_length("content") == 0, "").otherwise("full"))
+    x = x.select("file_id", "category", "reason", "rule_id", "content").join(archives, "file_id", "left").join(images, "file_id", "left")
     code = F.when(F.col("image.verdict") == "rejected", 2).when(F.col("image.verdict") == "sanitized", 1).when(F.col("image.verdict") == "error", 3).otherwise(0)
     raster, text = F.col("category") == "RASTER", F.col("category") == "TEXT"
     stages = inspected() | {
