@@ -1,26 +1,33 @@
 """Benchmark decontamination with a positional inverted index. DataFrame functions only.
 
-The test side is cut into windows of consecutive words. One pass over the texts counts the windows' terms;
-each window then looks its rarest term up. A second pass stores the postings of those rare terms: term,
-text, position and the words around it, so the index is as large as the rarest terms are frequent; it also has a row a text
-with the number of its words. Windows
-meet the postings of their rarest term, shift them by the term's offset, and are compared with the words around
-each place. Postings of the other terms are neither stored nor intersected.
+The test side is cut into windows of consecutive words. One pass over the texts counts the windows' terms, which
+ranks the terms of each window from the rarest on. A second pass stores the postings ``term, doc_id, version, place`` of each
+window's ``LISTS`` rarest terms (and a row a text with the number of its words). Lists are intersected from the rarest on:
+the places of the rarest term, less its offset in the window, are where the window may start; these meet the list of the
+next term at start plus offset, and so on. Windows that are left are compared word by word with the parts of the texts where they
+may start, so lists of frequent terms are never stored. Proximity matches start from the lists of an item's rarest terms too: a span with enough of its terms has one of those.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, written
+from .shared import BROADCAST_ROWS, attach, written
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most bytes (as text) of a side that is broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Words of a part of a text whose words are looked up together.
+#: Lists that are stored and intersected for a window.
+LISTS = 2
+#: Words of a part of a text that windows are compared with.
 PART = 64
+#: Codes by which a set that is too large to broadcast is told before anything is shuffled.
+CODES = 1 << 20
+#: Postings of one term that meet the windows in one task, where these are too many to broadcast.
+SPLIT = 100_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TEXT = ["doc_id", "version"]
 
 
 def word_array(text: Column) -> Column:
@@ -28,11 +35,22 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, SMALL), BETWEEN), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it is within the bounds of rows and bytes, else left to a shuffled join."""
+def _few(df: DataFrame) -> bool:
+    """Whether ``df`` is within the bounds of rows and bytes of a broadcast."""
     size = F.length(F.to_json(F.struct(*df.columns))).cast("long")
     rows, held = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
+    return rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is within the bounds, else left to a shuffled join."""
+    return F.broadcast(df) if _few(df) else df
+
+
+def _possible(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key may be in ``asked``, by a broadcast of ``CODES`` codes at most."""
+    code = F.pmod(F.xxhash64(key), F.lit(CODES)).alias("code")
+    return rows.select("*", code).join(F.broadcast(asked.select(code).distinct()), "code", "left_semi").drop("code")
 
 
 def test_windows(items: DataFrame, window: int) -> DataFrame:
@@ -43,73 +61,144 @@ def test_windows(items: DataFrame, window: int) -> DataFrame:
     return w.groupBy("words").agg(F.collect_set("item_id").alias("items"))
 
 
+def text_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, version, place, term``: the words of ``docs(doc_id, text)``, places from 0.
+
+    A row of the empty term ends a text: its place is the number of words. ``version`` tells texts of one id apart.
+    """
+    # outer: no filter on the array is inferred, which would cut the text twice
+    words = F.posexplode_outer(F.concat(word_array(F.col("text")), F.array(F.lit("")))).alias("place", "term")
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), words)
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: occurrences in ``docs(text)`` of the given distinct ``terms(term)``."""
-    # explode_outer: no filter on the array is inferred, which would cut the text twice
+    """``term, n``: occurrences in ``docs(text)`` of the given distinct ``terms(term)``; words are counted in their task before they move."""
     words = docs.select(F.explode_outer(word_array(F.col("text"))).alias("term"))
-    return words.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(_small(terms), "term", "left_semi")
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index: ``term, doc_id, place, before, after`` for each occurrence of ``terms(term)`` in ``docs(doc_id, text)``.
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: ``term, doc_id, version, place, n`` for each occurrence of ``terms(term, n)``, and each text's row of the empty term.
 
-    Places count from 1. ``after`` holds up to ``reach`` words from the place on, ``before`` up to ``reach`` words before
-    it. A text has one more row, of place 0 and no term, with its ``n_words``.
+    Where the terms are too many to broadcast, codes let only possible ones through, and frequent ones (``n``) don't gather in a task.
     """
-    words = docs.select("doc_id", word_array(F.col("text")).alias("w"))
-    # rows carry a part of the text and what is around it, not the whole text; outer: no filter on an array is inferred, which would cut the text twice
-    part = lambda b: F.struct(b.alias("b"), F.slice("w", F.greatest(b - reach, F.lit(0)) + 1, F.lit(PART + 2 * reach)).alias("s"), F.when(b == 0, F.size("w").cast("long")).alias("n_words"))
-    parts = words.select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PART)), part)).alias("p")).select("doc_id", "p.*")
-    o = F.least("b", F.lit(reach))  # words of the part that stand before its own
-    own = F.concat(F.array(F.lit("")), F.slice("s", o + 1, F.lit(PART)))
-    places = parts.select("doc_id", "b", "s", "n_words", F.posexplode_outer(own).alias("i", "term"))
-    places = places.join(_small(terms.withColumn("asked", F.lit(True))), "term", "left").filter("asked OR (i = 0 AND n_words IS NOT NULL)")
-    real, at = F.col("i") > 0, o + F.col("i")
-    return places.select(
-        F.when(real, F.col("term")).alias("term"), "doc_id", (F.col("b") + F.col("i")).alias("place"),
-        F.when(real, F.slice("s", F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)))).alias("before"), F.when(real, F.slice("s", F.greatest(at, F.lit(1)), F.lit(reach))).alias("after"),
-        F.when(~real, F.col("n_words")).alias("n_words"),
-    )
+    end = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(1 << 62).alias("n"))
+    terms = written(terms.select("term", "n").unionByName(end), "terms")
+    words = text_words(docs)
+    if _few(terms):
+        return words.join(F.broadcast(terms), "term")
+    words = written(_possible(words, terms, "term"), "possible")
+    return attach(words, terms, "term", "n", words.count())
+
+
+def _meet(lists: DataFrame, asking: DataFrame) -> DataFrame:
+    """Postings joined with ``asking(term, n, ..)`` by term; a long list is split where the asking side isn't broadcast."""
+    if _few(asking):
+        return lists.join(F.broadcast(asking.drop("n")), "term")
+    split = (F.col("n") / SPLIT).cast("long") + 1
+    asking = asking.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).drop("n")
+    return lists.withColumn("salt", F.pmod(F.xxhash64(*TEXT, "place"), split)).join(asking, ["term", "salt"])
+
+
+def _ranked(terms: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``key, lists``: of each key's ``terms(key, term, off)`` those that occur at all, from the rarest on."""
+    return terms.join(_small(counts), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("lists"))
+
+
+def _stored(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The index of all terms in ``lists(lists)``."""
+    terms = lists.select(F.explode("lists").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.max("x.n").alias("n"))
+    return written(postings(docs, terms), "postings")
+
+
+def _in_play(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` that ``found(doc_id)`` names."""
+    ids = written(found.select("doc_id").distinct(), "in_play")
+    if _few(ids):
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return _possible(docs, ids, "doc_id").join(ids, "doc_id", "left_semi")
 
 
 def _matches(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, lo, hi, items`` of every occurrence of a window, ``doc_id, n_words`` of every text)."""
-    windows = written(test_windows(items, window).withColumn("wid", F.xxhash64("words")), "windows")
-    placed = windows.select("wid", "words", F.posexplode("words").alias("off", "term"))
+    windows = written(test_windows(items, window).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    placed = windows.select("wid", F.posexplode("words").alias("off", "term"))
     counts = written(term_counts(docs, placed.select("term").distinct()), "counts")
-    rare = placed.join(counts, "term").groupBy("words").agg(F.min(F.struct("n", "term", "off")).alias("r"), F.count(F.lit(1)).alias("known"))
     # a window with a term that no text has cannot occur
-    keyed = written(windows.join(rare, "words").filter(F.col("known") == F.size("words")).select("words", "items", F.col("r.term").alias("term"), F.col("r.off").alias("off")), "keyed")
-    index = written(postings(docs, keyed.select("term").distinct(), window), "postings")
+    ranked = _ranked(placed, counts, "wid").join(windows.select("wid", F.size("words").alias("size")), "wid").filter(F.size("lists") == F.col("size"))
+    keyed = written(ranked.select("wid", F.slice("lists", 1, LISTS).alias("lists")), "keyed")
+    index = _stored(docs, keyed)
+    lists = index.filter("term <> '' AND doc_id IS NOT NULL")
+    first = F.element_at("lists", 1)
+    asking = keyed.select("wid", first["term"].alias("term"), first["n"].alias("n"), first["off"].alias("off"), F.slice("lists", 2, LISTS).alias("next"))
+    starts = _meet(lists, asking).select(*TEXT, "wid", (F.col("place") - F.col("off")).alias("lo"), "next").filter("lo >= 0")
+    for i in range(1, LISTS):
+        # windows of one word have no other list
+        x = F.get("next", F.lit(i - 1))
+        starts = starts.withColumn("at", F.col("lo") + x["off"]).withColumn("term", x["term"])
+        after = starts.filter("term IS NOT NULL").join(lists.select(*TEXT, F.col("place").alias("at"), "term"), [*TEXT, "at", "term"], "left_semi")
+        starts = after.unionByName(starts.filter("term IS NULL")).drop("at", "term")
+    starts = written(starts.select(*TEXT, "wid", "lo"), "starts")
+    words = _in_play(docs.filter("doc_id IS NOT NULL"), starts).select("doc_id", F.xxhash64("text").alias("version"), word_array(F.col("text")).alias("w"))
+    part = lambda b: F.struct((b / PART).cast("long").alias("part"), F.slice("w", b + 1, F.lit(PART + window)).alias("s"))
+    parts = words.select(*TEXT, F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PART)), part)).alias("p")).select(*TEXT, "p.*")
+    near = starts.withColumn("part", (F.col("lo") / PART).cast("long")).join(parts, [*TEXT, "part"]).withColumn("s", F.slice("s", (F.col("lo") % PART + 1).cast("int"), F.lit(window)))
+    if _few(windows):
+        near = near.join(F.broadcast(windows), "wid")
+    else:
+        sizes = written(windows.join(starts.groupBy("wid").agg(F.count(F.lit(1)).alias("m")), "wid"), "sizes")
+        near = attach(near, sizes, "wid", "m", starts.count())
     n = F.size("words")
-    met = index.filter("term IS NOT NULL AND doc_id IS NOT NULL").join(_small(keyed), "term").filter(
-        (F.size("before") >= F.col("off"))
-        & (F.size("after") >= n - F.col("off"))
-        & (F.slice("after", F.lit(1), n - F.col("off")) == F.slice("words", F.col("off") + 1, n - F.col("off")))
-        & (F.slice("before", F.size("before") - F.col("off") + 1, F.col("off")) == F.slice("words", F.lit(1), F.col("off")))
-    )
-    lo = F.col("place") - 1 - F.col("off")
-    return met.select("doc_id", lo.alias("lo"), (lo + n).alias("hi"), "items"), index.filter("place = 0").select("doc_id", "n_words")
+    met = near.filter(F.slice("s", F.lit(1), n) == F.col("words"))
+    return met.select("doc_id", "lo", (F.col("lo") + n).alias("hi"), "items"), index.filter("term = ''").select("doc_id", F.col("place").cast("long").alias("n_words"))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """``doc_id, lo, hi, items``: every occurrence of a window of ``items(item_id, text)`` in ``docs(doc_id, text)``, as a span of words."""
+    """``doc_id, lo, hi, items``: every occurrence of a window of ``items(item_id, text)`` in ``docs(doc_id, text)``, as a span of words.
+
+    Rows that repeat id and text give equal rows.
+    """
     return _matches(docs, items, window)[0]
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 50, least: int = 5) -> DataFrame:
-    """``doc_id, item_id, place, n_terms``: where ``least`` or more distinct terms of an item stand near its rarest one.
+def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 40, percent: int = 80) -> DataFrame:
+    """``doc_id, item_id, n_terms, n_needed, place``: texts with a span of ``within`` words that has most of an item's terms, in any order.
 
-    The rarest term that occurs at all is looked up in the index; ``n_terms`` counts the item's distinct terms
-    among the ``within`` words on either side.
+    ``n_terms`` is the most distinct terms of the item in such a span, ``place`` the first word (from 0) of the first span that has as many and begins with one,
+    ``n_needed`` is ``percent`` of the item's distinct terms, rounded up; rows have as many at least. Of an item's m terms in order of rarity
+    a span with k of them has one of the first m - k + 1, whose lists are looked up; then the lists of all its terms are
+    counted in the blocks of words around, which have ``2 * within`` words each. Items without words match nothing, null ids and null texts neither; rows that repeat an id give the best of them.
     """
-    terms = written(items.select("item_id", F.array_distinct(word_array(F.col("text"))).alias("words")).filter(F.size("words") > 0), "items")
-    counts = term_counts(docs, terms.select(F.explode("words").alias("term")).distinct())
-    rare = terms.select("item_id", F.explode("words").alias("term")).join(counts, "term").groupBy("item_id").agg(F.min(F.struct("n", "term")).alias("r"))
-    keyed = written(terms.join(rare.select("item_id", F.col("r.term").alias("term")), "item_id"), "keyed")
-    near = postings(docs, keyed.select("term").distinct(), within).filter("term IS NOT NULL").join(_small(keyed), "term")
-    count = F.size(F.array_intersect(F.concat("before", "after"), F.col("words")))
-    return near.select("doc_id", "item_id", (F.col("place") - 1).alias("place"), count.alias("n_terms")).filter(F.col("n_terms") >= least)
+    docs, items = docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), items.select("item_id", "text").filter("item_id IS NOT NULL")
+    own = items.select("item_id", F.explode(word_array(F.col("text"))).alias("term")).distinct().withColumn("off", F.lit(0))
+    own = written(own, "own")
+    counts = written(term_counts(docs, own.select("term").distinct()), "counts")
+    m = own.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) * percent / 100).alias("n_needed"))
+    # terms that no text has are the rarest; the lists start with those that some text has
+    ranked = written(_ranked(own, counts, "item_id").join(m, "item_id").filter(F.size("lists") >= F.col("n_needed")), "ranked")
+    least = F.col("n_needed").cast("int")
+    keyed = written(ranked.select("item_id", F.slice("lists", F.lit(1), F.size("lists") - least + 1).alias("lists")), "keyed")
+    lists = _stored(docs, keyed).filter("term <> ''")
+    asking = keyed.select("item_id", F.explode("lists").alias("x")).select("item_id", "x.term", "x.n")
+    # a span that starts in a block of words ends in the next one at the latest; one with a listed word at a place starts in its block or the one before
+    block = (F.col("place") / within).cast("long")
+    both = F.explode(F.array(block - 1, block)).alias("block")
+    around = written(_meet(lists, asking).select(*TEXT, "item_id", both).distinct(), "around")
+    words = text_words(_in_play(docs, around)).filter("term <> ''").join(_small(counts.select("term")), "term", "left_semi")
+    held = words.select(*TEXT, "place", "term", both).groupBy(*TEXT, "block").agg(F.collect_set(F.struct("place", "term")).alias("held"))
+    there = around.join(held, [*TEXT, "block"])
+    terms = written(ranked.select("item_id", "n_needed", F.transform("lists", lambda x: x["term"]).alias("terms")), "item_terms")
+    if _few(terms):
+        there = there.join(F.broadcast(terms), "item_id")
+    else:
+        sizes = written(terms.join(around.groupBy("item_id").agg(F.count(F.lit(1)).alias("m")), "item_id"), "sizes")
+        there = attach(there, sizes, "item_id", "m", around.count())
+    there = there.filter(F.size(F.array_intersect("terms", F.transform("held", lambda x: x["term"]))) >= F.col("n_needed"))
+    there = there.select(*TEXT, "item_id", "n_needed", F.explode(F.filter("held", lambda x: F.array_contains("terms", x["term"]))).alias("x")).select(*TEXT, "item_id", "n_needed", "x.*").distinct()
+    span = Window.partitionBy(*TEXT, "item_id").orderBy("place").rangeBetween(0, within - 1)
+    counted = there.withColumn("n_terms", F.size(F.collect_set("term").over(span))).filter(F.col("n_terms") >= F.col("n_needed"))
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", (-F.col("place")).alias("place"), "n_needed")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n_terms").cast("long").alias("n_terms"), F.col("b.n_needed").cast("long").alias("n_needed"), (-F.col("b.place")).cast("long").alias("place"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
@@ -142,6 +231,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items: spans of 40 words with four fifths of an item's terms."""
+    return proximity_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

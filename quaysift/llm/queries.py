@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP8_SQL, op8_chat_format
-from .decontaminate import OP9_SQL, op9_decontaminate
+from .decontaminate import OP9_SQL, benchmark_proximity, op9_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .importance import OP12_SQL, op12_importance_resampling
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_quality_classifier": op13_quality_classifier,
+    "benchmark_proximity": benchmark_proximity,
 }
 
 SQL = {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_decontaminate": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance_resampling": OP12_SQL}

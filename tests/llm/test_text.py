@@ -218,8 +218,66 @@ def test_decontamination(spark, sf):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, items).collect()}
     assert got == {1: (14, 14, 1, True), 2: (3, 2, 1, True), 3: (0, 0, 0, False), 4: (513, 13, 1, False), None: (14, 0, 0, False), 5: (2, 0, 0, False)}
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).filter("contaminated").count() == 0
-    near = decontaminate.proximity_matches(docs.filter("doc_id = 4"), items, within=20, least=10).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in near} == {(4, "a")}
+
+
+def test_decontamination_without_broadcasts(spark, sf, monkeypatch):
+    """Sides beyond the bounds: lists are told by codes, frequent ones split, and no word moves that isn't asked for."""
+    for name, value in (("BROADCAST_ROWS", 0), ("SPLIT", 50), ("CODES", 256)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert rows_of(decontaminate.op9_decontaminate(spark, sf).toPandas()) == rows_of(duck(decontaminate.OP9_SQL, sf))
+
+
+def test_decontamination_odd_rows(spark):
+    """Very long texts, rows that repeat an id with other or equal words, repeated and one-word items, further columns."""
+    item = " ".join(f"t{i}" for i in range(13))
+    half, rest = "t0 t1 t2 t3 t4 t5 z", " ".join(["y"] * 6 + [f"t{i}" for i in range(6, 13)])
+    long = " ".join(["t1 t0 t5"] * 40_000 + [item] + ["w"] * 70)
+    rows = [(1, half, 1), (1, rest, 2), (2, item, 3), (2, item, 4), (3, long, 5), (4, "one " * 3, 6), (5, " ".join(["same"] * 20), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words int")
+    items = spark.createDataFrame([("a", item, 0), ("b", item, 0), ("c", "ONE", 0), ("d", " ".join(["same"] * 15), 0)], "item_id string, text string, place int")
+    got = [tuple(r)[:4] for r in decontaminate.decontaminate(docs, items).drop("items_sha256").collect()]
+    assert sorted(got) == [(1, 7, 0, 0), (1, 13, 0, 0), (2, 13, 13, 2), (2, 13, 13, 2), (3, 120_083, 13, 2), (4, 3, 3, 1), (5, 20, 20, 1)]
+    spans = {(r["doc_id"], r["lo"], r["hi"]) for r in decontaminate.phrase_matches(docs, items).collect()}
+    assert spans == {(2, 0, 13), (3, 120_000, 120_013), *((4, i, i + 1) for i in range(3)), *((5, i, i + 13) for i in range(8))}
+
+
+def proximity(docs, items, within, percent):
+    words = lambda t: [w for w in re.split(decontaminate.BETWEEN, (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    found: dict = {}
+    for d, text in docs:
+        w = words(text)
+        for i, asked in items:
+            terms = set(words(asked))
+            need = -(-len(terms) * percent // 100)
+            for at in range(len(w)):
+                n = len(terms & set(w[at : at + within]))
+                if terms and d is not None and i is not None and w[at] in terms and n >= need:
+                    found[d, i] = max(found.get((d, i), (0, 0, 0)), (n, -at, need))
+    return {(d, i, n, need, -at) for (d, i), (n, at, need) in found.items()}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity(spark, broadcast, monkeypatch):
+    """Every span with enough of an item's terms, in any order, whether or not its rarest term is there."""
+    if not broadcast:
+        for name, value in (("BROADCAST_ROWS", 0), ("SPLIT", 5), ("CODES", 64)):
+            monkeypatch.setattr(decontaminate, name, value)
+    rnd = random.Random(5)
+    vocabulary = [f"w{int(rnd.paretovariate(0.6)) % 300}" for _ in range(400)]
+    items = [(f"i{i}", " ".join(rnd.choices(vocabulary, k=rnd.choice([1, 3, 8, 20])))) for i in range(30)]
+    items += [("none", ""), ("null", None), (None, "w1 w2"), ("absent", "never1 never2 w3"), ("partly", "w1 w2 w3 w4 never")]
+    docs = [(d, " ".join(rnd.choices(vocabulary, k=rnd.choice([0, 5, 60, 400])))) for d in range(60)]
+    for d in range(60, 80):
+        w = items[d - 60][1].split()
+        rnd.shuffle(w)
+        docs.append((d, " ".join(rnd.choices(vocabulary, k=d) + w[: -(-len(w) * 9 // 10)] + rnd.choices(vocabulary, k=30)).upper()))
+    docs += [(80, None), (None, "w1 w2"), (5, "w1 w2 w3 w4"), (61, docs[61][1])]
+    for within, percent in ((25, 80), (7, 100), (60, 55))[: 3 if broadcast else 1]:
+        out = decontaminate.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), within, percent)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) > 20 and set(got) == proximity(docs, items, within, percent)
+    empty = spark.createDataFrame([], "item_id string, text string")
+    assert decontaminate.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == 0
 
 
 def check_packing(rows, lengths, capacities):
