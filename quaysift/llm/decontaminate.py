@@ -20,6 +20,8 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 #: Lists that are stored and intersected for a window.
 LISTS = 2
+#: Lists of an item that meet in a block of words before its words are counted there.
+NEAR_LISTS = 3
 #: Words of a part of a text that windows are compared with.
 PART = 64
 #: Codes by which a set that is too large to broadcast is told before anything is shuffled.
@@ -166,8 +168,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 40, perce
 
     ``n_terms`` is the most distinct terms of the item in such a span, ``place`` the first word (from 0) of the first span that has as many and begins with one,
     ``n_needed`` is ``percent`` of the item's distinct terms, rounded up; rows have as many at least. Of an item's m terms in order of rarity
-    a span with k of them has one of the first m - k + 1, whose lists are looked up; then the lists of all its terms are
-    counted in the blocks of words around, which have ``2 * within`` words each. Items without words match nothing, null ids and null texts neither; rows that repeat an id give the best of them.
+    a span with k of them has j of the first m - k + j, whose lists are intersected by blocks of words (j is ``NEAR_LISTS``, or k if that is less); then the
+    lists of all its terms are counted in the blocks of words around, which have ``2 * within`` words each. Items without words match nothing, null ids and null texts neither; rows that repeat an id give the best of them.
     """
     docs, items = docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), items.select("item_id", "text").filter("item_id IS NOT NULL")
     own = items.select("item_id", F.explode(word_array(F.col("text"))).alias("term")).distinct().withColumn("off", F.lit(0))
@@ -177,13 +179,15 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 40, perce
     # terms that no text has are the rarest; the lists start with those that some text has
     ranked = written(_ranked(own, counts, "item_id").join(m, "item_id").filter(F.size("lists") >= F.col("n_needed")), "ranked")
     least = F.col("n_needed").cast("int")
-    keyed = written(ranked.select("item_id", F.slice("lists", F.lit(1), F.size("lists") - least + 1).alias("lists")), "keyed")
+    enough = F.least(least, F.lit(NEAR_LISTS)).alias("enough")
+    keyed = written(ranked.select("item_id", enough, F.slice("lists", F.lit(1), F.size("lists") - least + enough).alias("lists")), "keyed")
     lists = _stored(docs, keyed).filter("term <> ''")
-    asking = keyed.select("item_id", F.explode("lists").alias("x")).select("item_id", "x.term", "x.n")
+    asking = keyed.select("item_id", "enough", F.explode("lists").alias("x")).select("item_id", "enough", "x.term", "x.n")
     # a span that starts in a block of words ends in the next one at the latest; one with a listed word at a place starts in its block or the one before
     block = (F.col("place") / within).cast("long")
     both = F.explode(F.array(block - 1, block)).alias("block")
-    around = written(_meet(lists, asking).select(*TEXT, "item_id", both).distinct(), "around")
+    met = _meet(lists, asking).select(*TEXT, "item_id", both, "term", "enough").groupBy(*TEXT, "item_id", "block").agg(F.size(F.collect_set("term")).alias("k"), F.max("enough").alias("enough"))
+    around = written(met.filter(F.col("k") >= F.col("enough")).select(*TEXT, "item_id", "block"), "around")
     words = text_words(_in_play(docs, around)).filter("term <> ''").join(_small(counts.select("term")), "term", "left_semi")
     held = words.select(*TEXT, "place", "term", both).groupBy(*TEXT, "block").agg(F.collect_set(F.struct("place", "term")).alias("held"))
     there = around.join(held, [*TEXT, "block"])
