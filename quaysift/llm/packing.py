@@ -138,22 +138,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n", capacit
 
     A text longer than the largest capacity is cut into pieces of that length and a rest; ``start`` is where the piece
     begins in the text and ``place`` where it stands in its sequence. A text of length 0 or null has one row
-    without a bin. Rows that repeat an id, and rows of a null id, are packed one by one. Further columns are not read.
+    without a bin. Rows that repeat an id, and rows of a null id, are packed one by one, and ranked in as many tasks as
+    others: ``row`` tells them apart. Further columns are not read.
     """
     most = max(capacities)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("total"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("total"), F.monotonically_increasing_id().alias("row"))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest((F.col("total") - 1) / most, F.lit(0)).cast("long"))).alias("piece")
-    pieces = docs.select("doc_id", "total", cut).withColumn("start", F.col("piece") * most).withColumn("n", F.least(F.col("total") - F.col("start"), F.lit(most)))
+    pieces = docs.select("doc_id", "row", "total", cut).withColumn("start", F.col("piece") * most).withColumn("n", F.least(F.col("total") - F.col("start"), F.lit(most)))
     pieces = written(pieces.drop("total"), "pieces")
     real = pieces.filter("n > 0")
     total = real.count()
     buckets = max(1, -(-total // BUCKET))
-    real = real.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    real = real.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(buckets)))
     sizes = written(real.groupBy("n", "bucket").agg(F.count(F.lit(1)).alias("m")), "sizes")
     histogram = {r["n"]: r["m"] for r in sizes.groupBy("n").agg(F.sum("m").alias("m")).collect()}  # as many rows as lengths
     before = F.coalesce(F.sum("m").over(W.partitionBy("n").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("n", "bucket", before.alias("before"))
-    rank = F.row_number().over(W.partitionBy("n", "bucket").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(W.partitionBy("n", "bucket").orderBy("doc_id", "piece", "row")) - 1
     ranked = real.withColumn("local", rank).join(offsets, ["n", "bucket"]).select("doc_id", "piece", "start", "n", (F.col("local") + F.col("before")).alias("rank"))
 
     # runs of ranks: those of length n from `first` on go to the bins from `bin` on, `each` to a bin

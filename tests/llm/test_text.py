@@ -11,6 +11,7 @@ from conftest import duck, rows_of
 from pyspark.sql import functions as F
 
 from quaysift.llm import chat_format, decontaminate, exact_dedup, language_id, minhash_dedup, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from quaysift.llm.shared import written
 
 BIG = "/root/testdata/sf0.01"
 
@@ -210,6 +211,25 @@ def test_chat(spark, sf):
     assert chat_format.format_conversations(chat_format.fold_events(events.limit(0))).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    """Very long texts and conversations, events that tie in all but the role, and columns whose names the operator uses itself."""
+    long = "ab ### c\\\\ </turn> : é日" * 40_000
+    log = [(1, 0, "message", 0, "user", long), (1, 1, "message", 1, "assistant", None), *((1, 2 + i, "delta", 1, "assistant", f"<{i}>") for i in range(3000))]
+    log += [(2, 0, "message", 0, r, t) for r, t in (("user", "b"), ("assistant", "a"), ("assistant", "a"), (None, "c"), ("user", ""))]
+    log += [(3, 0, "message", 0, "user", "x"), (3, 1, "delta", 0, "assistant", "z"), (3, 1, "delta", 0, "user", "y")]
+    log += [(4, i, "message", i, "assistant" if i % 2 else "user", f"t{i}") for i in range(2000)]
+    extra = ", version long, final string, m int, n int, nth int, head string, loss boolean, back_to int"
+    events = spark.createDataFrame([(*r, 9, "f", 8, 7, 6, "h", True, 0) for r in log], "conv_id long, seq long, kind string, turn long, role string, text string" + extra)
+    out = chat_format.format_conversations(chat_format.fold_events(events)).withColumn("read", chat_format.parse_formatted(F.col("formatted")))
+    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"])).alias("loss")
+    rows = {r["conv_id"]: r for r in out.select("conv_id", "n_turns", "read", loss).collect()}
+    got = {c: [(m["role"], m["text"]) for m in r["read"]] for c, r in rows.items()}
+    assert got[1] == [("user", long), ("assistant", "".join(f"<{i}>" for i in range(3000)))]
+    assert got[2] == [("", "c"), ("assistant", "a"), ("assistant", "a"), ("user", ""), ("user", "b")] and got[3] == [("user", "xzy")]
+    assert got[4] == [("assistant" if i % 2 else "user", f"t{i}") for i in range(2000)] and rows[4]["n_turns"] == 2000
+    assert rows[4]["loss"] == [f"t{i}" for i in range(1, 2000, 2)] and rows[2]["loss"] == ["a", "a"] and rows[1]["loss"] == [got[1][1][1]]
+
+
 def test_decontamination(spark, sf):
     assert rows_of(decontaminate.op9_decontaminate(spark, sf).toPandas()) == rows_of(duck(decontaminate.OP9_SQL, sf))
     item = " ".join(f"t{i}" for i in range(14))
@@ -308,6 +328,26 @@ def test_packing(spark, monkeypatch, seed):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_one_id(spark, monkeypatch):
+    """Rows of one id, or of none, are dealt to buckets as others are, and each row has its own place."""
+    monkeypatch.setattr(packing, "BUCKET", 10)
+    rows = [(None, 30)] * 200 + [(1, 30)] * 200 + [(2, 70)] * 50 + [(i, 30) for i in range(3, 103)] + [(3, 0), (3, None)]
+    asked = []
+    monkeypatch.setattr(packing, "written", lambda df, name, *done: asked.append(df) or written(df, name, *done))
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), capacities=(32, 64)).collect()
+    sizes = {(r["n"], r["bucket"]): r["m"] for r in asked[1].collect()}
+    assert sum(sizes.values()) == 600 and max(sizes.values()) < 40
+    assert Counter((r["doc_id"], r["n"]) for r in out) == Counter({(None, 30): 200, (1, 30): 200, (2, 64): 50, (2, 6): 50, **{(i, 30): 1 for i in range(4, 103)}, (3, 30): 1, (3, 0): 2})
+    placed = [r for r in out if r["bin_id"] is not None]
+    assert len({(r["bin_id"], r["place"]) for r in placed}) == len(placed) == 600
+    held: dict = {}
+    for r in placed:
+        held.setdefault((r["bin_id"], r["capacity"]), []).append((r["place"], r["n"]))
+    for (_, capacity), pieces in held.items():
+        assert [p for p, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:i]) for i in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= capacity
+
+
 def test_copies_with_equal_or_null_ids(spark, sf):
     import corpus_pipeline as p
 
@@ -337,6 +377,33 @@ def test_stages_with_odd_rows(spark, sf):
     assert ids(packed) == [-1, -1, -1, -1, 1, 1, 2, 3, 4, 5, 6] and packed.filter("bin_id IS NULL").count() == 3
 
 
+def test_odd_rows_through_all_stages(spark, sf, tmp_path):
+    """Repeated rows and ids, nulls, a very long text and clashing names, from the first stage to the last."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    texts = [r["text"] for r in docs.filter("lang = 'en' AND length(text) > 200").orderBy("doc_id").collect()]
+    rnd, words = random.Random(8), " ".join(texts).split()
+    long = " ".join(rnd.choice(words) for _ in range(300_000))
+    one, two = texts[0] + " to the first", texts[1] + " and of the second"
+    odd = [(-9, one), (-9, one), (-8, one + "  "), (None, two), (None, two), (-3, None), (-4, ""), (-6, long), (-5, long + " end"), (-1, item), (-7, two)]
+    shape = "doc_id long, text string, lang string"
+    rows = spark.createDataFrame([(d, t, None) for d, t in odd], shape).unionByName(docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()))
+    for name in ("kept", "digest", "n_tokens", "rejected", "row", "bin_id"):
+        rows = rows.withColumn(name, F.lit(5))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = p.run(spark, str(tmp_path)).filter("doc_id IS NULL OR doc_id < 0").collect()
+    pieces: dict = {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    # of equal texts one row stays (here that with an id), of near copies the smallest id, and no text without letters or of the benchmark
+    assert set(pieces) == {-9, -6, -7} and len(pieces[-9]) == 1 and len(pieces[-7]) == 1
+    tokens = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(spark.createDataFrame([(-6, long)], "doc_id long, text string")).collect()}
+    assert sum(r["n"] for r in pieces[-6]) == tokens[-6] > 300_000 and all(r["bin_id"] is not None for r in got)
+
+
 def test_stages_by_plain_versions(spark, sf):
     """What each filtering stage keeps of all it is given, told text by text."""
     import sys
