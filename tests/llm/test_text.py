@@ -172,7 +172,7 @@ def test_toxicity(spark):
     rank = held["score"].rank()
     n1, n0 = (held["toxic"] == 1).sum(), (held["toxic"] == 0).sum()
     auc = (rank[held["toxic"] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
-    assert auc > 0.9
+    assert abs(auc - 0.944) < 0.01  # the figure that the README gives
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "words of all kinds"), (2, "x" * 5000)], "doc_id long, text string")
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs, none).filter("score BETWEEN 0 AND 1").count() == 4
