@@ -122,6 +122,15 @@ def test_plans_of_ranges():
     assert sum(any(p.path == "a" for p in part) for part in K.planned(files, 10, 200, 2000)) == 5
 
 
+def test_ranges_grow_with_the_input():
+    """A hundred times the bytes in short ranges are not a hundred times the tasks, and no range grows beyond the usual length."""
+    for length in (10**7, 10**9, 10**11):
+        parts = K.planned([("a", length), ("b", length // 10)], 1000, 20_000, 1 << 40)
+        sizes = [sum((p.last - p.first) * 1000 for p in part) for part in parts]
+        assert sum(sizes) == length + length // 10 and max(sizes) <= max(20_000, K.RANGE)
+        assert len(parts) <= max(K.MOST_RANGES, sum(sizes) // K.RANGE) + 2
+
+
 def test_source(spark, tmp_path):
     bodies = {"a.bin": random.Random(2).randbytes(10_007), "b.bin": b"", "sub/c.bin": b"abc", "large.bin": bytes(30_000), ".hidden.bin": b"x", "_SUCCESS": b"", "other.txt": b"t"}
     for name, body in bodies.items():
