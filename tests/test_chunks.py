@@ -6,6 +6,7 @@ import random
 import struct
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_walkers import gif, png, webp
@@ -110,6 +111,25 @@ def test_digests_across_batches(spark):
     assert {r["file_id"] for r in I.verified_chunks(chunks, declared).collect()} == good
 
 
+def test_files_by_many_tasks(spark, tmp_path):
+    """A file a key, with lines in order, that several tasks wrote; also where one task copies all of a file's parts."""
+    from quaysift.sources import files as Q
+
+    lines = [("a:b" if i % 50 == 0 else "one", i, "" if i % 7 == 0 else f"line {i} ä") for i in range(4000)]
+    df = spark.createDataFrame(lines, "k string, i long, value string").repartition(5)
+    Q.write_keyed(df, f"{tmp_path}/f", "k", "i")
+    want = {k: "".join(v + "\n" for x, _, v in lines if x == k).encode() for k in ("one", "a:b")}
+    got = {p.parent.name: p.read_bytes() for p in (tmp_path / "f").glob("*/all.txt")}
+    assert got == {"k=one": want["one"], "k=a%3Ab": want["a:b"]}
+    parts = sorted((tmp_path / "f-parts" / "k=one").glob("part-*"))
+    assert len(parts) >= 3 and max(p.stat().st_size for p in parts) < len(want["one"]) / 2
+    job = Q._copied(str(tmp_path), [(f"{tmp_path}/g/all.txt", 0, [str(p) for p in parts])])
+    assert sum(b.num_rows for b in job(iter([pa.RecordBatch.from_pydict({"id": [0]})]))) == 1
+    assert (tmp_path / "g" / "all.txt").read_bytes() == want["one"]
+    Q.write_keyed(df.limit(0), f"{tmp_path}/none", "k", "i")
+    assert Q.read_files(spark, f"{tmp_path}/none", glob="*.txt").filter("length > 0").count() == 0
+
+
 def test_plans_of_ranges():
     """Ranges cover all chunks once; large files are cut, small ones share; caps, empty files and bounds on numbers hold."""
     files = [("b", 105), ("a", 1000), ("c", 0), ("d", 20), ("e", 5000)]
