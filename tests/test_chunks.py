@@ -142,6 +142,21 @@ def test_plans_of_ranges():
     assert sum(any(p.path == "a" for p in part) for part in K.planned(files, 10, 200, 2000)) == 5
 
 
+def test_whole_files_in_order(spark, tmp_path):
+    """Digests of files far longer than a range, without a shuffle of their bytes; small files share a task."""
+    bodies = {f"{i}.bin": random.Random(i).randbytes(n) for i, n in enumerate((200_003, 0, 5, 90_000, 1, 40_000))}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    rows = K.read_chunks(spark, str(tmp_path), chunk=7, range_bytes=50_000, whole=True)
+    files = rows.select(F.regexp_extract("path", "[^/]*$", 0).alias("file_id"), "chunk_idx", "chunk")
+    out = I.chunk_digests(files, in_order=True)
+    got = {r["file_id"]: (r["sha256"], r["size"], r["whole"]) for r in out.collect()}
+    assert got == {k: (hashlib.sha256(b).hexdigest(), len(b), True) for k, b in bodies.items()}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert 3 <= rows.rdd.getNumPartitions() <= 4
+    assert sorted(map(str, out.collect())) == sorted(map(str, I.chunk_digests(files).collect()))
+
+
 def test_ranges_grow_with_the_input():
     """A hundred times the bytes in short ranges are not a hundred times the tasks, and no range grows beyond the usual length."""
     for length in (10**7, 10**9, 10**11):
