@@ -86,6 +86,21 @@ def test_walk_chunks(spark, kind, batch):
     assert X.walk_chunks(spark.createDataFrame([], "file_id long, chunk_idx int, chunk binary"), kind).count() == 0
 
 
+def test_content_in_small_batches(spark, sf):
+    """What a walk is handed is bounded in bytes and rows however many files there are, and what it yields goes out by the thousand."""
+    files = q_bytes.wrapped(spark, sf, lambda i, body: bytes(200_000))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    got = X.small_batches(files).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == files.count() >= 100
+    assert max(r["bytes"] for r in got) <= X.BATCH_BYTES + 300_000 and max(r["rows"] for r in got) <= X.BATCH_ROWS
+    many = X.explode_bytes(files.limit(3), lambda body: ((k,) for k in range(2_500)), "k int")
+    assert max(r["rows"] for r in many.mapInArrow(sizes, "rows long, bytes long").collect()) <= X.OUT_ROWS and many.distinct().count() == 7_500
+
+
 def test_digests_across_batches(spark):
     """A file of more chunks than a batch; gaps, repeats, a null chunk, a wrong order, an empty file, a count and a digest that don't fit."""
     body = random.Random(1).randbytes(25_000)
