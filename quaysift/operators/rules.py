@@ -346,31 +346,111 @@ def effect(table: np.ndarray, data: bytes) -> np.ndarray:
     return now
 
 
+#: Bytes that are walked at once by a lane, lanes walked side by side, and bytes and states of these together.
+PIECE, LANES, HELD = 2048, 4096, 1 << 22
+
+
+class Automata:
+    """Several automata side by side, their states numbered through all of them."""
+
+    def __init__(self, tables: list[np.ndarray]) -> None:
+        sizes = [len(t) for t in tables]
+        self.first = np.cumsum([0, *sizes[:-1]])
+        self.last = self.first + sizes - 1
+        self.total, self.of = sum(sizes), np.repeat(np.arange(len(tables)), sizes)
+        self.next = np.concatenate([t.astype(np.int32) + np.int32(f) for t, f in zip(tables, self.first, strict=True)]).ravel()
+        self.inner = np.setdiff1d(np.arange(self.total), [*self.first, *self.last])
+
+    def effects(self, chunks: list[bytes]) -> np.ndarray:
+        """A row for each chunk: the state that each state is in after it.
+
+        Chunks are walked side by side, a byte of each at a time, and long ones in pieces that are put together after. Only starts are walked to the end: another
+        state soon meets the walk from its automaton's start, or the last state, and from there on it is the same.
+        """
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        ends = np.cumsum([len(c) for c in chunks])
+        cuts = [(i, a, min(PIECE, end - a)) for i, (end, c) in enumerate(zip(ends.tolist(), chunks, strict=True)) for a in range(end - len(c), end, PIECE)]
+        owner, start, length = (np.array(x, np.int64) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int64),) * 3
+        made = np.empty((len(cuts), self.total), np.int32)
+        order = np.argsort(-length, kind="stable")
+        a = 0
+        while a < len(order):
+            n = max(1, min(LANES, HELD // int(length[order[a]]), HELD // 4 // self.total))
+            some = order[a : a + n]
+            made[some] = self._walked(data, start[some], length[some])
+            a += n
+        out = np.tile(np.arange(self.total, dtype=np.int32), (len(chunks), 1))
+        begins = np.searchsorted(owner, np.arange(len(chunks)))
+        alone = np.bincount(owner, minlength=len(chunks)) == 1
+        out[alone] = made[begins[alone]]
+        for k in np.flatnonzero(~alone[owner]) if len(owner) else ():
+            out[owner[k]] = made[k][out[owner[k]]]
+        return out
+
+    def _walked(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Effects of pieces, the longest first."""
+        n, most = len(start), int(length[0])
+        at = np.minimum(start[:, None] + np.arange(most), len(data) - 1)
+        columns = np.ascontiguousarray(data[at].T)
+        del at
+        open_ = n - np.searchsorted(length[::-1], np.arange(most), "right")  # pieces that go on at each place
+        out = np.tile(np.arange(self.total, dtype=np.int32), (n, 1))
+        main = np.repeat(self.first.astype(np.int32)[:, None], n, axis=1)
+        piece, source = np.repeat(np.arange(n), len(self.inner)), np.tile(self.inner, n)
+        rule, state = self.of[source], source.astype(np.int32)
+        for p in range(most):
+            k = open_[p]
+            column = columns[p, :k].astype(np.int32)
+            main[:, :k] = self.next[(main[:, :k] << 8) | column]
+            if not len(piece):
+                continue
+            if (j := np.searchsorted(piece, k)) < len(piece):  # pieces that have ended
+                out[piece[j:], source[j:]] = state[j:]
+                piece, source, rule, state = piece[:j], source[:j], rule[:j], state[:j]
+            state = self.next[(state << 8) | column[piece]]
+            if p < 8 or p % 8 == 7:
+                same = state == main[rule, piece]
+                done = state == self.last[rule]
+                out[piece[done], source[done]] = state[done]
+                same &= ~done
+                out[piece[same], source[same]] = -1
+                left = ~(same | done)
+                piece, source, rule, state = piece[left], source[left], rule[left], state[left]
+        out[piece, source] = state
+        out[:, self.first] = main.T
+        return np.where(out < 0, main[self.of].T, out)
+
+
 def scan_chunks(chunks: DataFrame, rules: list[Rule], key: str = "file_id", chunk: str = "chunk") -> DataFrame:
     """``key, ordinal, rule_id`` of all rules that occur in files that come in rows ``key, chunk_idx, chunk``, across any edges.
 
-    Chunks are judged where they are; what is shuffled is a few numbers a rule and chunk, never bytes. Null and empty chunks hold nothing.
+    Chunks are judged where they are; what is shuffled is a number a chunk and state of the rules, never bytes. Null and empty chunks hold nothing.
     Rules that can't be matched in chunks (see ``automaton``) are an error, invalid ones are skipped.
     """
     rules = valid_rules(rules)[0]
     spark = chunks.sparkSession
-    held = spark.sparkContext.broadcast([automaton(r) for r in rules])
+    if not rules:
+        return chunks.filter(F.lit(False)).select(key, F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("rule_id"))
+    all_rules = Automata([automaton(r) for r in rules])
+    held = spark.sparkContext.broadcast(all_rules)
     key_type = chunks.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value
-        for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, at, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                data = data.as_py() or b""
-                for r, table in enumerate(tables):
-                    if data:
-                        for to, x in zip(out, (i, at, r, effect(table, data).astype(np.int32)), strict=True):
-                            to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int32()))], ["_key", "_at", "_rule", "_to"])
-
-    known = spark.createDataFrame([(i, r[0], r[1], len(t) - 1) for i, (r, t) in enumerate(zip(rules, held.value, strict=True))], "_rule int, ordinal int, rule_id string, _last int")
-    found = chunks.select(key, F.col("chunk_idx").cast("long"), F.col(chunk).cast("binary")).mapInArrow(judge, f"_key {key_type}, _at long, _rule int, _to array<int>")
-    ends = found.groupBy("_key", "_rule").agg(F.array_sort(F.collect_list(F.struct("_at", "_to"))).alias("_steps"))  # a row a chunk of one file
-    state = F.aggregate("_steps", F.lit(0), lambda s, step: F.get(step["_to"], s))
-    return ends.select("_key", "_rule", state.alias("_state")).join(F.broadcast(known), "_rule").filter("_state = _last").select(F.col("_key").alias(key), "ordinal", "rule_id")
+        m = held.value
+        step = max(1, min(LANES, HELD // 4 // m.total))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                data = b.column(2).to_pylist()
+                some = pa.array([i for i, x in enumerate(data) if x], pa.int64())
+                to = m.effects([x for x in data if x])
+                steps = pa.ListArray.from_arrays(pa.array(np.arange(len(to) + 1, dtype=np.int32) * np.int32(m.total)), pa.array(to.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some), steps], ["_key", "_at", "_to"])
+
+    known = spark.createDataFrame([(i, r[0], r[1], int(x)) for i, (r, x) in enumerate(zip(rules, all_rules.last, strict=True))], "_rule int, ordinal int, rule_id string, _last int")
+    found = chunks.select(key, F.col("chunk_idx").cast("long"), F.col(chunk).cast("binary")).mapInArrow(judge, f"_key {key_type}, _at long, _to array<int>")
+    files = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_to"))).alias("_steps"))  # a row a chunk of one file
+    starts = F.array(*(F.lit(int(x)) for x in all_rules.first))
+    states = F.aggregate("_steps", starts, lambda now, step: F.transform(now, lambda s: F.get(step["_to"], s)))
+    ends = files.select("_key", F.posexplode(states).alias("_rule", "_state"))
+    return ends.join(F.broadcast(known), "_rule").filter("_state = _last").select(F.col("_key").alias(key), "ordinal", "rule_id")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quaysift import lookups
@@ -102,3 +103,27 @@ def test_chunks_equal_whole_texts(spark, size):
     want = found(M.match_rules(whole, rules))
     assert found(R.scan_chunks(chunks, rules)) == want and want
     assert found(R.scan_chunks(chunks.limit(0), rules)) == [] and found(R.scan_chunks(chunks, [])) == []
+
+
+def test_effects_side_by_side():
+    """Effects of many chunks at once, in pieces and of all lengths, are those of each chunk by itself, and are made in far less time."""
+    import time
+
+    r = random.Random(3)
+    patterns = [("literal", " the "), ("regex", "the [a-z]+ the"), ("hex", "20706F757220"), ("regex", "(ab|b)*c{2,3}"), ("regex", "a[^b]*b"), ("regex", "x*"), ("literal", "aaab")]
+    tables = [R.automaton((i, "r", *p)) for i, p in enumerate(patterns)]
+    m = R.Automata(tables)
+    words = [" the ", "the", " pour ", "ab", "b", "cc", "aaa", "aaab", "xyz ", "é"]
+    chunks = ["".join(r.choices(words, k=k)).encode()[: r.choice((1, 2, 50, 9999))] for k in (1, 2, 5, 40, 900, 3000) for _ in range(20)] + [b"", b"a" * 5000, b"a" * R.PIECE, b"b" * (R.PIECE + 1)]
+    got = m.effects(chunks)
+    for row, chunk in zip(got, chunks, strict=True):
+        want = np.concatenate([R.effect(t, chunk).astype(int) + f for t, f in zip(tables, m.first, strict=True)])
+        assert row.tolist() == want.tolist()
+    assert m.effects([]).shape == (0, m.total)
+    many = [" ".join(r.choices(["the", "pour", "word", "und", "other"], k=200)).encode() for _ in range(1000)]
+    times = []
+    for run in (lambda: m.effects(many), lambda: [R.effect(t, c) for c in many for t in tables]):
+        begin = time.perf_counter()
+        run()
+        times.append(time.perf_counter() - begin)
+    assert times[0] < times[1] / 3
