@@ -9,6 +9,7 @@ words are scored apart from each other, a task scores each distinct word of a ba
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +56,23 @@ class Model:
     """Kneser-Ney models of several languages over one set of n-grams."""
 
     def __init__(self, languages: list[str], words: list[list[str]], times: list[np.ndarray]) -> None:
+        self._build(languages, [self.counted(w, t) for w, t in zip(words, times, strict=True)])
+
+    @classmethod
+    def of(cls, languages: list[str], counted: list[tuple[list[dict | None], set[str]]]) -> Model:
+        """From what ``counted`` gives of each language's words."""
+        model = cls.__new__(cls)
+        model._build(languages, counted)
+        return model
+
+    def _build(self, languages: list[str], counted: list[tuple[list[dict | None], set[str]]]) -> None:
         self.languages = languages
         n = len(languages)
         self.limits = np.full(n, np.inf)
         if not n:  # nothing was learned
             return
-        tables = [self._count(w, t) for w, t in zip(words, times, strict=True)]
-        alphabet = len({c for some in words for w in some for c in w}) + 2
-        self.base = 1.0 / alphabet
+        tables = [t for t, _ in counted]
+        self.base = 1.0 / (len(set().union(*(chars for _, chars in counted))) + 2)
         self.grams, self.probs, self.contexts, self.weights = [None], [None], [None], [None]
         for k in range(1, ORDER + 1):
             gram = np.unique(np.concatenate([t[k]["gram"] for t in tables]))
@@ -83,6 +93,11 @@ class Model:
             self.contexts.append(ctx)
             self.weights.append(weight)
 
+    @staticmethod
+    def counted(words: list[str], times: np.ndarray) -> tuple[list[dict | None], set[str]]:
+        """(n-grams by order, characters) of a language's words."""
+        return Model._count(words, times), set().union(*words)
+
     @staticmethod
     def _count(words: list[str], times: np.ndarray) -> list[dict | None]:
         """Per order the n-grams of a language with their discounted shares, and the contexts with the weight left."""
@@ -198,13 +213,19 @@ def fit(docs: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), words.take(pa.array(some)).cast(pa.string()), pa.array(times[some], pa.int64())], ["lang", "word", "n"])
 
     picked = picked.select("lang", "text", use.alias("use"))
-    words = picked.filter("use = 'fit'").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    words = words.sort_values(["lang", "word"])
-    by = {k: x for k, x in words.groupby("lang")}
+    words = picked.filter("use = 'fit'").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def counted(words: pa.Table) -> pa.Table:  # of one language
+        words = words.sort_by("word")
+        found = Model.counted(words.column("word").to_pylist(), words.column("n").to_numpy().astype(float))
+        return pa.table({"lang": words.column("lang").slice(0, 1), "found": pa.array([pickle.dumps(found)], pa.binary())})
+
+    # the driver gets n-grams, some MB of them, and not the words
+    by = {r["lang"]: pickle.loads(r["found"]) for r in words.groupBy("lang").applyInArrow(counted, "lang string, found binary").collect()}
     languages = [k for k in languages if k in by]
     if not languages:  # labelled texts without a letter
         return Model([], [], [])
-    model = Model(languages, [by[k]["word"].tolist() for k in languages], [by[k]["n"].to_numpy(float) for k in languages])
+    model = Model.of(languages, [by.pop(k) for k in languages])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +236,10 @@ def fit(docs: DataFrame) -> Model:
             at = [m.languages.index(b.column("lang")[i].as_py()) for i in ok]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[ok, at] / chars[ok])], ["at", "h"])
 
-    heights = picked.filter("use = 'calibrate'").select("lang", "text").mapInArrow(own, "at int, h double").toPandas()
+    heights = picked.filter("use = 'calibrate'").select("lang", "text").mapInArrow(own, "at int, h double").collect()  # a number a calibration text
     held.destroy()
-    for at, x in heights.groupby("at"):
-        model.limits[at] = np.quantile(x["h"], QUANTILE) + MARGIN
+    for at in {r["at"] for r in heights}:
+        model.limits[at] = np.quantile([r["h"] for r in heights if r["at"] == at], QUANTILE) + MARGIN
     return model
 
 

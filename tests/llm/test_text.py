@@ -508,3 +508,17 @@ def test_bytes_that_are_not_utf8(spark):
         substring_dedup.remove_spans(docs), suffix_dedup.remove_repeats(docs), minhash_dedup.near_duplicates(docs), exact_dedup.exact_dedup(docs), decontaminate.decontaminate(docs, docs.selectExpr("doc_id AS item_id", "text")),
     ):
         assert out.count() == 2
+
+
+def test_language_fit_without_words_on_the_driver(spark, sf, monkeypatch):
+    """The driver is sent n-grams of a language a row, never its words as a table of pandas, and the models are those of the words."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(Classic, "toPandas", lambda self: pytest.fail("a table went to the driver"))
+    built = []
+    build = language_id.Model._build
+    monkeypatch.setattr(language_id.Model, "_build", lambda self, languages, counted: (built.append(len(counted)), build(self, languages, counted))[1])
+    monkeypatch.setattr(language_id.Model, "__init__", lambda self, *a: pytest.fail("words were counted on the driver"))
+    model = language_id.fit(docs)
+    assert built == [len(model.languages)] and len(model.languages) >= 3
